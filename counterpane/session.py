@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int = 8, name: str = "counterpane") -> SparkSession:
@@ -51,7 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core rows, for operators whose work per row outweighs moving the row once."""
+    """Give every core rows, for operators whose work per row outweighs moving the row once.
+
+    Hashing the hashed key keeps this shuffle even where the input is partitioned by the key already:
+    adaptive execution merges such partitions by bytes, not by the work that follows.
+    """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              spark.sparkContext.defaultParallelism), key)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, F.xxhash64(key))
