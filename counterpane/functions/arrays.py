@@ -164,14 +164,10 @@ def violation(g: str | Column) -> Column:
     return F.greatest(g, F.lit(0.0))
 
 
-def window_sums(w: str | Column, length: str | Column | int) -> Column:
-    """Sum of every full window of the given length, rounded so that ties are exact."""
-    w, length = _col(w), _col(length)
-    return F.transform(F.sequence(F.lit(0), F.size(w) - length),
-                       lambda s: F.round(total(F.slice(w, s + 1, length)), SUM_DIGITS))
-
-
 def max_sum_start(w: str | Column, length: str | Column | int) -> Column:
     """First step of the window with the largest sum, first on ties; 0 if the window covers everything."""
     w, length = _col(w), _col(length)
-    return F.when(length >= F.size(w), F.lit(0)).otherwise(argmax_index(window_sums(w, length)))
+    best = F.array_max(F.transform(
+        F.sequence(F.lit(0), F.size(w) - length),
+        lambda s: F.struct(F.round(total(F.slice(w, s + 1, length)), SUM_DIGITS).alias("sum"), (-s).alias("back"))))
+    return F.when(length >= F.size(w), F.lit(0)).otherwise(-best["back"])

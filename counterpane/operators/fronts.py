@@ -124,21 +124,23 @@ def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str]
               .withColumn("own", F.pmod(F.xxhash64(row_id), F.col("blocks")).cast("int")))
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     targets = placed.withColumn("rival", blocks)
-    rivals = placed.withColumnRenamed("own", "rival").withColumn("own", blocks)
+    rivals = (placed.withColumn("against", blocks)
+              .select(F.col("bucket").alias("r_bucket"), F.col("against").alias("r_own"), F.col("own").alias("r_rival"),
+                      *[F.col(c).alias(f"r_{c}") for c in (*groups, *objectives)]))
+    kept, names = list(targets.columns), [*groups, *objectives]
 
     def survivors(a: pa.Table, b: pa.Table) -> pa.Table:
-        a = a.select(targets.columns)
+        a = a.select(kept)
         if not a.num_rows or not b.num_rows:
             return a
-        names = [*groups, *objectives]
-        both = pa.concat_tables([a.select(names), b.select(names)]).combine_chunks()
+        both = pa.concat_tables([a.select(names), b.select([f"r_{c}" for c in names]).rename_columns(names)])
         values, good = _values(both, objectives), np.ones(a.num_rows, dtype=bool)
         for rows in _slices(_group_codes(both, groups)):
             mine, theirs = rows[rows < a.num_rows], rows[rows >= a.num_rows]
             good[mine] = ~beaten(values[mine], values[theirs])
         return a.filter(pa.array(good))
 
-    met = (targets.groupBy("bucket", "own", "rival").cogroup(rivals.groupBy("bucket", "own", "rival"))
+    met = (targets.groupBy("bucket", "own", "rival").cogroup(rivals.groupBy("r_bucket", "r_own", "r_rival"))
            .applyInArrow(survivors, targets.schema))
     keys = [*groups, row_id, *objectives]
     return (met.groupBy(*keys).agg(F.count("*").alias("met"), F.max("blocks").alias("blocks"))
@@ -159,11 +161,13 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
     sizes = data.groupBy(*groups).agg(F.count("*").alias("rows")).where(F.col("rows") > group_limit)
     large = [] if sizes.isEmpty() else sizes
 
+    kept = list(data.columns)
+
     def rank_bucket(table: pa.Table) -> pa.Table:
         values, rank = _values(table, objectives), np.zeros(table.num_rows, dtype=np.int32)
         for rows in _slices(_group_codes(table, groups)):
             rank[rows] = ranks(values[rows])
-        return table.select(data.columns).append_column("rank", pa.array(rank))
+        return table.select(kept).append_column("rank", pa.array(rank))
 
     def ranked(part: DataFrame) -> DataFrame:
         bucket = F.pmod(F.xxhash64(*groups), F.lit(n_buckets)) if groups else F.lit(0)
@@ -181,7 +185,8 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
     while not hot.isEmpty():
         front = cut(pareto_front(hot, groups, objectives, row_id))
         out = out.unionByName(front.withColumn("rank", F.lit(level)))
-        hot = cut(hot.join(front.select(row_id), row_id, "left_anti").select(*data.columns))
+        gone = [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*groups, row_id)]
+        hot = cut(hot.alias("h").join(front.alias("f"), gone, "left_anti"))
         level += 1
     return out
 

@@ -213,8 +213,9 @@ def deviation_weights(panel: DataFrame, digits: int = 6) -> DataFrame:
     means = (panel.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
              .agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("cells"))
              .select(F.col("cells.m").alias("means"), F.lit(1).alias("one")))
-    gap = F.transform("x", lambda v, i: F.abs(v - F.get("means", i)))
-    steps = F.transform(F.sequence(F.lit(0), F.col("t_len") - 1),
-                        lambda t: F.round(A.total(F.slice("gap", t * F.col("n_ch") + 1, F.col("n_ch"))), digits))
+    n_ch = F.col("n_ch")
+    steps = F.transform(F.sequence(F.lit(0), F.col("t_len") - 1), lambda t: F.round(F.aggregate(
+        F.sequence(t * n_ch, t * n_ch + n_ch - 1), F.lit(0.0),
+        lambda s, i: s + F.abs(F.get("x", i) - F.get("means", i))), digits))
     return (panel.withColumn("one", F.lit(1)).join(F.broadcast(means), "one")
-            .withColumn("gap", gap).select("series_id", steps.alias("weights")))
+            .select("series_id", steps.alias("weights")))

@@ -232,11 +232,11 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
 
 
 def _neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: Metric, unlike: bool,
-                broadcast_bytes: int, n_pivots: int | None) -> DataFrame:
+                broadcast_bytes: int, n_pivots: int | None, size: tuple[int, int] | None = None) -> DataFrame:
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ConfigurationError("the number of neighbours must be a positive integer", config=k, param="k")
     q, r = _columns(queries, "query_id"), _columns(reference, "ref_id")
-    n_refs, cells = panel_size(reference)
+    n_refs, cells = size or panel_size(reference)
     if n_refs * cells * 8 <= broadcast_bytes:
         hits = _small(q, r, metric, k, unlike)
     else:
@@ -254,13 +254,15 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int = 1, metric: str |
 
 def nun_join(queries: DataFrame, reference: DataFrame, metric: str | Metric = "euclidean", *,
              n_neighbors: int = 1, theta: float = 0.51, broadcast_bytes: int = BROADCAST_BYTES,
-             n_pivots: int | None = None, **params) -> DataFrame:
+             n_pivots: int | None = None, size: tuple[int, int] | None = None, **params) -> DataFrame:
     """Nearest unlike neighbour of every scored query: `query_id, nun_id, nun_label, nun_confidence, dist`.
 
     Both panels carry `pred_label`, the reference also `confidence`. The confidence filter comes after the
     top-k, so a query whose nearest unlike references are all unsure has no neighbour and gives no row.
+    `size` (number of references, cells of one) saves a pass where the caller knows it.
     """
-    found = _neighbours(queries, reference, n_neighbors, find_metric(metric, **params), True, broadcast_bytes, n_pivots)
+    found = _neighbours(queries, reference, n_neighbors, find_metric(metric, **params), True, broadcast_bytes, n_pivots,
+                        size)
     kept = found.where(F.col("ref_confidence") >= theta)
     if n_neighbors > 1:
         kept = (kept.groupBy("query_id").agg(F.min_by(F.struct("ref_id", "ref_label", "ref_confidence", "dist"), "rank")

@@ -145,17 +145,21 @@ def assign_niche(df: DataFrame, scales: DataFrame, groups: Sequence[str], object
     are compared with them in place.
     """
     groups = list(groups)
-    scaled = df.join(scales.select(*groups, "ideal", "nadir"), groups)
-    for k, f in enumerate(objectives):
-        low, high = F.get("ideal", F.lit(k)), F.get("nadir", F.lit(k))
-        scaled = scaled.withColumn(f"_v{k}", (F.col(f) - low) / F.greatest(high - low, F.lit(SMALLEST_RANGE)))
-    v = [F.col(f"_v{k}") for k in range(len(objectives))]
-    options = []
-    for i, u in enumerate(direction_list(len(objectives), n_partitions)):
-        share = sum((a * float(b) for a, b in zip(v, u)), F.lit(0.0)) / max(sum(b * b for b in u), SMALLEST_DIRECTION)
-        away = sum(((a - share * float(b)) * (a - share * float(b)) for a, b in zip(v, u)), F.lit(0.0))
-        options.append(F.struct(F.round(F.sqrt(away), DISTANCE_DIGITS).alias("d"), F.lit(i).alias("i")))
-    return (scaled.withColumn("_best", F.array_min(F.array(*options)))
+    directions = F.array(*[F.array(*[F.lit(float(b)) for b in u])
+                           for u in direction_list(len(objectives), n_partitions)])
+    position = F.transform(F.arrays_zip("_f", "ideal", "nadir"), lambda p:
+                           (p["_f"] - p["ideal"]) / F.greatest(p["nadir"] - p["ideal"], F.lit(SMALLEST_RANGE)))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    along = F.transform(directions, lambda u, i: F.struct(
+        u.alias("u"), i.alias("i"), (dot(F.col("_v"), u) / F.greatest(dot(u, u), F.lit(SMALLEST_DIRECTION))).alias("s")))
+    away = F.transform(along, lambda d: F.struct(F.round(F.sqrt(F.aggregate(
+        F.zip_with("_v", d["u"], lambda a, b: (a - d["s"] * b) * (a - d["s"] * b)), F.lit(0.0), lambda s, x: s + x)),
+        DISTANCE_DIGITS).alias("d"), d["i"].alias("i")))
+    return (df.join(scales.select(*groups, "ideal", "nadir"), groups).withColumn("_f", F.array(*objectives))
+            .withColumn("_v", position).withColumn("_best", F.array_min(away))
             .select(*df.columns, F.col("_best.i").alias("niche"), F.col("_best.d").alias("niche_dist")))
 
 

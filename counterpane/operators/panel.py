@@ -30,11 +30,10 @@ def minmax_by_step(weights: DataFrame, key: str = "series_id", w: str = "weights
 def changed_span(pairs: DataFrame, key: str = "series_id", original: str = "x", edited: str = "cf") -> DataFrame:
     """Per series and channel the first and last changed step, with the values there and at the unchanged
     neighbours outside (null at the border of the series); unchanged channels give no row."""
-    cells = F.arrays_zip(F.col(original).alias("a"), F.col(edited).alias("b"))
-    changed = F.filter(F.transform(cells, lambda z, i: F.struct(i.alias("i"), (z["0"] != z["1"]).alias("hit"))),
-                       lambda z: z["hit"])
+    places = F.filter(F.sequence(F.lit(0), F.size(original) - 1),
+                      lambda i: F.get(original, i) != F.get(edited, i))
     channel = F.col("c")
-    spans = (pairs.withColumn("hits", F.transform(changed, lambda z: z["i"]))
+    spans = (pairs.withColumn("hits", places)
              .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_ch") - 1)))
              .withColumn("own", F.transform(F.filter("hits", lambda i: i % F.col("n_ch") == channel),
                                             lambda i: (i / F.col("n_ch")).cast("int")))
