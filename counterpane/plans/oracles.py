@@ -350,8 +350,8 @@ ORACLES["mutate_masks"] = f"""with {CROSSED},
 
 # --- fronts, ranks and niches ---
 
-OFFERS = """o as (select l_suppkey as grp, l_partkey as row_id, min(l_extendedprice) as f0, -max(l_discount) as f1,
-   -sum(l_quantity) as f2, -sum(l_quantity) + 10 as g from lineitem group by l_suppkey, l_partkey)"""
+OFFERS = """o as (select l_suppkey as grp, l_partkey as row_id, min(l_extendedprice) as f0, 0 - max(l_discount) as f1,
+   0 - sum(l_quantity) as f2, 10 - sum(l_quantity) as g from lineitem group by l_suppkey, l_partkey)"""
 OFFER_FRONT = f"""{OFFERS}, fr as (select * from o a where not exists (select 1 from o b where b.grp = a.grp
    and b.f0 <= a.f0 and b.f1 <= a.f1 and b.f2 <= a.f2 and (b.f0 < a.f0 or b.f1 < a.f1 or b.f2 < a.f2)))"""
 ORDERS = """o as (select o_custkey as grp, o_orderkey as row_id, o_totalprice as f0,

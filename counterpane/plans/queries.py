@@ -422,8 +422,8 @@ def mutate_masks(spark, sf):
 def offers(spark, sf):
     """Parts per supplier: low price, high discount, high quantity sold."""
     return (table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("row_id"))
-            .agg(F.min("l_extendedprice").alias("f0"), (-F.max("l_discount")).alias("f1"),
-                 (-F.sum("l_quantity")).alias("f2")).withColumn("g", F.col("f2") + 10.0))
+            .agg(F.min("l_extendedprice").alias("f0"), (F.lit(0.0) - F.max("l_discount")).alias("f1"),
+                 (F.lit(0.0) - F.sum("l_quantity")).alias("f2")).withColumn("g", F.col("f2") + 10.0))
 
 
 OFFER = ["f0", "f1", "f2"]
