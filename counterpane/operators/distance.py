@@ -27,6 +27,11 @@ def panel_size(panel: DataFrame) -> tuple[int, int]:
     return row["n"], row["cells"] or 1
 
 
+def panel_bytes(n: int, cells: int) -> int:
+    """Size of a panel in memory: its cells and the columns beside them."""
+    return n * (8 * cells + 48)
+
+
 def block_rows(cells: int) -> int:
     return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * cells)))
 
@@ -61,7 +66,7 @@ def distance_join(left: DataFrame, right: DataFrame, metric: str | Metric, *, wi
     lhs = left.select(F.col("series_id").alias("left_id"), "t_len", "n_ch", "x")
     rhs = right.select(F.col("series_id").alias("right_id"), "t_len", "n_ch", "x")
     n_right, cells = panel_size(right)
-    if n_right * cells * 8 <= broadcast_bytes:
+    if panel_bytes(n_right, cells) <= broadcast_bytes:
         table = rhs.toArrow()
 
         def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from ..session import cut
 from .batches import column
 
 BLOCK = 4096  # rows of one group compared in one task at a time
+POOL = 1 << 16  # rows a task holds while it looks for local fronts
 
 
 def dominates(A: np.ndarray, B: np.ndarray) -> np.ndarray:
@@ -36,6 +37,35 @@ def beaten(targets: np.ndarray, rivals: np.ndarray) -> np.ndarray:
     return out
 
 
+def beaten_in_groups(targets: np.ndarray, groups: np.ndarray, rivals: np.ndarray,
+                     rival_groups: np.ndarray) -> np.ndarray:
+    """Which targets a rival of their own group dominates.
+
+    Small groups are compared all at once as one list of pairs, large ones one by one.
+    """
+    order = np.argsort(rival_groups, kind="stable")
+    rivals, rival_groups = np.asfortranarray(rivals[order]), rival_groups[order]
+    targets = np.asfortranarray(targets)
+    low = np.searchsorted(rival_groups, groups, side="left")
+    count = np.searchsorted(rival_groups, groups, side="right") - low
+    out = np.zeros(len(targets), dtype=bool)
+    large = count > 256
+    for group in np.unique(groups[large]):
+        rows = np.flatnonzero(groups == group)
+        first = low[rows[0]]
+        out[rows] = beaten(targets[rows], rivals[first:first + count[rows[0]]])
+    rows = np.flatnonzero(~large & (count > 0))
+    for part in np.array_split(rows, max(1, int(count[rows].sum()) >> 20)):
+        n = count[part]
+        t = np.repeat(part, n)
+        r = np.repeat(low[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        for theirs, mine in zip(rivals.T, targets.T):  # fewer pairs are left after every objective
+            near = theirs[r] <= mine[t]
+            r, t = r[near], t[near]
+        out[t[(rivals[r] < targets[t]).any(axis=1)]] = True
+    return out
+
+
 def ranks(values: np.ndarray, enough: int | None = None) -> np.ndarray:
     """Front number of every row; with `enough`, fronts beyond that many rows are lumped together."""
     n = len(values)
@@ -81,22 +111,24 @@ def _values(table: pa.Table | pa.RecordBatch, objectives: Sequence[str]) -> np.n
 def _local_fronts(df: DataFrame, groups: Sequence[str], objectives: Sequence[str]) -> DataFrame:
     """Drop what is dominated inside the own task, before anything is shuffled.
 
-    A task carries the survivors of its batches along and lets them go once they reach a bounded number.
+    A task compares a bounded pool of rows and carries the survivors along while they are few.
     """
+    def front(table: pa.Table) -> pa.Table:
+        values, code = _values(table, objectives), _group_codes(table, groups)
+        return table.filter(pa.array(~beaten_in_groups(values, code, values, code)))
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            part = pa.Table.from_batches([batch])
-            part = part if held is None else pa.concat_tables([held, part])
-            values, good = _values(part, objectives), np.zeros(part.num_rows, dtype=bool)
-            for rows in _slices(_group_codes(part, groups)):
-                good[rows] = ~beaten(values[rows], values[rows])
-            held = part.filter(pa.array(good))
-            if held.num_rows > 4 * BLOCK:
-                yield from held.to_batches()
-                held = None
-        if held is not None:
-            yield from held.to_batches()
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= POOL:
+                table = front(pa.Table.from_batches(held))
+                held = table.to_batches()
+                if table.num_rows > POOL // 2:
+                    yield from held
+                    held = []
+        if held:
+            yield from front(pa.Table.from_batches(held)).to_batches()
 
     return df.mapInArrow(keep, df.schema)
 
@@ -108,18 +140,18 @@ def _bucket_count(rows: int) -> int:
 def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str) -> DataFrame:
     """Rows no other row of their group dominates; equal rows all stay.
 
-    Local fronts first. Their survivors meet in tasks that hold many small groups, or one block of a
+    Local fronts first, written out because all later steps read them. Their survivors meet in tasks that hold many small groups, or one block of a
     large group against another block of it, so no group has to fit one task; a row is in the front when
     it survives every block of its group.
     """
     groups = list(groups)
     data = df.select(*groups, row_id, *objectives)
-    n_buckets = _bucket_count(df.count())
-    local = _local_fronts(data, groups, objectives)
+    local = cut(_local_fronts(data, groups, objectives))
+    n_buckets = _bucket_count(local.count())
     sizes = (local.groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     same = [F.col(f"l.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
     sized = local.alias("l").join(sizes.alias("s"), same).select("l.*", "s.blocks") if groups else \
-        local.withColumn("blocks", F.lit(_bucket_count(local.count())))
+        local.withColumn("blocks", F.lit(n_buckets))
     placed = (sized.withColumn("bucket", F.pmod(F.xxhash64(*groups), F.lit(n_buckets)) if groups else F.lit(0))
               .withColumn("own", F.pmod(F.xxhash64(row_id), F.col("blocks")).cast("int")))
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -134,10 +166,8 @@ def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str]
         if not a.num_rows or not b.num_rows:
             return a
         both = pa.concat_tables([a.select(names), b.select([f"r_{c}" for c in names]).rename_columns(names)])
-        values, good = _values(both, objectives), np.ones(a.num_rows, dtype=bool)
-        for rows in _slices(_group_codes(both, groups)):
-            mine, theirs = rows[rows < a.num_rows], rows[rows >= a.num_rows]
-            good[mine] = ~beaten(values[mine], values[theirs])
+        values, code, n = _values(both, objectives), _group_codes(both, groups), a.num_rows
+        good = ~beaten_in_groups(values[:n], code[:n], values[n:], code[n:])
         return a.filter(pa.array(good))
 
     met = (targets.groupBy("bucket", "own", "rival").cogroup(rivals.groupBy("r_bucket", "r_own", "r_rival"))
@@ -156,10 +186,10 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
     """
     groups = list(groups)
     data = df.select(*groups, row_id, *objectives)
-    n_buckets = _bucket_count(df.count())
+    sizes = data.groupBy(*groups).agg(F.count("*").alias("rows"))
+    found = sizes.agg(F.sum("rows").alias("all"), F.max("rows").alias("most")).first()
+    n_buckets = _bucket_count(found["all"] or 0)
     schema = T.StructType(data.schema.fields + [T.StructField("rank", T.IntegerType())])
-    sizes = data.groupBy(*groups).agg(F.count("*").alias("rows")).where(F.col("rows") > group_limit)
-    large = [] if sizes.isEmpty() else sizes
 
     kept = list(data.columns)
 
@@ -173,8 +203,9 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
         bucket = F.pmod(F.xxhash64(*groups), F.lit(n_buckets)) if groups else F.lit(0)
         return part.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(rank_bucket, schema)
 
-    if isinstance(large, list):
+    if (found["most"] or 0) <= group_limit:
         return ranked(data)
+    large = sizes.where(F.col("rows") > group_limit)
     same = [F.col(f"l.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
     if groups:
         hot = cut(data.alias("l").join(large.alias("s"), same, "left_semi"))

@@ -2,7 +2,8 @@
 
 Two plans give the same rows:
 
-* a reference panel below a checked size travels to every task; the query panel never shuffles;
+* a reference panel below a checked size travels to every task; each query is answered where it is
+  (only warping metrics spread the queries over all cores first, as their work outweighs one move);
 * beyond it, references are grouped into cells around pivots, each cell is summarised by the box around
   its series, and a query visits only cells whose box can hold a neighbour at least as near as the
   k-th nearest pivot. Cells and their visitors are cut into blocks of bounded size, so copies of one
@@ -24,7 +25,7 @@ from ..errors import ConfigurationError
 from ..session import spread
 from .batches import column, cubes
 from .blocks import cross_block, slack, top_k_block
-from .distance import BROADCAST_BYTES, block_rows, panel_size
+from .distance import BROADCAST_BYTES, block_rows, panel_bytes, panel_size
 from .metrics import LOCK_STEP, Metric, metric as find_metric
 
 HITS = "query_id bigint, ref_id bigint, ref_label int, ref_confidence double, dist double"
@@ -79,9 +80,16 @@ def _small(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and table.num_rows:
-                yield from _hits(metric, k, unlike, batch, table)
+                found = pa.Table.from_batches(list(_hits(metric, k, unlike, batch, table)), HIT_FIELDS)
+                order = np.lexsort([column(found, c) for c in ("ref_id", "dist", "query_id")])
+                query = column(found, "query_id")[order]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                best = rank < k
+                yield from (found.take(pa.array(order[best])).append_column("rank", pa.array(rank[best].astype(np.int32) + 1))
+                            .to_batches())
 
-    return (queries if metric.name in LOCK_STEP else spread(queries, "query_id")).mapInArrow(nearest, HITS)
+    return ((queries if metric.name in LOCK_STEP else spread(queries, "query_id"))
+            .mapInArrow(nearest, f"{HITS}, rank int"))
 
 
 def _assign(refs: DataFrame, pivots: pa.Table) -> DataFrame:
@@ -144,10 +152,9 @@ def _boxes(assigned: DataFrame) -> pa.Table:
 def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike: bool, n_refs: int, cells: int,
            n_pivots: int | None) -> DataFrame:
     spark = queries.sparkSession
-    if k == 1:  # of equal copies only the smallest id can win, so copies collapse before anything moves
-        refs = (refs.groupBy("x", "t_len", "n_ch", "label")
-                .agg(F.min("ref_id").alias("ref_id"), F.max("conf").alias("conf"))
-                .select("ref_id", "t_len", "n_ch", "x", "label", "conf"))
+    # of equal copies only the k smallest ids can be among the nearest, so copies collapse before they move
+    copies = Window.partitionBy("x", "t_len", "n_ch", "label").orderBy("ref_id")
+    refs = refs.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     room = max(1, SUMMARY_BYTES // (24 * cells))
     count = min(n_pivots or isqrt(n_refs), MAX_PIVOTS, room)
     pivots = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(max(1, count)).toArrow().sort_by("ref_id")
@@ -237,11 +244,9 @@ def _neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: Metric
         raise ConfigurationError("the number of neighbours must be a positive integer", config=k, param="k")
     q, r = _columns(queries, "query_id"), _columns(reference, "ref_id")
     n_refs, cells = size or panel_size(reference)
-    if n_refs * cells * 8 <= broadcast_bytes:
-        hits = _small(q, r, metric, k, unlike)
-    else:
-        hits = _cells(q, r, metric, k, unlike, n_refs, cells, n_pivots)
-    return _ranked(hits, k)
+    if panel_bytes(n_refs, cells) <= broadcast_bytes:
+        return _small(q, r, metric, k, unlike)
+    return _ranked(_cells(q, r, metric, k, unlike, n_refs, cells, n_pivots), k)
 
 
 def knn_join(queries: DataFrame, reference: DataFrame, k: int = 1, metric: str | Metric = "euclidean", *,

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import violation
 from ..functions.draws import SALT_NICHE, SALT_PICK, draw
+from ..session import cut
+from .batches import column, matrix
 from .fronts import pareto_rank
 
 # Fixed values of the normalisation and the niche distances.
@@ -72,14 +76,18 @@ def _axis_score(objectives: Sequence[str], axis: int) -> Column:
     return F.greatest(*scaled) if len(scaled) > 1 else scaled[0]
 
 
+def _extremes(objectives: Sequence[str], row_id: str) -> Column:
+    """Aggregate: per axis the front row nearest to it."""
+    point = F.struct(F.col(row_id), F.array(*objectives).alias("f"))
+    return F.array(*[F.min_by(point, F.struct(_axis_score(objectives, j), F.col(row_id)))
+                     for j in range(len(objectives))])
+
+
 def extreme_points(front: DataFrame, ideal: DataFrame, groups: Sequence[str], objectives: Sequence[str],
                    row_id: str) -> DataFrame:
     """Per group and axis the front row nearest to that axis, first row on ties: `groups, axis, row_id, f`."""
     groups = list(groups)
-    point = F.struct(F.col(row_id), F.array(*objectives).alias("f"))
-    best = front.join(ideal, groups).groupBy(*groups).agg(F.array(*[
-        F.min_by(point, F.struct(_axis_score(objectives, j), F.col(row_id))) for j in range(len(objectives))
-    ]).alias("found"))
+    best = front.join(ideal, groups).groupBy(*groups).agg(_extremes(objectives, row_id).alias("found"))
     return (best.select(*groups, F.posexplode("found").alias("axis", "p"))
             .select(*groups, "axis", f"p.{row_id}", "p.f"))
 
@@ -119,17 +127,15 @@ def nadir_point(front: DataFrame, ideal: DataFrame, groups: Sequence[str], objec
     """Per group the nadir: where the plane through the extreme points meets the axes, or the largest front
     values where there is no such plane. Returns `groups, ideal, nadir`."""
     groups, n_dim = list(groups), len(objectives)
-    extremes = extreme_points(front, ideal, groups, objectives, row_id)
-    shape = front.groupBy(*groups).agg(F.count("*").alias("size"),
-                                       F.array(*[F.max(f) for f in objectives]).alias("worst"))
-    rows = (extremes.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("axis", "f"))).alias("e"))
-            .join(ideal, groups)
+    rows = (front.join(ideal, groups).groupBy(*groups, "ideal")
+            .agg(F.count("*").alias("size"), F.array(*[F.max(f) for f in objectives]).alias("worst"),
+                 _extremes(objectives, row_id).alias("e"))
             .withColumn("e", F.transform("e", lambda p: F.zip_with(p["f"], "ideal", lambda a, b: a - b))))
     if n_dim <= 3:
         plane = _plane(F.col("e"), n_dim)
     else:
         plane = F.pandas_udf(lambda s: s.__class__(_solve(s)), "array<double>")("e")
-    rows = rows.withColumn("plane", plane).join(shape, groups)
+    rows = rows.withColumn("plane", plane)
     good = (F.col("plane").isNotNull() & (F.col("size") >= n_dim)
             & F.forall("plane", lambda v: (F.abs(v) >= SMALLEST_COEFFICIENT) & (v > 0)))
     return rows.select(*groups, "ideal", F.when(
@@ -137,43 +143,59 @@ def nadir_point(front: DataFrame, ideal: DataFrame, groups: Sequence[str], objec
         F.col("worst")).alias("nadir"))
 
 
+def nearest_direction(values: np.ndarray, low: np.ndarray, high: np.ndarray,
+                      directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Niche and distance of every row of `values`, normalised between `low` and `high`."""
+    v = (values - low) / np.maximum(high - low, SMALLEST_RANGE)
+    share = v @ directions.T / np.maximum((directions ** 2).sum(axis=1), SMALLEST_DIRECTION)
+    square = np.zeros(share.shape)
+    for k, u in enumerate(directions.T):
+        square += (v[:, k, None] - share * u) ** 2
+    dist = np.round(np.sqrt(square), DISTANCE_DIGITS)
+    niche = dist.argmin(axis=1)
+    return niche, dist[np.arange(len(v)), niche]
+
+
 def assign_niche(df: DataFrame, scales: DataFrame, groups: Sequence[str], objectives: Sequence[str],
                  n_partitions: int) -> DataFrame:
     """Add `niche` and `niche_dist`: the nearest reference direction of the normalised objectives.
 
-    The directions are constants of the expression (their number depends on the partitions only), so rows
-    are compared with them in place.
+    The directions travel with the task (their number depends on the partitions only) and rows are
+    compared with them in place, a batch at a time.
     """
-    groups = list(groups)
-    directions = F.array(*[F.array(*[F.lit(float(b)) for b in u])
-                           for u in direction_list(len(objectives), n_partitions)])
-    position = F.transform(F.arrays_zip("_f", "ideal", "nadir"), lambda p:
-                           (p["_f"] - p["ideal"]) / F.greatest(p["nadir"] - p["ideal"], F.lit(SMALLEST_RANGE)))
+    groups, names, kept = list(groups), list(objectives), list(df.columns)
+    directions = np.array(direction_list(len(names), n_partitions))
+    schema = T.StructType(df.schema.fields + [T.StructField("niche", T.IntegerType()),
+                                              T.StructField("niche_dist", T.DoubleType())])
 
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = np.stack([column(batch, f).astype(np.float64) for f in names], axis=1)
+                niche, dist = nearest_direction(values, matrix(batch.column("ideal")), matrix(batch.column("nadir")),
+                                                directions)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in kept], pa.array(niche.astype(np.int32)), pa.array(dist)],
+                    names=[*kept, "niche", "niche_dist"])
 
-    along = F.transform(directions, lambda u, i: F.struct(
-        u.alias("u"), i.alias("i"), (dot(F.col("_v"), u) / F.greatest(dot(u, u), F.lit(SMALLEST_DIRECTION))).alias("s")))
-    away = F.transform(along, lambda d: F.struct(F.round(F.sqrt(F.aggregate(
-        F.zip_with("_v", d["u"], lambda a, b: (a - d["s"] * b) * (a - d["s"] * b)), F.lit(0.0), lambda s, x: s + x)),
-        DISTANCE_DIGITS).alias("d"), d["i"].alias("i")))
-    return (df.join(scales.select(*groups, "ideal", "nadir"), groups).withColumn("_f", F.array(*objectives))
-            .withColumn("_v", position).withColumn("_best", F.array_min(away))
-            .select(*df.columns, F.col("_best.i").alias("niche"), F.col("_best.d").alias("niche_dist")))
+    return (df.join(scales.select(*groups, "ideal", "nadir"), groups).select(*kept, "ideal", "nadir")
+            .mapInArrow(place, schema))
 
 
 def niche_select(candidates: DataFrame, counts: DataFrame, n: int | str, groups: Sequence[str], row_id: str,
-                 seed: int = 1, instance: str | None = None, generation: Column | int = 0) -> DataFrame:
+                 seed: int = 1, instance: str | None = None, generation: Column | int = 0,
+                 n_max: int | None = None) -> DataFrame:
     """Fill the emptiest niches first until `n` rows (a number or a column) per group are taken.
 
     The r-th pick of a niche that starts with `c` members happens at level `c + r - 1`; levels are served in
     order, niches of a level in drawn order. An empty niche gives its closest candidate first, all other
     picks are drawn. `counts` holds `groups, niche, members`. Closest candidates come from an aggregation
-    and no niche keeps more than `n` rows before the group is put in order.
+    and no niche keeps more than `n` rows before the group is put in order; where `n` is a column, `n_max`
+    names its largest value, so that tasks drop the rest of a crowded niche before the shuffle.
     """
     groups = list(groups)
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
+    most = n if isinstance(n, int) else n_max
     who = F.col(instance) if instance else F.lit(0)
     slot = F.col(row_id)
     closest = (candidates.groupBy(*groups, "niche").agg(F.min(F.struct("niche_dist", row_id)).alias("c"))
@@ -185,7 +207,10 @@ def niche_select(candidates: DataFrame, counts: DataFrame, n: int | str, groups:
                          .otherwise(draw(seed, SALT_PICK, who, generation, slot, 0))))
     in_niche = Window.partitionBy(*groups, "niche").orderBy("_turn", row_id)
     in_group = Window.partitionBy(*groups).orderBy("level", "_lot", "niche")
-    return (keyed.withColumn("_r", F.row_number().over(in_niche)).where(F.col("_r") <= limit)
+    first = keyed.withColumn("_r", F.row_number().over(in_niche))
+    if most is not None:
+        first = first.where(F.col("_r") <= most)
+    return (first.where(F.col("_r") <= limit)
             .withColumn("level", F.col("members") + F.col("_r") - 1)
             .withColumn("_lot", draw(seed, SALT_NICHE, who, generation, F.col("niche"), F.col("level")))
             .withColumn("_n", F.row_number().over(in_group)).where(F.col("_n") <= limit)
@@ -197,11 +222,11 @@ def survive(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row
             generation: Column | int = 0, ideal: DataFrame | None = None) -> DataFrame:
     """Keep `n` rows per group: whole fronts in rank order, the front that does not fit by niches.
 
-    Returns the rows with their `rank`. Groups of at most `n` rows stay as they are.
+    Returns the rows with their `rank`; ranks and niches are written out once, as several steps read them. Groups of at most `n` rows stay as they are.
     """
     groups = list(groups)
     ranked = pareto_rank(penalise(df, groups, objectives, g), groups, objectives, row_id)
-    rows = df.join(ranked.select(*groups, row_id, "rank"), [*groups, row_id])
+    rows = cut(df.join(ranked.select(*groups, row_id, "rank"), [*groups, row_id]))
     by_rank = Window.partitionBy(*groups).orderBy("rank")
     fronts = (rows.groupBy(*groups, "rank").agg(F.count("*").alias("size"))
               .withColumn("upto", F.sum("size").over(by_rank))
@@ -209,16 +234,17 @@ def survive(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row
               .where(F.col("room") > 0))
     placed = rows.join(fronts, [*groups, "rank"])
     front = rows.where(F.col("rank") == 0)
-    now = ideal_point(df, groups, objectives)
+    now = ideal_point(rows, groups, objectives)
     if ideal is not None:
         past = ideal.select(*groups, F.col("ideal").alias("_past"))
         now = (now.join(past, groups, "left")
                .select(*groups, F.when(F.col("_past").isNull(), F.col("ideal")).otherwise(
                    F.zip_with("ideal", "_past", lambda a, b: F.least(a, b))).alias("ideal")))
     scales = nadir_point(front, now, groups, objectives, row_id)
-    niched = assign_niche(placed, scales, groups, objectives, n_partitions)
+    niched = cut(assign_niche(placed, scales, groups, objectives, n_partitions))
     whole = niched.where(F.col("upto") <= n)
     counts = whole.groupBy(*groups, "niche").agg(F.count("*").alias("members"))
-    picked = niche_select(niched.where(F.col("upto") > n), counts, "room", groups, row_id, seed, instance, generation)
+    picked = niche_select(niched.where(F.col("upto") > n), counts, "room", groups, row_id, seed, instance, generation,
+                          n_max=n)
     columns = [*df.columns, "rank"]
     return whole.select(*columns).unionByName(picked.select(*columns))

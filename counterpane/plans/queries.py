@@ -17,7 +17,7 @@ from ..operators.neighbours import knn_join, nun_join, with_neighbour
 from ..operators.panel import changed_span, minmax_by_step, panel_cells, scale_to_channel, validate_panel
 from ..operators.search import SearchSettings, evaluate_masks, search_masks
 from ..operators.windows import max_sum_window, naive_search, select_best
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources import panels as P
 from ..sources.results import result_count, results_table, text_table
 from .explain import explain, neighbour_pairs
@@ -145,7 +145,7 @@ def own_class(spark, sf):
     """Every series next to the mean series of its class."""
     panel = embeddings(spark, sf)
     means = class_means(panel).select(F.col("series_id").alias("label"), F.col("x").alias("y"))
-    return panel.withColumn("label", F.col("label").cast("bigint")).join(F.broadcast(means), "label")
+    return panel.withColumn("label", F.col("label").cast("bigint")).join(means, "label")
 
 
 @query
@@ -475,8 +475,9 @@ def ideal_point(spark, sf):
 
 
 def offer_scales(spark, sf):
-    rows = offers(spark, sf)
-    front = fronts.pareto_front(rows, ["grp"], OFFER, "row_id")
+    """Offers, their fronts and ideal points; the first two are read several times, so they are written once."""
+    rows = cut(offers(spark, sf))
+    front = cut(fronts.pareto_front(rows, ["grp"], OFFER, "row_id"))
     return rows, front, niches.ideal_point(rows, ["grp"], OFFER)
 
 
@@ -508,7 +509,7 @@ def niche_select(spark, sf):
     """Eight lines per supplier beyond its front, which already fills some niches."""
     rows, front, ideal = offer_scales(spark, sf)
     scales = niches.nadir_point(front, ideal, ["grp"], OFFER, "row_id")
-    placed = niches.assign_niche(rows, scales, ["grp"], OFFER, 3)
+    placed = cut(niches.assign_niche(rows, scales, ["grp"], OFFER, 3))
     counts = (placed.join(front.select("grp", "row_id"), ["grp", "row_id"], "left_semi")
               .groupBy("grp", "niche").agg(F.count("*").alias("members")))
     rest = placed.join(front.select("grp", "row_id"), ["grp", "row_id"], "left_anti")
