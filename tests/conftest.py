@@ -13,7 +13,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(partitions=4, name="tests")
+    return local_session(cpus=4, partitions=2, name="tests")
 
 
 def panel_of(spark, arrays, first_id=0, **columns):
