@@ -150,10 +150,9 @@ def nearest_direction(values: np.ndarray, low: np.ndarray, high: np.ndarray,
     share = v @ directions.T / np.maximum((directions ** 2).sum(axis=1), SMALLEST_DIRECTION)
     square = np.zeros(share.shape)
     for k, u in enumerate(directions.T):
-        square += (v[:, k, None] - share * u) ** 2
+        square += (v[..., k, None] - share * u) ** 2
     dist = np.round(np.sqrt(square), DISTANCE_DIGITS)
-    niche = dist.argmin(axis=1)
-    return niche, dist[np.arange(len(v)), niche]
+    return dist.argmin(axis=-1), dist.min(axis=-1)
 
 
 def assign_niche(df: DataFrame, scales: DataFrame, groups: Sequence[str], objectives: Sequence[str],

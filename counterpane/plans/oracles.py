@@ -240,6 +240,9 @@ ORACLES["nun_attributes"] = f"""with {NUN},
  ws as (select series_id, sum(w) as weight_sum from dev group by series_id)
  select query_id, nun_id, round(x_sum, 6) as x_sum, round(weight_sum, 6) as weight_sum
  from nun join xs on xs.series_id = nun_id join ws on ws.series_id = nun_id"""
+for _other, _same in (("nun_euclidean_cells", "nun_euclidean"), ("knn_dtw_cells", "knn_dtw"),
+                      ("dist_manhattan_blocks", "dist_manhattan")):
+    ORACLES[_other] = ORACLES[_same]
 
 # --- windows and candidates ---
 

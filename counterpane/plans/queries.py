@@ -316,6 +316,19 @@ def nun_attributes(spark, sf):
                                 A.total(F.col("nun_weights")).alias("weight_sum")), "x_sum", "weight_sum")
 
 
+@query
+def nun_euclidean_cells(spark, sf):
+    """The plan for references that are too large to broadcast."""
+    panel, _, scored = scored_embeddings(spark, sf)
+    scored = scored.drop("proba")
+    return rounded(nun_join(scored, scored, theta=THETA, size=D.panel_size(panel), broadcast_bytes=0),
+                   "nun_confidence", "dist")
+
+
+QUERIES["knn_dtw_cells"] = neighbours_of("dtw", 3, lambda spark, sf: events(spark, sf, 6), broadcast_bytes=0)
+QUERIES["dist_manhattan_blocks"] = class_distances("manhattan", broadcast_bytes=0)
+
+
 # --- windows and candidates ---
 
 @query
