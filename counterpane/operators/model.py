@@ -22,6 +22,7 @@ from ..functions import arrays as A
 from .batches import cubes, list_array
 
 MAX_PARAMETERS = 16_000_000  # doubles a model may hold when it is fitted from data
+MAX_CLASSES = 10_000  # checked while the centroids are collected: more is an error, never a cut
 
 
 @dataclass(frozen=True)
@@ -128,10 +129,10 @@ def class_means(panel: DataFrame, label: str = "label") -> DataFrame:
 
 def fit_centroids(panel: DataFrame, label: str = "label", beta: float = 1.0) -> CentroidModel:
     """Centroid model from labelled series; class `k` is the k-th label in order."""
-    means = class_means(panel, label)
-    size = panel.agg(F.count_distinct(label).alias("k"), F.max(F.size("x")).alias("d")).first()
-    _bounded(size["k"], size["d"], "centroids")
-    rows = means.orderBy("series_id").select("x").toArrow()
+    rows = class_means(panel, label).orderBy("series_id").select("x").limit(MAX_CLASSES + 1).toArrow()
+    if rows.num_rows > MAX_CLASSES:
+        raise ConfigurationError(f"more than {MAX_CLASSES} classes are too many for a broadcast model", param="label")
+    _bounded(rows.num_rows, max((len(x) for x in rows.column("x")), default=0), "centroids")
     return CentroidModel(np.array(rows.column("x").to_pylist()), float(beta))
 
 

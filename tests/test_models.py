@@ -100,3 +100,13 @@ def test_model_size_is_checked(panel, monkeypatch):
     monkeypatch.setattr(M, "MAX_PARAMETERS", 10)
     with pytest.raises(ConfigurationError, match="too many"):
         M.fit_centroids(panel)
+    monkeypatch.setattr(M, "MAX_CLASSES", 2)
+    with pytest.raises(ConfigurationError, match="more than 2 classes"):
+        M.fit_centroids(panel)
+
+
+def test_centroids_are_class_means(panel):
+    model = M.fit_centroids(panel, beta=0.5)
+    data = {r.series_id: (r.label, np.array(r.x)) for r in panel.collect()}
+    for k in range(3):
+        assert np.allclose(model.centroids[k], np.mean([x for label, x in data.values() if label == k], axis=0))
