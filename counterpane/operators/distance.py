@@ -78,7 +78,10 @@ def distance_join(left: DataFrame, right: DataFrame, metric: str | Metric, *, wi
     n_left, left_cells = panel_size(left)
     n_lb, n_rb = ceil(n_left / block_rows(left_cells)), ceil(n_right / block_rows(cells))
 
+    named = ["right_id", "t_len", "n_ch", "x"]
+
     def two_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.select([f"r_{c}" for c in named]).rename_columns(named)
         parts = list(_pairs_table(m, a, b)) if a.num_rows and b.num_rows else []
         return pa.Table.from_batches(parts, pa.schema([("left_id", pa.int64()), ("right_id", pa.int64()),
                                                        ("dist", pa.float64())]))
@@ -90,7 +93,9 @@ def distance_join(left: DataFrame, right: DataFrame, metric: str | Metric, *, wi
 
     grid_left = side(lhs, "left_id", "lb", n_lb, "rb", n_rb)
     grid_right = side(rhs, "right_id", "rb", n_rb, "lb", n_lb)
-    return (grid_left.groupBy("lb", "rb").cogroup(grid_right.groupBy("lb", "rb"))
+    # names of their own: both panels may stem from one table, and the two sides must not share columns
+    grid_right = grid_right.select(*[F.col(c).alias(f"r_{c}") for c in grid_right.columns])
+    return (grid_left.groupBy("lb", "rb").cogroup(grid_right.groupBy("r_lb", "r_rb"))
             .applyInArrow(two_blocks, SCHEMA))
 
 

@@ -64,6 +64,17 @@ def test_distance_join_plans_agree(spark, data, small_blocks, name, params):
             assert r.dist == pytest.approx(want, abs=1e-9)
 
 
+def test_blocks_of_a_panel_and_its_own_means(spark, data, small_blocks):
+    from counterpane.operators.model import class_means
+    left, _ = data
+    panel = panel_of(spark, list(left), label=[i % 2 for i in range(len(left))])
+    plans = [D.distance_join(panel, class_means(panel), "manhattan", broadcast_bytes=limit) for limit in (1 << 30, 0)]
+    one, two = [sorted((r.left_id, r.right_id, round(r.dist, 9)) for r in df.collect()) for df in plans]
+    assert one == two and len(one) == 22
+    same_panel = D.distance_join(panel, panel, "manhattan", broadcast_bytes=0)
+    assert same_panel.count() == 121 and same_panel.where("left_id = right_id and dist <> 0").count() == 0
+
+
 def test_series_of_different_lengths(spark, rng):
     a = [rng.normal(size=(t, 2)) for t in (3, 5, 3)]
     b = [rng.normal(size=(t, 2)) for t in (4, 6, 5, 4)]
