@@ -9,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Bytes of text that a worker turns into Python objects at once (one text at least).
 SLICE_BYTES = 4 << 20
 
@@ -95,3 +97,10 @@ def _arrow_types(kinds: str) -> list[tuple[str, pa.DataType]]:
 def salt(hot: Column, key: Column, parts: int) -> Column:
     """0 for ordinary keys, one of `parts` numbers (by `key`) for hot ones."""
     return F.when(hot, F.pmod(F.xxhash64(key), F.lit(parts))).otherwise(F.lit(0))
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, exact_dedup, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,21 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf, "documents"))
+
+
+ORACLES["op7_exact_dedup"] = """
+    with t as (select doc_id, coalesce(text, '') as text,
+                      regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') as body from documents)
+    select doc_id, first_value(doc_id) over (partition by body order by length(text) desc, doc_id) as keep_id,
+           count(*) over (partition by body) as group_size,
+           doc_id = first_value(doc_id) over (partition by body order by length(text) desc, doc_id) as kept,
+           sha256(body) as text_sha256
+    from t"""
+
+
 @query
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
