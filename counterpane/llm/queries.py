@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, token_count
+from . import bpe, exact_dedup, pii, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn_from(docs, table(spark, sf, "labels")))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -43,6 +49,11 @@ ORACLES["op7_exact_dedup"] = """
     from t"""
 
 
+@query
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf, "documents"))
+
+
 @query
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
