@@ -96,7 +96,16 @@ for _c in [*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x2070, 0x20
     _form = str(_digit) if _digit is not None else unicodedata.normalize("NFKC", chr(_c))
     if len(_form) == 1 and _form.isascii():
         _PLAIN[_c] = _form
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_PLAIN)))) + "]")
+# one class for the basic plane (a bit table in `re`) and one range beyond it: together they would be searched one by one
+_ODD_LOW = re.compile("[" + "".join(map(re.escape, map(chr, sorted(c for c in _PLAIN if c < 0x10000)))) + "]")
+_ODD_HIGH = re.compile("[\U0001d400-\U0001d7ff]")
+
+
+def odd(text: str) -> bool:
+    """Whether a text holds a character that a plain one stands for."""
+    return not text.isascii() and (_ODD_LOW.search(text) is not None or _ODD_HIGH.search(text) is not None)
+
+
 
 _WORDS = "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w)))
 #: Three or more digits in words or figures, one of them a word, parted by blanks, dots, dashes or commas.
@@ -122,11 +131,10 @@ _AT_SIGNS = re.compile(rf"{_OPEN}\s*(?:at|dot|@|\.)\s*{_CLOSE}|[_*-](?:at|dot)[_
 def triggers(text: str) -> tuple[bool, bool, bool, bool]:
     """Whether a text may hold look-alikes, digits as words, mail disguises, letters within digits."""
     words = set(text.lower().encode().translate(_LETTERS).split())
-    odd = not text.isascii() and _ODD.search(text) is not None
     spelled = not words.isdisjoint(_NUMBERS) and _SPELLED.search(text) is not None
     mail = b"dot" in words or " @" in text or "@ " in text or "&#" in text or (
         (b"at" in words or "@" in text or "." in text) and _AT_SIGNS.search(text) is not None)
-    return odd, spelled, mail, _LETTER_DIGITS.search(text) is not None
+    return odd(text), spelled, mail, _LETTER_DIGITS.search(text) is not None
 
 
 class Tape:
@@ -152,7 +160,7 @@ def plain_edits(text: str) -> Iterable[tuple[int, int, str]]:
     """Look-alikes inside words that hold ASCII letters, digits or signs, other forms of digits, invisible characters."""
     for m in re.finditer(r"\S+", text):
         word = m[0]
-        if not _ODD.search(word):
+        if not odd(word):
             continue
         new = [(_PLAIN.get(ord(c), c) or "") for c in word]
         if all(c.isascii() for x in new for c in x):  # a word of a foreign script keeps letters of its own
@@ -199,17 +207,17 @@ def mail_edits(text: str) -> Iterable[tuple[int, int, str]]:
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans found only in the rewritten text, in source offsets."""
-    odd, spelled, mail, letters = triggers(text)
-    if not (odd or spelled or mail or letters):
+    strange, spelled, mail, letters = triggers(text)
+    if not (strange or spelled or mail or letters):
         return []
     tape = Tape(text)
-    if odd:
+    if strange:
         tape.rewrite(plain_edits(tape.text))
-    if odd or letters:
+    if strange or letters:
         tape.rewrite((*m.span(), "0" if m[0] in "Oo" else "1") for m in _LETTER_DIGITS.finditer(tape.text))
-    if odd or spelled:
+    if strange or spelled:
         tape.rewrite(spelled_edits(tape.text))
-    if odd or mail:
+    if strange or mail:
         tape.rewrite(mail_edits(tape.text))
     if tape.text == text:
         return []
