@@ -13,6 +13,8 @@ from ..session import scratch_path
 
 #: Bytes of text that a worker turns into Python objects at once (one text at least).
 SLICE_BYTES = 4 << 20
+#: A key is hot with more than 1/HOT of all rows; its rows are joined in SALTS parts.
+HOT, SALTS = 128, 64
 
 
 def frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,9 +96,21 @@ def _arrow_types(kinds: str) -> list[tuple[str, pa.DataType]]:
     return [(name, types[kind]) for name, kind in (part.split() for part in kinds.split(", "))]
 
 
-def salt(hot: Column, key: Column, parts: int) -> Column:
-    """0 for ordinary keys, one of `parts` numbers (by `key`) for hot ones."""
-    return F.when(hot, F.pmod(F.xxhash64(key), F.lit(parts))).otherwise(F.lit(0))
+def hot_keys(groups: DataFrame, keys: list[str], total: int) -> list[int]:
+    """Hashes of the keys of groups with more than 1/HOT of all rows: fewer than HOT."""
+    rows = groups.where(F.col("n") > max(total // HOT, 1000)).select(F.xxhash64(*keys).alias("h")).collect()
+    return [r.h for r in rows]
+
+
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
+    """Join rows with their groups; rows of hot groups are spread over SALTS copies of the group's row."""
+    if not hot:
+        return rows.join(groups, keys)
+    of = F.xxhash64(*keys).isin(hot)
+    left = rows.withColumn("salt", F.when(of, F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = groups.withColumn("salt", F.explode(F.when(of, F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                                                .otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "salt"]).drop("salt")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

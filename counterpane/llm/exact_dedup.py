@@ -20,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, keep, salt
+from .common import frame, hot_keys, join_back, keep
 
 WIDTH, GROWTH = 64, 4
-HOT, SALTS = 128, 64
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -32,23 +31,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
 
-def _hot(groups: DataFrame, keys: list[str], total: int) -> list[int]:
-    """Hashes of the keys of groups with more than 1/HOT of all rows: fewer than HOT."""
-    rows = groups.where(F.col("n") > max(total // HOT, 1000)).select(F.xxhash64(*keys).alias("h")).collect()
-    return [r.h for r in rows]
-
-
-def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
-    """Join rows with their groups; rows of hot groups are spread over SALTS copies of the group's row."""
-    if not hot:
-        return rows.join(groups, keys)
-    of = F.xxhash64(*keys).isin(hot)
-    left = rows.withColumn("salt", salt(of, F.col("rid"), SALTS))
-    right = groups.withColumn("salt", F.explode(F.when(of, F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                                                .otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "salt"]).drop("salt")
-
-
 def radix_groups(docs: DataFrame) -> DataFrame:
     """Groups of two or more equal texts: `rid, gid, n` for a table of `rid, body` (bytes), one row for each member."""
     done = docs.select("rid", F.col("rid").alias("gid"), F.lit(1).cast("bigint").alias("n")).limit(0)
@@ -62,7 +44,7 @@ def radix_groups(docs: DataFrame) -> DataFrame:
             return done
         total = total or members
         more = F.length("part") == width
-        found = keep(join_back(level, groups, ["gid", "part"], _hot(groups, ["gid", "part"], total)).select(
+        found = keep(join_back(level, groups, ["gid", "part"], hot_keys(groups, ["gid", "part"], total)).select(
             "rid", F.col("new").alias("gid"), "n", (~more).alias("ended"),
             F.when(more, F.expr(f"substring(body, {width + 1})")).alias("body")), "radix-members")
         done = done.unionByName(found.where("ended").select("rid", "gid", "n"))
@@ -91,6 +73,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"))
     best = keep(best.select("gid", "n", F.col("best.doc_id").alias("keep_id")), "radix-best")
     total = best.agg(F.sum("n")).first()[0] or 0
-    joined = join_back(shared, best.select("gid", "keep_id", "n"), ["gid"], _hot(best, ["gid"], total)).select(
+    joined = join_back(shared, best.select("gid", "keep_id", "n"), ["gid"], hot_keys(best, ["gid"], total)).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)

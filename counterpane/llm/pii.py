@@ -119,7 +119,8 @@ _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s*[_*-]dot[_*-]\s*|\s+dot\s+
 _HARD_DOT = re.compile(r"(?<![^\W_])dot(?![^\W_])|" + rf"{_OPEN}\s*\.\s*{_CLOSE}|&\#46;", re.I)
 _MAIL = re.compile(rf"(?P<local>(?<![A-Za-z0-9%+-])[A-Za-z0-9%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*)(?P<at>{_AT})"
                    rf"(?P<domain>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.I)
-_LETTER_DIGITS = re.compile(r"(?<=[0-9])[OoIl](?=[0-9\x20().-]*[0-9])")
+_LETTER_DIGITS = re.compile(r"(?<=[0-9])[OoIl](?=[0-9\x20().-]*[0-9])|(?<=[0-9][\x20-])[OoIl](?=[0-9])")
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*(?=[0-9])", re.I)
 
 
 # Triggers look at the set of words first: cheap on bytes, and few texts hold these words.
@@ -218,6 +219,7 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     if strange or spelled:
         tape.rewrite(spelled_edits(tape.text))
     if strange or mail:
+        tape.rewrite((*m.span(), ".") for m in _NUMBER_DOT.finditer(tape.text))
         tape.rewrite(mail_edits(tape.text))
     if tape.text == text:
         return []

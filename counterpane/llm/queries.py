@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii, token_count, toxicity
+from . import bpe, exact_dedup, near_dup, pii, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn_from(docs, table(spark, sf, "labels")))
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
