@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -34,16 +34,21 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int,
                     max_chars: int) -> DataFrame:
-    """`doc_id, text, y` of at most `rows` labelled rows outside the held-out fold.
+    """`doc_id, text, y, weight` of at most `rows` labelled rows of each label outside the held-out fold.
 
-    The ids are drawn first, from the narrow label table in hash order, so that only `rows` ids are broadcast and no
-    text is shuffled. Null ids, null labels, null texts and texts beyond `max_chars` are not learned from; a repeated
-    label row counts once, with its largest label.
+    The ids are drawn first, from the narrow label table in hash order within each label, so that only a bounded number
+    of ids is broadcast and no text is shuffled; `weight` is the number of rows that a drawn row stands for. Null ids,
+    null labels, null texts and texts beyond `max_chars` are not learned from; a repeated label row counts once, with
+    its largest label.
     """
-    chosen = (labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("y"))
-              .where(~held_out(F.col("doc_id"), folds, held) & F.col("y").isNotNull())
-              .groupBy("doc_id").agg(F.max("y").alias("y"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    known = (labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("y"))
+             .where(~held_out(F.col("doc_id"), folds, held) & F.col("y").isNotNull())
+             .groupBy("doc_id").agg(F.max("y").alias("y")))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(1000).collect()}
+    place = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows).drop("place")
+    chosen = chosen.withColumn("weight", F.coalesce(*[F.when(F.col("y") == y, F.lit(n / min(n, rows)))
+                                                      for y, n in sizes.items()], F.lit(1.0)))
     return frame(docs).where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
 
 
@@ -103,14 +108,17 @@ def hot_keys(groups: DataFrame, keys: list[str], total: int) -> list[int]:
 
 
 def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
-    """Join rows with their groups; rows of hot groups are spread over SALTS copies of the group's row."""
+    """Join rows with their groups; rows of hot groups are spread over SALTS copies of the group's row.
+
+    The join is by shuffle at every size, so that what is measured on small tables holds for large ones.
+    """
     if not hot:
-        return rows.join(groups, keys)
+        return rows.join(groups.hint("merge"), keys)
     of = F.xxhash64(*keys).isin(hot)
     left = rows.withColumn("salt", F.when(of, F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     right = groups.withColumn("salt", F.explode(F.when(of, F.sequence(F.lit(0), F.lit(SALTS - 1)))
                                                 .otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "salt"]).drop("salt")
+    return left.join(right.hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

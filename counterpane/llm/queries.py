@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dup, pii, token_count, toxicity
+from . import bpe, decontaminate, exact_dedup, near_dup, pii, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,11 @@ ORACLES["op7_exact_dedup"] = """
     from t"""
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf, "documents"))

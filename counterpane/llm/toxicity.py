@@ -4,8 +4,8 @@ Folding lowers case, maps look-alike letters of other scripts and digit substitu
 invisible characters. Entries are whole words of folded text; an occurrence inside an exception phrase does not count.
 The weights of the occurrences, over the words of the text, give a density, and a logistic curve gives the score.
 
-Lexicon, exceptions and curve are learned from a bounded sample of labelled rows (`MAX_ROWS` rows of at most `MAX_CHARS`
-characters): an entry needs `MIN_CONTEXTS` different words before and after it in toxic rows (copies of one text count once) and a
+Lexicon, exceptions and curve are learned from a bounded sample of labelled rows (`MAX_ROWS` rows of each label,
+of at most `MAX_CHARS` characters): an entry needs `MIN_CONTEXTS` different words before and after it in toxic rows (copies of one text count once) and a
  log-odds of `MIN_LOG_ODDS`; a phrase of two words is an exception if clean rows hold it in `MIN_CLEAN` contexts
 and toxic rows never do.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import frame, held_out, labelled_sample, map_texts
 
-MAX_ROWS, MAX_CHARS = 8000, 20_000
-MIN_CONTEXTS, MIN_LOG_ODDS, MIN_CLEAN, MAX_ENTRIES = 4, 2.5, 3, 20_000
+MAX_ROWS, MAX_CHARS = 2500, 20_000
+MIN_CONTEXTS, MIN_LOG_ODDS, MIN_CLEAN, MAX_ENTRIES = 4, 0.9, 3, 20_000
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -127,48 +127,57 @@ def score_of(lexicon: Lexicon, value: float) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def learn(rows: list[tuple[str, int]], seed: dict[str, float] | None = None) -> Lexicon:
-    """A lexicon from (text, label) rows; `seed` entries are kept with the weights given."""
-    contexts: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    phrases: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    sizes = Counter()
-    split = []
-    for text, label in rows:
-        words = _WORD.findall(fold(text or ""))
-        split.append((words, label))
-        sizes[label] += len(words)
-        around = ["", *words, ""]
-        for i, word in enumerate(words):
-            contexts[label][word].add((around[i], around[i + 2]))
+def learn(rows: list[tuple[str, int, float]], seed: dict[str, float] | None = None) -> Lexicon:
+    """A lexicon from (text, label, weight) rows; `seed` entries are kept with the weights given."""
+    before, behind, places, words_of = defaultdict(set), defaultdict(set), defaultdict(set), Counter()
+    for text, label, _ in rows:
+        if label:
+            words = _WORD.findall(fold(text))
+            words_of[1] += len(words)
+            for a, word, b in zip(["", *words], words, [*words[1:], ""]):
+                before[word].add(a)
+                behind[word].add(b)
+    often = {w for w, seen in before.items() if len(w) > 2 and min(len(seen), len(behind[w])) >= MIN_CONTEXTS}
+    toxic = {w: max(len(before[w]), len(behind[w])) for w in often}
+    for text, label, _ in rows:
+        if not label:
+            words = _WORD.findall(fold(text))
+            words_of[0] += len(words)
+            for a, word, b in zip(["", *words], words, [*words[1:], ""]):
+                if word in often and len(places[word]) <= toxic[word]:
+                    places[word].add((a, b))
     weights = {fold(k): v for k, v in (seed or {}).items()}
-    for word, seen in contexts[1].items():
-        if min(len({a for a, _ in seen}), len({b for _, b in seen})) >= MIN_CONTEXTS and len(word) > 2:
-            odds = math.log((len(seen) + 0.5) / (sizes[1] + 1)) - math.log(
-                (len(contexts[0].get(word, ())) + 0.5) / (sizes[0] + 1))
-            if odds >= MIN_LOG_ODDS:
-                weights.setdefault(word, odds)
+    for word, n in toxic.items():
+        odds = math.log((n + 0.5) / (words_of[1] + 1)) - math.log((len(places[word]) + 0.5) / (words_of[0] + 1))
+        odds -= 1.5 * math.sqrt(1 / (n + 0.5) + 1 / (len(places[word]) + 0.5))
+        if odds >= MIN_LOG_ODDS:
+            weights.setdefault(word, odds)
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES])
-    for words, label in split:
-        for i in range(len(words) - 1):
-            if words[i] in weights or words[i + 1] in weights:
-                phrases[label][f"{words[i]} {words[i + 1]}"].add((words[i - 1] if i else "", *words[i + 2:i + 3]))
+    phrases: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
+    for text, label, _ in rows:
+        words = _WORD.findall(fold(text))
+        for i, (a, b) in enumerate(zip(words, words[1:])):
+            if a in weights or b in weights:
+                phrases[min(label, 1)][f"{a} {b}"].add((words[i - 1] if i else "", *words[i + 2:i + 3]))
     exceptions = tuple(sorted(p for p, seen in phrases[0].items() if len(seen) >= MIN_CLEAN and p not in phrases[1]))
     bare = Lexicon(weights, exceptions)
     built = automaton(bare)
-    values, labels = [], []
-    for text, label in rows:
-        folded = fold(text or "")
+    values, labels, counts = [], [], []
+    for text, label, weight in rows:
+        folded = fold(text)
         values.append(math.log1p(density(sum(w for *_, w in find(folded, built)), len(folded.split()))))
         labels.append(label)
+        counts.append(weight)
     if len(set(labels)) < 2:
         return bare if not labels else Lexicon(weights, exceptions, 60.0 if labels[0] else -60.0, 0.0)
-    x, y = np.array(values), np.array(labels, float)
+    x, y, w = np.array(values), np.array(labels, float), np.array(counts, float)
+    w *= len(w) / w.sum()
     beta = np.zeros(2)
     design = np.stack([np.ones_like(x), x], 1)
     for _ in range(50):  # Newton's method with a small ridge on the slope
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - p) - np.array([0, 0.05]) * beta
-        hessian = (design.T * (p * (1 - p))) @ design + np.diag([1e-6, 0.05])
+        gradient = design.T @ (w * (y - p)) - np.array([0, 0.05]) * beta
+        hessian = (design.T * (w * p * (1 - p))) @ design + np.diag([1e-6, 0.05])
         step = np.clip(np.linalg.solve(hessian, gradient), -5, 5)
         beta += step
         if np.abs(step).max() < 1e-8:
@@ -179,8 +188,8 @@ def learn(rows: list[tuple[str, int]], seed: dict[str, float] | None = None) ->
 def learn_from(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
                seed: dict[str, float] | None = None) -> Lexicon:
     """A lexicon from the bounded labelled sample outside the held-out fold."""
-    rows = labelled_sample(docs, labels, label, folds, held, MAX_ROWS, MAX_CHARS).orderBy("doc_id").collect()
-    return learn([(r.text, r.y) for r in rows], seed)
+    rows = labelled_sample(docs, labels, label, folds, held, MAX_ROWS, MAX_CHARS).orderBy("doc_id").toArrow()
+    return learn(list(zip(*(rows.column(c).to_pylist() for c in ("text", "y", "weight")))), seed)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, folds: int = 5, held: int = 0,
