@@ -124,5 +124,5 @@ def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], hot: list[int
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
