@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, near_dup, pii, token_count, toxicity
+from . import (bpe, decontaminate, exact_dedup, language, line_dedup, near_dup, pii, quality, token_count,
+               toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,11 +35,23 @@ def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.score_quality(docs, quality.learn_from(docs, table(spark, sf, "labels")))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
+@query
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language.predict_language(docs, language.learn_from(docs))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
