@@ -4,10 +4,10 @@ Folding lowers case, maps look-alike letters of other scripts and digit substitu
 invisible characters. Entries are whole words of folded text; an occurrence inside an exception phrase does not count.
 The weights of the occurrences, over the words of the text, give a density, and a logistic curve gives the score.
 
-Lexicon, exceptions and curve are learned from a bounded sample of labelled rows (`MAX_ROWS` rows of each label,
-of at most `MAX_CHARS` characters): an entry needs `MIN_CONTEXTS` different words before and after it in toxic rows (copies of one text count once) and a
- log-odds of `MIN_LOG_ODDS`; a phrase of two words is an exception if clean rows hold it in `MIN_CLEAN` contexts
-and toxic rows never do.
+Lexicon, exceptions and curve are learned from a bounded sample of labelled rows (`MAX_ROWS` rows of each label, of at
+most `MAX_CHARS` characters): an entry needs `MIN_CONTEXTS` different words before and after it in toxic rows (copies of
+one text count once) and a log-odds of `MIN_LOG_ODDS` after one and a half standard errors; a phrase of two words is an
+exception if clean rows hold it in `MIN_CLEAN` contexts and toxic rows never do.
 
 Defined results: null and empty texts have no match and the score of density 0; without labels every score is 0;
 null ids are held out; repeated rows repeat; other columns are ignored; an empty table gives an empty table.
@@ -129,7 +129,7 @@ def score_of(lexicon: Lexicon, value: float) -> float:
 
 def learn(rows: list[tuple[str, int, float]], seed: dict[str, float] | None = None) -> Lexicon:
     """A lexicon from (text, label, weight) rows; `seed` entries are kept with the weights given."""
-    before, behind, places, words_of = defaultdict(set), defaultdict(set), defaultdict(set), Counter()
+    before, behind, clean, words_of = defaultdict(set), defaultdict(set), Counter(), Counter()
     for text, label, _ in rows:
         if label:
             words = _WORD.findall(fold(text))
@@ -143,13 +143,11 @@ def learn(rows: list[tuple[str, int, float]], seed: dict[str, float] | None = No
         if not label:
             words = _WORD.findall(fold(text))
             words_of[0] += len(words)
-            for a, word, b in zip(["", *words], words, [*words[1:], ""]):
-                if word in often and len(places[word]) <= toxic[word]:
-                    places[word].add((a, b))
+            clean.update(word for word in words if word in often)
     weights = {fold(k): v for k, v in (seed or {}).items()}
     for word, n in toxic.items():
-        odds = math.log((n + 0.5) / (words_of[1] + 1)) - math.log((len(places[word]) + 0.5) / (words_of[0] + 1))
-        odds -= 1.5 * math.sqrt(1 / (n + 0.5) + 1 / (len(places[word]) + 0.5))
+        odds = math.log((n + 0.5) / (words_of[1] + 1)) - math.log((clean[word] + 0.5) / (words_of[0] + 1))
+        odds -= 1.5 * math.sqrt(1 / (n + 0.5) + 1 / (clean[word] + 0.5))
         if odds >= MIN_LOG_ODDS:
             weights.setdefault(word, odds)
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES])
@@ -172,15 +170,23 @@ def learn(rows: list[tuple[str, int, float]], seed: dict[str, float] | None = No
         return bare if not labels else Lexicon(weights, exceptions, 60.0 if labels[0] else -60.0, 0.0)
     x, y, w = np.array(values), np.array(labels, float), np.array(counts, float)
     w *= len(w) / w.sum()
-    beta = np.zeros(2)
     design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(50):  # Newton's method with a small ridge on the slope
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (w * (y - p)) - np.array([0, 0.05]) * beta
-        hessian = (design.T * (w * p * (1 - p))) @ design + np.diag([1e-6, 0.05])
-        step = np.clip(np.linalg.solve(hessian, gradient), -5, 5)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+    ridge = np.array([1e-3, 0.1])
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (ridge * beta ** 2).sum() / 2)
+
+    beta = np.zeros(2)
+    for _ in range(100):  # Newton's method with a small ridge and halved steps
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        gradient = design.T @ (w * (p - y)) + ridge * beta
+        step = np.linalg.solve((design.T * (w * p * (1 - p))) @ design + np.diag(ridge), gradient)
+        size = 1.0
+        while loss(beta - size * step) > loss(beta) and size > 1e-6:
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return Lexicon(weights, exceptions, float(beta[0]), float(beta[1]))
 
