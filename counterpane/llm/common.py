@@ -94,6 +94,22 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[t
     return df.select(*names, "text").mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]],
+                 most: int = SLICE_BYTES) -> DataFrame:
+    """The rows, with all their columns, for which a function of a list of texts says true. Nothing is shuffled."""
+    position = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(position), most):
+                yield batch.slice(at, len(texts)).filter(pa.array(work(texts), pa.bool_()))
+                at += len(texts)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _arrow_types(kinds: str) -> list[tuple[str, pa.DataType]]:
     types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
              "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),

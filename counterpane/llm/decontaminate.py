@@ -16,17 +16,19 @@ null and repeated rows repeat; other columns are ignored; an empty table or benc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, map_texts
+from .common import filter_texts, frame, keep, map_texts
 
 Q, WINDOW, STRIDE, EDITS, MIN_BYTES = 8, 80, 40, 0.1, 32
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that a task searches at once.
+SLICE = 1 << 20
 _BITS = 22
 _MARKS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -169,18 +171,26 @@ def contaminated(texts: list[str], windows: Windows) -> list[dict[int, float]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`doc_id, n_items, items, similarity, kept` of every row; `kept` is false for contaminated texts."""
+def blocks_of(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Windows]:
+    """The windows of the benchmark, block by block."""
     items = frame(benchmark, item_col, item_text).where("text is not null and doc_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // (BLOCK_BYTES // 2)) + 1
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        yield Windows.of((r.doc_id, r.text) for r in own.collect())
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`doc_id, n_items, items, similarity, kept` of every row; `kept` is false for contaminated texts."""
+    blocks = list(blocks_of(benchmark, item_col, item_text))
     source = frame(docs, id_col, text_col)
+    if len(blocks) > 1:  # every pass must see the same rows, so they are numbered once
+        source = keep(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "decontaminate")
     passes = []
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        rows = [(r.doc_id, r.text) for r in own.collect()]
-        windows = source.sparkSession.sparkContext.broadcast(Windows.of(rows))
+    for block in blocks:
+        windows = source.sparkSession.sparkContext.broadcast(block)
 
         def make(windows=windows) -> Callable[[list[str]], Iterable[tuple]]:
             def work(texts: list[str]) -> Iterable[tuple]:
@@ -188,18 +198,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     yield sorted(found), max(found.values(), default=0.0)
             return work
 
-        passes.append((make, "items array<bigint>, similarity double"))
-    if blocks == 1:
-        found = map_texts(source, *passes[0], most=1 << 20)
-    else:  # every pass sees the same rows, numbered once
-        from .common import keep
-
-        source = keep(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "decontaminate")
-        each = [map_texts(source, *p, most=1 << 20) for p in passes]
-        found = each[0]
-        for other in each[1:]:
-            found = found.unionByName(other)
-        found = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list(
-            "items"))).alias("items"), F.max("similarity").alias("similarity"))
+        passes.append(map_texts(source, make, "items array<bigint>, similarity double", SLICE))
+    found = passes[0]
+    for other in passes[1:]:
+        found = found.unionByName(other)
+    if len(blocks) > 1:
+        found = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.array_distinct(F.flatten(
+            F.collect_list("items")))).alias("items"), F.max("similarity").alias("similarity"))
     return found.select("doc_id", F.size("items").cast("bigint").alias("n_items"), "items", "similarity",
                         (F.size("items") == 0).alias("kept"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+               item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text holds no passage of the benchmark."""
+    for block in blocks_of(benchmark, item_col, item_text):
+        windows = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(windows=windows) -> Callable[[list[str]], list[bool]]:
+            return lambda texts: [not found for found in contaminated(texts, windows.value)]
+
+        docs = filter_texts(docs, text_col, make, SLICE)
+    return docs

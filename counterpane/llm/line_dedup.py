@@ -121,20 +121,25 @@ def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataF
     return found.select("rid", joined["lines"].alias("gone")).where(F.size("gone") > 0)
 
 
-def remove_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """`doc_id, text, n_lines, n_removed` of every row, with later occurrences of repeated passages taken out."""
-    numbered = frame(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    table = keep(numbered, "line-rows")
+def without_repeats(table: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """`rid, text, n_lines, n_removed` of a written table `rid, text` with distinct `rid`."""
     source = table.select("rid", "text")
     chunks = keep(chunked(source), "line-chunks")
     gone = repeated_runs(source, chunks, min_chars)
     cleaned = source.join(gone.hint("merge"), "rid", "left").select(
         "rid", "text", "gone", lines_of(F.col("text")).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    cleaned = cleaned.select(
+    return cleaned.select(
         "rid", F.when(F.col("gone").isNull(), F.col("text")).otherwise(
             F.array_join(F.transform(left, lambda i: F.get("lines", i)), "")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.size(left)).cast("bigint").alias("n_removed"))
-    return table.select("rid", "doc_id").join(cleaned, "rid").select("doc_id", "text", "n_lines", "n_removed")
+
+
+def remove_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """`doc_id, text, n_lines, n_removed` of every row, with later occurrences of repeated passages taken out."""
+    table = keep(frame(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"),
+                 "line-rows")
+    return table.select("rid", "doc_id").join(without_repeats(table, min_chars), "rid").select(
+        "doc_id", "text", "n_lines", "n_removed")

@@ -205,6 +205,21 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     """`doc_id, n_shingles, component_id, kept` of every row; linked where 100 * shared >= percent * joint."""
     source = keep(frame(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"),
                   "near-rows")
+    found = near_components(source.select("rid", "text"), size, percent, bands, rows)
+    named = keep(source.select("rid", "doc_id").join(found, "rid"), "near-members")
+    least = keep(named.groupBy("comp").agg(F.count("*").alias("n"), F.min("doc_id").alias("component_id")).where("n > 1"),
+                 "near-least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    single = named.join(least, "comp", "left_anti").withColumn("component_id", F.col("doc_id"))
+    several = join_back(named, least.drop("n"), ["comp"], hot_keys(least, ["comp"], total))
+    return single.select("doc_id", "n_shingles", "component_id").unionByName(
+        several.select("doc_id", "n_shingles", "component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_components(source: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS,
+                    rows: int = ROWS) -> DataFrame:
+    """`rid, n_shingles, comp` (smallest row number of the component) of a written table `rid, text`."""
     table = keep(summaries(source, size, bands, rows), "near-summaries")
     full = table.where("n_shingles > 0")
     classes = keep(full.groupBy("d1", "d2", "n_shingles").agg(F.count("*").alias("n"), F.min("rid").alias("rep")),
@@ -243,16 +258,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
             comps = keep(components(nodes, links.unionByName(found.select("a", "b"))), "near-components")
 
     of = member.join(comps.select(F.col("rid").alias("rep"), "comp"), "rep").select("rid", "comp")
-    named = source.select("rid", "doc_id").join(table.select("rid", "n_shingles"), "rid").join(of, "rid", "left").select(
-        "rid", "doc_id", "n_shingles", F.coalesce("comp", "rid").alias("comp"))
-    named = keep(named, "near-members")
-    least = keep(named.groupBy("comp").agg(F.count("*").alias("n"), F.min("doc_id").alias("component_id")).where("n > 1"),
-                 "near-least")
-    single = named.join(least, "comp", "left_anti").withColumn("component_id", F.col("doc_id"))
-    several = join_back(named, least.drop("n"), ["comp"], hot_keys(least, ["comp"], total))
-    return single.select("doc_id", "n_shingles", "component_id").unionByName(
-        several.select("doc_id", "n_shingles", "component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return table.select("rid", "n_shingles").join(of, "rid", "left").select(
+        "rid", "n_shingles", F.coalesce("comp", "rid").alias("comp"))
 
 
 def open_pairs(crowded: DataFrame, comps: DataFrame, known: DataFrame, percent: int) -> DataFrame:

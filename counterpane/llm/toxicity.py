@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, held_out, labelled_sample, map_texts
+from .common import filter_texts, frame, held_out, labelled_sample, map_texts
 
 MAX_ROWS, MAX_CHARS = 2500, 20_000
 MIN_CONTEXTS, MIN_LOG_ODDS, MIN_CLEAN, MAX_ENTRIES = 4, 0.9, 3, 20_000
@@ -198,20 +198,31 @@ def learn_from(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds:
     return learn(list(zip(*(rows.column(c).to_pylist() for c in ("text", "y", "weight")))), seed)
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, folds: int = 5, held: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, n_hits, score, held_out, predicted` of every whole text."""
+def scorer(lexicon: Lexicon) -> Callable[[list[str]], Iterable[tuple[int, float]]]:
+    """Number of occurrences and score of each text."""
+    built = automaton(lexicon)
 
-    def make() -> Callable[[list[str]], Iterable[tuple]]:
-        built = automaton(lexicon)
+    def work(texts: list[str]) -> Iterable[tuple[int, float]]:
+        for text in texts:
+            folded = fold(text)
+            hits = find(folded, built)
+            yield len(hits), score_of(lexicon, density(sum(w for *_, w in hits), len(folded.split())))
+    return work
 
-        def work(texts: list[str]) -> Iterable[tuple]:
-            for text in texts:
-                folded = fold(text)
-                hits = find(folded, built)
-                yield len(hits), score_of(lexicon, density(sum(w for *_, w in hits), len(folded.split())))
-        return work
 
-    scored = map_texts(frame(docs, id_col, text_col), make, "n_hits bigint, score double")
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, folds: int = 5, held: int = 0,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id, held_out, score, predicted, n_hits` of every whole text."""
+    scored = map_texts(frame(docs, id_col, text_col), lambda: scorer(lexicon), "n_hits bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, held).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold."""
+
+    def make() -> Callable[[list[str]], list[bool]]:
+        work = scorer(lexicon)
+        return lambda texts: [score < threshold for _, score in work(texts)]
+
+    return filter_texts(docs, text_col, make)
