@@ -8,8 +8,8 @@ A document is the set of its distinct word shingles. Documents with equal sets c
 anything is compared. Bands of the signature put representatives into buckets; each bucket compares its members with
 one leader (another one in each band, chosen by hash), and components are formed from the links confirmed on the full
 sets. Buckets that still hold several components compare the members outside the largest one with the rest of the
-bucket, except pairs that the exact distances to the leader rule out (Jaccard distance is a metric). So no link between
-documents that share a bucket is lost, and a group of near copies costs pairs in proportion to its size.
+bucket, except pairs that the exact distances to the leader rule out (Jaccard distance is a metric), inside tasks and in
+blocks. So no link between documents that share a bucket is lost, and no pairs but those with a leader become rows.
 
 The chance that two documents at the threshold of 0.85 share no bucket is (1 - 0.85**ROWS)**BANDS, below 1e-6.
 
@@ -250,43 +250,114 @@ def near_components(source: DataFrame, size: int = 3, percent: int = 85, bands:
     nodes = keep(reps.select("rid"), "near-nodes")
     comps = keep(components(nodes, links), "near-components")
 
-    rest = open_pairs(crowded, comps, known, percent)
-    if rest.limit(1).count():
-        more = keep(rest.select(F.col("a").alias("rid")).union(rest.select("b")).distinct(), "near-needed")
-        found = keep(verify(rest, texts.join(more, "rid", "left_semi"), size), "near-verified").where(linked)
-        if found.limit(1).count():
-            comps = keep(components(nodes, links.unionByName(found.select("a", "b"))), "near-components")
+    found = open_links(crowded, comps, known, source.select("rid", "text"), table.select("rid", "bands"), size, percent)
+    if found.limit(1).count():
+        comps = keep(components(nodes, links.unionByName(found)), "near-components")
 
     of = member.join(comps.select(F.col("rid").alias("rep"), "comp"), "rep").select("rid", "comp")
     return table.select("rid", "n_shingles").join(of, "rid", "left").select(
         "rid", "n_shingles", F.coalesce("comp", "rid").alias("comp"))
 
 
-def open_pairs(crowded: DataFrame, comps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs `a, b` that share a bucket, lie in different components and may still be linked.
+#: Members of a bucket, and shingles of theirs, that are compared with one another at once.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 
-    Of each bucket only members outside its largest component are paired with the others. Sizes too far apart and
-    distances to the leader that differ by more than the threshold rule a pair out.
+
+def open_links(crowded: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, bands: DataFrame, size: int,
+               percent: int) -> DataFrame:
+    """Links `a, b` between members of a bucket that lie in different components.
+
+    Only members outside the largest component of a bucket are compared with the others, inside tasks: pairs are never
+    rows, only links are. A pair is looked at in the first band that it shares; sizes too far apart and distances to the
+    leader that differ by more than the threshold rule it out. Large buckets are cut into blocks, and each task compares
+    two of them.
     """
     placed = crowded.join(comps, "rid")
-    counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("m"))
+    counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"))
     mixed = keep(counts.groupBy("band", "key").agg(
-        F.count("*").alias("kinds"), F.sum("m").alias("n"),
+        F.count("*").alias("kinds"), F.sum("m").alias("n"), F.sum("shingles").alias("shingles"),
         F.max(F.struct("m", "comp")).alias("top")).where("kinds > 1").select(
-        "band", "key", "n", F.col("top.comp").alias("major")), "near-mixed")
+        "band", "key", "n", F.col("top.comp").alias("major"),
+        F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias(
+            "blocks")), "near-mixed")
     total = mixed.agg(F.sum("n")).first()[0] or 0
-    inside = join_back(placed, mixed.select("band", "key", "major"), ["band", "key"],
+    inside = join_back(placed, mixed.select("band", "key", "major", "blocks"), ["band", "key"],
                        hot_keys(mixed, ["band", "key"], total))
     pair = inside.withColumn("a", F.least("rid", "leader")).withColumn("b", F.greatest("rid", "leader"))
     far = 1 - F.col("shared") / F.col("joint")
-    inside = keep(pair.join(known.select("a", "b", "shared", "joint"), ["a", "b"], "left").select(
-        "band", "key", "rid", "size", "comp", "major",
-        F.when(F.col("rid") == F.col("leader"), 0.0).otherwise(far).alias("far")), "near-mixed-members")
-    x, y = inside.where("comp <> major").alias("x"), inside.alias("y")
+    inside = keep(pair.join(known.select("a", "b", "shared", "joint").hint("merge"), ["a", "b"], "left").select(
+        "band", "key", "rid", "size", "comp", (F.col("comp") != F.col("major")).alias("minor"), "blocks",
+        F.when(F.col("rid") == F.col("leader"), 0.0).otherwise(F.coalesce(far, F.lit(-1.0))).alias("far")),
+        "near-mixed-members")
+    need = keep(inside.select("rid").distinct(), "near-needed")
+    facts = keep(texts.join(need.hint("merge"), "rid", "left_semi").join(bands.hint("merge"), "rid"), "near-facts")
+    own = F.pmod(F.xxhash64("rid", "band"), F.col("blocks"))
+    sent = inside.join(facts.hint("merge"), "rid").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - F.lit(1).cast("bigint"))))
+    sent = sent.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+                       "rid", "size", "comp", "minor", "far", "bands", "text")
+    dealt = sent.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     limit = 1 - percent / 100 + 1e-9
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-                 & (F.col("x.comp") != F.col("y.comp"))
-                 & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
-                 & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= limit, F.lit(True)))
-    return keep(met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
-                .join(known.select("a", "b"), ["a", "b"], "left_anti"), "near-open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        group: list[pa.RecordBatch] = []
+        last = None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if group:
+                found = compare(pa.Table.from_batches(group).combine_chunks(), shingles, percent, limit)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
+                                                  pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+                group.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if last is not None and tuple(keys[a]) != last:
+                    yield from finish()
+                last = tuple(keys[a])
+                group.append(batch.slice(a, b - a))
+        yield from finish()
+
+    return keep(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "near-open-links")
+
+
+def compare(rows: pa.Table, shingles: Shingles, percent: int, limit: float) -> list[tuple[int, int]]:
+    """Links between the members of one block or of two; once two components are linked, they count as one."""
+    col = {c: rows.column(c).to_numpy() for c in ("own", "rid", "size", "comp", "minor", "far")}
+    n, band = len(rows), rows.column("band")[0].as_py()
+    within = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+    keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)[:, :band]
+    minor = np.flatnonzero(col["minor"])
+    comp = col["comp"].copy()
+    sets: dict[int, set] = {}
+    texts = rows.column("text")
+
+    def members(k: int) -> set:
+        if k not in sets:
+            sets[k] = set(shingles.sets([texts[k].as_py()])[0].tolist())
+        return sets[k]
+
+    found = []
+    for x in minor.tolist():
+        open_ = (comp != comp[x]) & ((col["own"] != col["own"][x]) | within)
+        open_ &= np.minimum(col["size"], col["size"][x]) * 100 >= np.maximum(col["size"], col["size"][x]) * percent
+        # two minor members meet once: when the later one in this order is x
+        open_ &= ~(col["minor"] & (np.arange(n) > x))
+        measured = (col["far"] >= 0) & (col["far"][x] >= 0)
+        open_ &= ~measured | (np.abs(col["far"] - col["far"][x]) <= limit)
+        open_ &= ~(keys == keys[x]).any(axis=1)
+        for y in np.flatnonzero(open_).tolist():
+            if comp[x] == comp[y]:
+                continue
+            a, b = members(x), members(y)
+            shared = len(a & b)
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                rx, ry = int(col["rid"][x]), int(col["rid"][y])
+                found.append((min(rx, ry), max(rx, ry)))
+                comp[comp == comp[x]] = comp[y]
+    return found
