@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import frame, hot_keys, join_back, keep
 
-LONG, MIN_CHARS = 9, 100
+LONG, MIN_CHARS, REACH = 9, 100, 8
 _ENDS = rf"(?<=\n)|(?<=[.,;:!?] )|(?<=\S{{{LONG}}} )"
 
 
@@ -56,6 +56,21 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1).cast("int")
 
 
+def _occurrence(chunk: Column, k: Column) -> Column:
+    """The k-th repeated chunk of a row `found, lines`, with the lines beside it (`REACH` at most, nearest first)."""
+    start, stop = chunk["start"], chunk["start"] + chunk["size"]
+    low, high = F.greatest(start - REACH, F.lit(0)), F.least(stop + REACH, F.size("lines"))
+    prior, later = F.get("found", k - 1), F.get("found", k + 1)
+    return F.struct(
+        start.alias("start"), stop.alias("stop"), chunk["hash"].alias("hash"), chunk["own"].alias("own"),
+        F.slice("lines", start + 1, chunk["size"]).alias("body"),
+        F.reverse(F.slice("lines", low + 1, start - low)).alias("before"),
+        F.slice("lines", stop + 1, high - stop).alias("after"),
+        # a match extends no further than to the repeated chunks beside it
+        (start - F.coalesce(prior["start"] + prior["size"], F.lit(0))).alias("free_before"),
+        (F.coalesce(later["start"], F.size("lines")) - stop).alias("free_after"))
+
+
 def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataFrame:
     """`rid, runs` (arrays of first line and line behind the last) of what goes from a table `rid, text`."""
     flat = chunks.select("rid", F.inline("chunks")).where("size > 1")
@@ -69,31 +84,15 @@ def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataF
 
     held = source.join(places.hint("merge"), "rid").select(
         "rid", "found", F.transform(lines_of("text"), bare).alias("lines"))
-    # the lines between a chunk and the repeated ones beside it (within `reach`): a match may extend into them
-    reach = 8
-    each = held.select("rid", "lines", F.posexplode("found").alias("k", "c"),
-                       F.transform("found", lambda c: c["start"]).alias("starts"),
-                       F.transform("found", lambda c: c["start"] + c["size"]).alias("stops"),
-                       F.transform(F.filter("found", lambda c: c["own"]), lambda c: c["hash"]).alias("mine"))
-    start, size = F.col("c.start"), F.col("c.size")
-    low = F.greatest(start - reach, F.lit(0))
-    high = F.least(start + size + reach, F.size("lines"))
-    each = each.select(
-        "rid", start.alias("start"), (start + size).alias("stop"), F.col("c.hash").alias("hash"),
-        F.col("c.own").alias("own"),
-        F.slice("lines", start + 1, size).alias("body"),
-        F.reverse(F.slice("lines", low + 1, start - low)).alias("before"),
-        F.slice("lines", start + size + 1, high - start - size).alias("after"),
-        # what lies between this chunk and its repeated neighbours; an instance extends no further
-        (start - F.coalesce(F.get("stops", F.col("k") - 1), F.lit(0))).alias("free_before"),
-        (F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines")) - start - size).alias("free_after"))
+    # cut inside the row, so that a long text is not copied once for each of its chunks
+    each = held.select("rid", F.inline(F.transform("found", _occurrence)))
     firsts = each.where("own").groupBy("hash").agg(F.min(F.struct("start", "rid", "body", "before", "after")).alias("f"))
     firsts = firsts.select("hash", F.col("f.start").alias("fstart"), F.col("f.rid").alias("frid"),
                            F.col("f.body").alias("fbody"), F.col("f.before").alias("fbefore"),
                            F.col("f.after").alias("fafter"))
     others = each.select("rid", "start", "stop", "hash", "body",
-                         F.slice("before", F.lit(1), F.least("free_before", F.lit(reach))).alias("before"),
-                         F.slice("after", F.lit(1), F.least("free_after", F.lit(reach))).alias("after"))
+                         F.slice("before", F.lit(1), F.least("free_before", F.lit(REACH))).alias("before"),
+                         F.slice("after", F.lit(1), F.least("free_after", F.lit(REACH))).alias("after"))
     same = join_back(others, firsts, ["hash"], hot).where(
         ~((F.col("rid") == F.col("frid")) & (F.col("start") == F.col("fstart"))) & (F.col("body") == F.col("fbody")))
     spans = same.select(
