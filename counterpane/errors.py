@@ -1,28 +1,27 @@
-"""Typed errors: every one names the parameter, the offending value, a hint and its source."""
+"""What is raised on purpose: one error with a short code and free details."""
 
 from __future__ import annotations
 
 from typing import Any
 
 
-class EngineError(Exception):
-    """Base of all errors raised on purpose."""
+class CounterpaneError(ValueError):
+    """`code` says what was refused (`parameter` or `data`), `details` name it."""
 
-    def __init__(self, message: str, config: Any = None, param: str | None = None,
-                 hint: str | None = None, source: str | None = None) -> None:
+    def __init__(self, code: str, message: str, **details: Any) -> None:
         super().__init__(message)
-        self.message, self.config, self.param = message, config, param
-        self.hint, self.source = hint, source
+        self.code, self.details = code, {k: v for k, v in details.items() if v is not None}
 
     def __str__(self) -> str:
-        extra = [f"{name}={value}" for name, value in
-                 (("param", self.param), ("hint", self.hint), ("source", self.source)) if value]
-        return self.message if not extra else f"{self.message} ({'; '.join(extra)})"
+        named = ", ".join(f"{k}: {v}" for k, v in self.details.items())
+        return f"{self.args[0]} [{named}]" if named else str(self.args[0])
 
 
-class ConfigurationError(EngineError):
-    """A parameter or a combination of parameters cannot be used."""
+def bad_parameter(message: str, **details: Any) -> CounterpaneError:
+    """A parameter, or a combination of them, that cannot be used."""
+    return CounterpaneError("parameter", message, **details)
 
 
-class DataTypeError(EngineError):
-    """An input has the wrong type or shape."""
+def bad_data(message: str, **details: Any) -> CounterpaneError:
+    """An input of the wrong type, shape or completeness."""
+    return CounterpaneError("data", message, **details)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import ConfigurationError
+from ..errors import bad_parameter
 
 SUM_DIGITS = 9  # window sums are compared at this precision, so float drift cannot break a tie
 
@@ -73,7 +73,7 @@ def select_channels(x: str | Column, n_ch: str | Column | int, channels: Sequenc
     if channels is None:
         return x
     if not channels or any(isinstance(c, bool) or not isinstance(c, int) or c < 0 for c in channels):
-        raise ConfigurationError("channels must be non-negative integers", config=channels, param="channels")
+        raise bad_parameter("channels must be non-negative integers", config=channels, param="channels")
     steps = (F.size(x) / n_ch).cast("int")
     picked = F.flatten(F.transform(
         F.sequence(F.lit(0), steps - 1),
@@ -165,9 +165,15 @@ def violation(g: str | Column) -> Column:
 
 
 def max_sum_start(w: str | Column, length: str | Column | int) -> Column:
-    """First step of the window with the largest sum, first on ties; 0 if the window covers everything."""
+    """First step of the window with the largest sum, first on ties; 0 if the window covers everything.
+
+    Sums are compared to `SUM_DIGITS` digits of the row's largest weight, so that the scale of the weights is no matter.
+    """
     w, length = _col(w), _col(length)
+    largest = F.array_max(F.transform(w, lambda v: F.abs(v)))
+    unit = F.when(largest > 0, largest).otherwise(F.lit(1.0))
     best = F.array_max(F.transform(
         F.sequence(F.lit(0), F.size(w) - length),
-        lambda s: F.struct(F.round(total(F.slice(w, s + 1, length)), SUM_DIGITS).alias("sum"), (-s).alias("back"))))
+        lambda s: F.struct(F.round(total(F.slice(w, s + 1, length)) / unit, SUM_DIGITS).alias("sum"),
+                           (-s).alias("back"))))
     return F.when(length >= F.size(w), F.lit(0)).otherwise(-best["back"])

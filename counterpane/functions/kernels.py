@@ -139,79 +139,6 @@ def dtw_path(x: np.ndarray, y: np.ndarray, radius: int | None = None) -> tuple[f
     return float(np.sqrt(table[t1][t2])), path[:, 0], path[:, 1]
 
 
-def _cca(a: np.ndarray, b: np.ndarray, k: int, rounds: int = 500, tol: float = 1e-6):
-    """Canonical correlation by alternating regressions with deflation; returns the projection of each side.
-
-    Both sides are centred and scaled to unit variance; once one side has nothing left to explain, the
-    remaining directions stay zero.
-    """
-    def standard(m):
-        mean, scale = m.mean(axis=0), m.std(axis=0, ddof=1)
-        return mean, np.where(scale == 0.0, 1.0, scale)
-
-    (ma, sa), (mb, sb) = standard(a), standard(b)
-    ra, rb = (a - ma) / sa, (b - mb) / sb
-    wa, wb, la, lb = (np.zeros((m.shape[1], k)) for m in (a, b, a, b))
-    for q in range(k):
-        live = np.flatnonzero(np.any(np.abs(rb) > np.finfo(float).eps, axis=0))
-        if not len(live):
-            break
-        inv_a, inv_b = np.linalg.pinv(ra), np.linalg.pinv(rb)
-        score, last = rb[:, live[0]], None
-        for _ in range(rounds):
-            u = inv_a @ score
-            u = u / (np.linalg.norm(u) + np.finfo(float).eps)
-            v = inv_b @ (ra @ u)
-            v = v / (np.linalg.norm(v) + np.finfo(float).eps)
-            score = rb @ v / (v @ v + np.finfo(float).eps)
-            if last is not None and ((u - last) @ (u - last) < tol or len(v) == 1):
-                break
-            last = u
-        sign = np.sign(u[np.argmax(np.abs(u))]) or 1.0
-        u, v = u * sign, v * sign
-        ta, tb = ra @ u, rb @ v
-        la[:, q], lb[:, q] = ta @ ra / (ta @ ta), tb @ rb / (tb @ tb)
-        ra, rb = ra - np.outer(ta, la[:, q]), rb - np.outer(tb, lb[:, q])
-        wa[:, q], wb[:, q] = u, v
-    rot_a, rot_b = wa @ np.linalg.pinv(la.T @ wa), wb @ np.linalg.pinv(lb.T @ wb)
-    return lambda m: (m - ma) / sa @ rot_a, lambda m: (m - mb) / sb @ rot_b
-
-
-def ctw_pair(x: np.ndarray, y: np.ndarray, max_iter: int = 100, n_components: int | None = None,
-             radius: int | None = None) -> float:
-    """Canonical time warping of one pair: alternate alignment and projection until the path repeats."""
-    k = min(x.shape[1], y.shape[1]) if n_components is None else n_components
-    score, pi, pj = dtw_path(x @ np.eye(x.shape[1], k), y @ np.eye(y.shape[1], k), radius)
-    if len(pi) < 2:
-        return score
-    scores, seen = [score], {pi.tobytes() + pj.tobytes(): 0}
-    for _ in range(max_iter - 1):
-        try:
-            with np.errstate(all="ignore"):
-                to_a, to_b = _cca(x[pi], y[pj], k)
-                px, py = to_a(x), to_b(y)
-        except (np.linalg.LinAlgError, ValueError):
-            break
-        if np.isnan(px).any() or np.isnan(py).any():
-            break
-        score, ni, nj = dtw_path(px, py, radius)
-        if np.array_equal(ni, pi) and np.array_equal(nj, pj):
-            break
-        scores.append(score)
-        pi, pj = ni, nj
-        key = pi.tobytes() + pj.tobytes()
-        if key in seen:  # a longer cycle: the remaining rounds are known without running them
-            first, period = seen[key] + 1, len(scores) - 1 - seen[key]
-            return scores[first + (max_iter - 1 - first) % period]
-        seen[key] = len(scores) - 1
-    return scores[-1]
-
-
-def ctw(X: np.ndarray, Y: np.ndarray, max_iter: int = 100, n_components: int | None = None,
-        radius: int | None = None) -> np.ndarray:
-    return np.array([ctw_pair(x, y, max_iter, n_components, radius) for x, y in zip(X, Y)])
-
-
 # --- lower bounds of a series against the box [low, high] around a block of series ---
 
 def _delannoy_log(t1: int, t2: int) -> float:
@@ -262,5 +189,4 @@ METRICS: dict[str, tuple[Callable[..., np.ndarray], tuple[str, ...]]] = {
     "softdtw": (soft_dtw, ("gamma",)),
     "gakraw": (gak_raw, ("sigma",)),
     "gak": (gak, ("sigma",)),
-    "ctw": (ctw, ("max_iter", "n_components", "radius")),
 }

@@ -67,21 +67,23 @@ def beaten_in_groups(targets: np.ndarray, groups: np.ndarray, rivals: np.ndarray
 
 
 def ranks(values: np.ndarray, enough: int | None = None) -> np.ndarray:
-    """Front number of every row; with `enough`, fronts beyond that many rows are lumped together."""
-    n = len(values)
-    dom = dominates(values, values)
-    waiting = dom.sum(axis=0)
-    rank = np.full(n, -1)
-    level, done = 0, 0
-    while done < n:
-        front = (rank < 0) & (waiting == 0)
-        if not front.any() or (enough is not None and done >= enough):
-            rank[rank < 0] = level
-            break
-        rank[front] = level
-        waiting = waiting - dom[front].sum(axis=0)
-        done += int(front.sum())
-        level += 1
+    """Front number of every row: the length of the longest chain of rows that beat one another above it.
+
+    In lexicographic order every row comes after all that beat it, so one pass settles each row for good. With
+    `enough`, rows behind the first fronts that hold so many rows share one number.
+    """
+    order = np.lexsort(values.T[::-1])
+    ordered, chain = values[order], np.zeros(len(values), dtype=np.int64)
+    for i in range(1, len(ordered)):
+        above = ordered[:i]
+        beats = (above <= ordered[i]).all(axis=1) & (above < ordered[i]).any(axis=1)
+        if beats.any():
+            chain[i] = chain[:i][beats].max() + 1
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[order] = chain
+    if enough is not None and len(rank):
+        behind = int(np.searchsorted(np.cumsum(np.bincount(rank)), enough)) + 1
+        rank = np.minimum(rank, behind)
     return rank
 
 

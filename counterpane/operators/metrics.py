@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..errors import ConfigurationError
+from ..errors import bad_parameter
 from ..functions import kernels
 
 LOCK_STEP = ("euclidean", "manhattan")
@@ -22,7 +22,7 @@ class Metric:
     def __call__(self, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
         if self.name in LOCK_STEP and X.shape[1:] != Y.shape[1:]:
             raise ValueError(f"{self.name} needs series of equal shape, got {X.shape[1:]} and {Y.shape[1:]}")
-        if X.shape[2] != Y.shape[2] and self.name != "ctw":
+        if X.shape[2] != Y.shape[2]:
             raise ValueError(f"{self.name} needs equal channel counts, got {X.shape[2]} and {Y.shape[2]}")
         return kernels.METRICS[self.name][0](X, Y, **self.params)
 
@@ -37,10 +37,10 @@ def metric(name: str | Metric, window: int | None = None, gamma: float = 1.0, si
         return name
     key = name.lower().replace("_", "").replace("-", "")
     if key not in kernels.METRICS:
-        raise ConfigurationError(f"unknown distance metric '{name}'", config=name, param="metric",
+        raise bad_parameter(f"unknown distance metric '{name}'", config=name, param="metric",
                                  hint="use one of " + ", ".join(sorted(kernels.METRICS)), source="metric()")
     if window is not None and (isinstance(window, bool) or not isinstance(window, int) or window < 0):
-        raise ConfigurationError("the band radius must be a non-negative integer", config=window, param="window")
+        raise bad_parameter("the band radius must be a non-negative integer", config=window, param="window")
     given = {"radius": window, "gamma": float(gamma), "sigma": float(sigma), "max_iter": max_iter,
              "n_components": n_components}
     return Metric(key, {p: given[p] for p in kernels.METRICS[key][1]})

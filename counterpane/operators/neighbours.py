@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import ConfigurationError
+from ..errors import bad_data, bad_parameter
 from ..session import spread
 from .batches import column, cubes
 from .blocks import cross_block, slack, top_k_block
@@ -32,6 +32,7 @@ HITS = "query_id bigint, ref_id bigint, ref_label int, ref_confidence double, di
 HIT_FIELDS = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.int32()),
                         ("ref_confidence", pa.float64()), ("dist", pa.float64())])
 MAX_PIVOTS = 4096
+MAX_SHAPES = 1024
 SUMMARY_BYTES = 64 << 20  # boxes and pivots of all cells together
 
 
@@ -92,6 +93,12 @@ def _small(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
             .mapInArrow(nearest, f"{HITS}, rank int"))
 
 
+def _scatter(ids: np.ndarray) -> np.ndarray:
+    """Non-negative hashes of ids: blocks stay even whatever stride the ids have."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+
 def _assign(refs: DataFrame, pivots: pa.Table) -> DataFrame:
     """Nearest pivot of every reference of the same shape, by a lock-step distance."""
     parts = list(cubes(pivots))
@@ -157,7 +164,15 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
     refs = refs.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     room = max(1, SUMMARY_BYTES // (24 * cells))
     count = min(n_pivots or isqrt(n_refs), MAX_PIVOTS, room)
-    pivots = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(max(1, count)).toArrow().sort_by("ref_id")
+    order = F.struct(F.xxhash64("ref_id"), "ref_id")
+    drawn = refs.orderBy(order).limit(max(1, count)).select("ref_id")
+    # every shape has a pivot, so that a cell never mixes shapes
+    shapes = refs.groupBy("t_len", "n_ch").agg(F.min(order).alias("o")).select(F.col("o.ref_id").alias("ref_id"))
+    shapes = shapes.limit(MAX_SHAPES + 1)
+    chosen = drawn.union(shapes).distinct()
+    pivots = refs.join(F.broadcast(chosen), "ref_id").toArrow().sort_by("ref_id")
+    if len({*zip(column(pivots, "t_len").tolist(), column(pivots, "n_ch").tolist())}) > MAX_SHAPES:
+        raise bad_data(f"more than {MAX_SHAPES} shapes of series", param="reference")
     assigned = _assign(refs, pivots)
     boxes = _boxes(assigned)
     cell_ids, sizes = column(boxes, "cell"), column(boxes, "n")
@@ -172,6 +187,8 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
         for where, X in cubes(batch):
             limit = np.full(len(X), np.inf)
             for pw, P in cubes(pivots):
+                if metric.name in LOCK_STEP and P.shape[1:] != X.shape[1:]:
+                    continue
                 allowed = (q_lab[where][:, None] != p_lab[pw][None, :] if unlike
                            else np.ones((len(X), len(pw)), dtype=bool))
                 qi, _, dist = top_k_block(metric, k, X, P, allowed)
@@ -209,7 +226,7 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
                 for c in np.flatnonzero(open_cells.any(axis=0)):
                     rows = np.flatnonzero(open_cells[:, c])
                     part = batch.take(pa.array(where[rows]))
-                    block = pa.array(ids[where[rows]] % max(1, query_blocks[c]))
+                    block = pa.array(_scatter(ids[where[rows]]) % max(1, query_blocks[c]))
                     for b in range(ref_blocks[c]):
                         yield pa.RecordBatch.from_arrays(
                             [*part.columns, pa.array(limit[rows]), pa.array(np.full(len(rows), cell_ids[c])),
@@ -241,7 +258,7 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
 def _neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: Metric, unlike: bool,
                 broadcast_bytes: int, n_pivots: int | None, size: tuple[int, int] | None = None) -> DataFrame:
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
-        raise ConfigurationError("the number of neighbours must be a positive integer", config=k, param="k")
+        raise bad_parameter("the number of neighbours must be a positive integer", config=k, param="k")
     q, r = _columns(queries, "query_id"), _columns(reference, "ref_id")
     n_refs, cells = size or panel_size(reference)
     if panel_bytes(n_refs, cells) <= broadcast_bytes:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import violation
 from ..functions.draws import SALT_NICHE, SALT_PICK, draw
-from ..session import cut
+from ..session import cut, join_on
 from .batches import column, matrix
 from .fronts import pareto_rank
 
@@ -60,7 +60,7 @@ def penalise(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], g:
     worst = df.groupBy(*groups).agg(*[
         F.coalesce(F.max(F.when(feasible, F.col(f))), F.max(f)).alias(f"worst_{f}") for f in objectives])
     keep = [c for c in df.columns if c not in objectives]
-    return (df.join(worst, groups)
+    return (join_on(df, worst, groups)
             .select(*keep, *[F.when(feasible, F.col(f)).otherwise(F.col(f"worst_{f}") + cv).alias(f)
                              for f in objectives]))
 
@@ -87,7 +87,7 @@ def extreme_points(front: DataFrame, ideal: DataFrame, groups: Sequence[str], ob
                    row_id: str) -> DataFrame:
     """Per group and axis the front row nearest to that axis, first row on ties: `groups, axis, row_id, f`."""
     groups = list(groups)
-    best = front.join(ideal, groups).groupBy(*groups).agg(_extremes(objectives, row_id).alias("found"))
+    best = join_on(front, ideal, groups).groupBy(*groups).agg(_extremes(objectives, row_id).alias("found"))
     return (best.select(*groups, F.posexplode("found").alias("axis", "p"))
             .select(*groups, "axis", f"p.{row_id}", "p.f"))
 
@@ -127,7 +127,7 @@ def nadir_point(front: DataFrame, ideal: DataFrame, groups: Sequence[str], objec
     """Per group the nadir: where the plane through the extreme points meets the axes, or the largest front
     values where there is no such plane. Returns `groups, ideal, nadir`."""
     groups, n_dim = list(groups), len(objectives)
-    rows = (front.join(ideal, groups).groupBy(*groups, "ideal")
+    rows = (join_on(front, ideal, groups).groupBy(*groups, "ideal")
             .agg(F.count("*").alias("size"), F.array(*[F.max(f) for f in objectives]).alias("worst"),
                  _extremes(objectives, row_id).alias("e"))
             .withColumn("e", F.transform("e", lambda p: F.zip_with(p["f"], "ideal", lambda a, b: a - b))))
@@ -177,7 +177,7 @@ def assign_niche(df: DataFrame, scales: DataFrame, groups: Sequence[str], object
                     [*[batch.column(c) for c in kept], pa.array(niche.astype(np.int32)), pa.array(dist)],
                     names=[*kept, "niche", "niche_dist"])
 
-    return (df.join(scales.select(*groups, "ideal", "nadir"), groups).select(*kept, "ideal", "nadir")
+    return (join_on(df, scales.select(*groups, "ideal", "nadir"), groups).select(*kept, "ideal", "nadir")
             .mapInArrow(place, schema))
 
 
@@ -199,8 +199,8 @@ def niche_select(candidates: DataFrame, counts: DataFrame, n: int | str, groups:
     slot = F.col(row_id)
     closest = (candidates.groupBy(*groups, "niche").agg(F.min(F.struct("niche_dist", row_id)).alias("c"))
                .select(*groups, "niche", F.col(f"c.{row_id}").alias("_closest")))
-    keyed = (candidates.join(counts.select(*groups, "niche", "members"), [*groups, "niche"], "left")
-             .join(closest, [*groups, "niche"])
+    known = join_on(candidates, counts.select(*groups, "niche", "members"), [*groups, "niche"], "left")
+    keyed = (join_on(known, closest, [*groups, "niche"])
              .withColumn("members", F.coalesce("members", F.lit(0)).cast("bigint"))
              .withColumn("_turn", F.when((F.col("members") == 0) & (slot == F.col("_closest")), F.lit(-1.0))
                          .otherwise(draw(seed, SALT_PICK, who, generation, slot, 0))))
@@ -225,18 +225,18 @@ def survive(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row
     """
     groups = list(groups)
     ranked = pareto_rank(penalise(df, groups, objectives, g), groups, objectives, row_id)
-    rows = cut(df.join(ranked.select(*groups, row_id, "rank"), [*groups, row_id]))
+    rows = cut(join_on(df, ranked.select(*groups, row_id, "rank"), [*groups, row_id]))
     by_rank = Window.partitionBy(*groups).orderBy("rank")
     fronts = (rows.groupBy(*groups, "rank").agg(F.count("*").alias("size"))
               .withColumn("upto", F.sum("size").over(by_rank))
               .select(*groups, "rank", "upto", (F.lit(n) - (F.col("upto") - F.col("size"))).alias("room"))
               .where(F.col("room") > 0))
-    placed = rows.join(fronts, [*groups, "rank"])
+    placed = join_on(rows, fronts, [*groups, "rank"])
     front = rows.where(F.col("rank") == 0)
     now = ideal_point(rows, groups, objectives)
     if ideal is not None:
         past = ideal.select(*groups, F.col("ideal").alias("_past"))
-        now = (now.join(past, groups, "left")
+        now = (join_on(now, past, groups, "left")
                .select(*groups, F.when(F.col("_past").isNull(), F.col("ideal")).otherwise(
                    F.zip_with("ideal", "_past", lambda a, b: F.least(a, b))).alias("ideal")))
     scales = nadir_point(front, now, groups, objectives, row_id)

@@ -65,6 +65,15 @@ def draw(*keys: object) -> str:
 # --- sources and scalar functions ---
 
 ORACLES["panel_events"] = f"with {events_cte(1)} select series_id, t, c, round(v, 6) as value from el"
+ORACLES["panel_events_wide"] = """with
+ev as (select user_id as series_id, floor(date_diff('day', date '2024-01-01', ts::date) / 2)::int as t, event_type, value
+       from events),
+ch as (select event_type, (row_number() over (order by event_type) - 1)::int as c from (select distinct event_type from ev)),
+sums as (select series_id, t, c, round(sum(value), 2) as v from ev join ch using (event_type) group by all),
+grid as (select series_id, t::int as t, c from (select distinct series_id from ev), ch,
+         (select unnest(range((select max(t) + 1 from ev))) as t))
+select g.series_id, g.t, g.c, round(coalesce(s.v, 0.0), 6) as value
+from grid g left join sums s on s.series_id = g.series_id and s.t = g.t and s.c = g.c"""
 ORACLES["panel_embeddings"] = f"with {EMB} select series_id, t, c, round(v, 6) as value from el"
 ORACLES["panel_long_roundtrip"] = ORACLES["panel_embeddings"]
 ORACLES["panel_csv_roundtrip"] = (f"with {EMB} select series_id, t, c, round(v, 6) as value, label::bigint as label "
@@ -381,6 +390,12 @@ PENALISED = """ws as (select grp, coalesce(max(case when g <= 0 then f0 end), ma
  pe as (select o.grp, row_id, case when g <= 0 then f0 else w0 + g end as f0, case when g <= 0 then f1 else w1 + g end as f1
    from o join ws using (grp))"""
 ORACLES["penalise"] = f"with {ORDERS}, {PENALISED} select grp, row_id, round(f0, 6) as f0, round(f1, 6) as f1 from pe"
+ORACLES["niche_null_groups"] = f"""with {ORDERS},
+ n as (select case when grp % 4 <> 0 then grp % 4 end as grp, row_id, f0, f1, g from o),
+ ws as (select grp, coalesce(max(case when g <= 0 then f0 end), max(f0)) as w0,
+   coalesce(max(case when g <= 0 then f1 end), max(f1)) as w1 from n group by grp)
+ select n.grp, row_id, round(case when g <= 0 then f0 else w0 + g end, 6) as f0,
+   round(case when g <= 0 then f1 else w1 + g end, 6) as f1 from n join ws on n.grp is not distinct from ws.grp"""
 ORACLES["ideal_point"] = f"""with {OFFERS} select grp, min(f0) as ideal0, min(f1) as ideal1, min(f2) as ideal2
  from o group by grp"""
 W = "1000000::double"

@@ -87,6 +87,13 @@ def panel_events(spark, sf):
     return panel_cells(events(spark, sf))
 
 
+@query
+def panel_events_wide(spark, sf):
+    """The grid is taken from the data: steps of two days up to the last event, channels by name."""
+    step = F.floor(F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 2)
+    return panel_cells(P.panel_from_rows(table(spark, sf, "events"), "user_id", step, "event_type", "value", digits=2))
+
+
 @query
 def panel_embeddings(spark, sf):
     return panel_cells(embeddings(spark, sf))
@@ -227,7 +234,7 @@ def class_distances(metric: str, **params) -> Query:
 for _name, _metric, _params in (
         ("dist_euclidean", "euclidean", {}), ("dist_manhattan", "manhattan", {}), ("dist_dtw", "dtw", {}),
         ("dist_dtw_band", "dtw", {"window": 2}), ("dist_soft_dtw", "soft_dtw", {"gamma": 1.0}),
-        ("dist_gak_raw", "gak_raw", {"sigma": 1.0}), ("dist_gak", "gak", {"sigma": 0.3}), ("dist_ctw", "ctw", {})):
+        ("dist_gak_raw", "gak_raw", {"sigma": 1.0}), ("dist_gak", "gak", {"sigma": 0.3})):
     QUERIES[_name] = class_distances(_metric, **_params)
 
 
@@ -481,6 +488,13 @@ def penalise(spark, sf):
                    *PURCHASE)
 
 
+@query
+def niche_null_groups(spark, sf):
+    """Penalties where every fourth customer's orders have no group."""
+    orders = purchases(spark, sf).withColumn("grp", F.when(F.col("grp") % 4 != 0, F.col("grp") % 4))
+    return rounded(niches.penalise(orders, ["grp"], PURCHASE).select("grp", "row_id", *PURCHASE), *PURCHASE)
+
+
 @query
 def ideal_point(spark, sf):
     found = niches.ideal_point(offers(spark, sf), ["grp"], OFFER)

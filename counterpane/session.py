@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +62,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, F.xxhash64(key))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null keys included; without keys `right` is one row for all of `left`."""
+    names = [f"_key_{i}" for i in range(len(keys))]
+    named = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
+                         *[c for c in right.columns if c not in keys])
+    if not keys:
+        return left.withColumn("_one", F.lit(1)).join(named.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+    same = reduce(lambda a, b: a & b, (left[k].eqNullSafe(named[n]) for k, n in zip(keys, names)))
+    return left.join(named, same, how).drop(*names)

@@ -11,26 +11,51 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DataTypeError
+from ..errors import bad_data, bad_parameter
 
 PANEL = ("series_id", "t_len", "n_ch", "x")
+MAX_CHANNELS = 10_000
 
 
-def panel_from_rows(df: DataFrame, key: str, step: Column, channel: str, value: str, steps: int,
-                    channels: list[str], digits: int | None = None) -> DataFrame:
+def _refuse(message: str, key: str | Column) -> Column:
+    """An expression that fails the job and names the row at fault."""
+    return F.raise_error(F.concat(F.lit(f"{message}: "), (F.col(key) if isinstance(key, str) else key).cast("string")))
+
+
+def panel_from_rows(df: DataFrame, key: str, step: Column, channel: str, value: str, steps: int | None = None,
+                    channels: list[str] | None = None, digits: int | None = None,
+                    outside: str = "raise") -> DataFrame:
     """Sum raw rows into `(series, step, channel)` cells; cells without rows are 0.
 
-    The cells are summed before the shuffle, so a key with very many rows costs one task no more than
-    `steps * channels` rows per map task.
+    The grid is `steps` steps and the named channels; what is not given is taken from the data (steps up to the last
+    one, channels in order of their names). A row outside the grid fails the job, unless `outside` is `drop`. The cells
+    are summed before the shuffle, so a key with very many rows costs one task no more than `steps * channels` rows per
+    map task.
     """
+    if outside not in ("raise", "drop"):
+        raise bad_parameter("rows outside the grid are raised or dropped", param="outside", value=outside)
+    if channels is None:
+        names = df.select(channel).where(F.col(channel).isNotNull()).distinct().limit(MAX_CHANNELS + 1).collect()
+        channels = sorted(r[0] for r in names)
+        if len(channels) > MAX_CHANNELS:
+            raise bad_data(f"more than {MAX_CHANNELS} channels", param="channel")
+    if steps is None:
+        steps = int(df.agg(F.max(step.cast("int"))).first()[0] or 0) + 1
     lookup = F.create_map(*[part for i, name in enumerate(channels) for part in (F.lit(name), F.lit(i))])
-    rows = (df.select(F.col(key).cast("bigint").alias("series_id"), step.cast("int").alias("t"),
-                      lookup[F.col(channel)].alias("c"), F.col(value).cast("double").alias("v"))
-            .where((F.col("t") >= 0) & (F.col("t") < steps) & F.col("c").isNotNull()))
+    rows = df.select(F.col(key).cast("bigint").alias("series_id"), step.cast("int").alias("t"),
+                     (lookup[F.col(channel)] if channels else F.lit(None).cast("int")).alias("c"),
+                     F.col(value).cast("double").alias("v"))
+    fits = F.coalesce((F.col("t") >= 0) & (F.col("t") < steps) & F.col("c").isNotNull(), F.lit(False))
+    if outside == "raise":
+        rows = rows.withColumn("t", F.when(fits, F.col("t")).otherwise(
+            _refuse("a row lies outside the steps and channels, of series", F.coalesce(
+                F.col("series_id").cast("string"), F.lit("null"))).cast("int")))
+    else:
+        rows = rows.where(fits)
     total = F.sum("v") if digits is None else F.round(F.sum("v"), digits)
     cells = (rows.groupBy("series_id", (F.col("t") * len(channels) + F.col("c")).alias("i"))
              .agg(total.alias("v")))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(steps * len(channels) - 1)),
+    filled = F.transform(F.sequence(F.lit(0), F.lit(max(1, steps * len(channels)) - 1)),
                          lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
     return (cells.groupBy("series_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("cells"))
@@ -54,12 +79,19 @@ def to_long(panel: DataFrame, *keep: str) -> DataFrame:
 
 
 def from_long(long: DataFrame) -> DataFrame:
-    """Cells back to series; the order comes from the step and channel, never from the file."""
+    """Cells back to series; the order comes from the step and channel, never from the file.
+
+    A series whose cells do not fill its steps and channels, once each, fails the job.
+    """
     cells = F.array_sort(F.collect_list(F.struct("t", "c", F.col("value").cast("double").alias("value"))))
-    return (long.groupBy("series_id")
-            .agg(cells.alias("cells"), F.max("c").alias("top"))
-            .select("series_id", (F.size("cells") / (F.col("top") + 1)).cast("int").alias("t_len"),
-                    (F.col("top") + 1).cast("int").alias("n_ch"), F.col("cells.value").alias("x")))
+    grouped = long.groupBy("series_id").agg(cells.alias("cells"), F.max("c").alias("top"), F.max("t").alias("last"))
+    n_ch, t_len = (F.col("top") + 1).cast("int"), (F.col("last") + 1).cast("int")
+    placed = F.forall(F.transform("cells", lambda x, i: (x["t"] == F.floor(i / n_ch)) & (x["c"] == i % n_ch)),
+                      lambda ok: ok)
+    whole = F.coalesce((F.size("cells") == t_len * n_ch) & placed, F.lit(False))
+    return grouped.select("series_id", t_len.alias("t_len"), n_ch.alias("n_ch"), F.when(
+        whole, F.col("cells.value")).otherwise(_refuse("missing or repeated cells in series", "series_id").cast(
+            "array<double>")).alias("x"))
 
 
 def to_wide(panel: DataFrame, n_ch: int) -> DataFrame:
@@ -75,12 +107,14 @@ def from_wide(wide: DataFrame) -> DataFrame:
     """Steps back to series; one map-side-combinable shuffle on the series."""
     features = sorted((c for c in wide.columns if c.startswith("feature_")), key=lambda c: int(c[8:]))
     if not features:
-        raise DataTypeError("no feature columns found", param="wide", hint="expected feature_0, feature_1, ...")
+        raise bad_data("no feature columns found", param="wide", hint="expected feature_0, feature_1, ...")
     row = F.array(*[F.col(c).cast("double") for c in features])
     steps = F.array_sort(F.collect_list(F.struct(F.col("time_step").cast("int").alias("t"), row.alias("v"))))
-    return (wide.groupBy(F.col("sample_id").cast("bigint").alias("series_id")).agg(steps.alias("steps"))
-            .select("series_id", F.size("steps").alias("t_len"), F.lit(len(features)).alias("n_ch"),
-                    F.flatten("steps.v").alias("x")))
+    grouped = wide.groupBy(F.col("sample_id").cast("bigint").alias("series_id")).agg(steps.alias("steps"))
+    whole = F.coalesce(F.forall(F.transform("steps", lambda s, i: s["t"] == i), lambda ok: ok), F.lit(False))
+    return grouped.select("series_id", F.size("steps").alias("t_len"), F.lit(len(features)).alias("n_ch"), F.when(
+        whole, F.flatten("steps.v")).otherwise(_refuse("missing or repeated steps in sample", "series_id").cast(
+            "array<double>")).alias("x"))
 
 
 def _companion(path: str) -> str:
@@ -116,7 +150,7 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv", check: bool = T
     if check:
         sizes = panel.agg(F.min("t_len").alias("low"), F.max("t_len").alias("high")).first()
         if sizes["low"] != sizes["high"]:
-            raise DataTypeError(f"series of different lengths: {sizes['low']} to {sizes['high']} steps",
+            raise bad_data(f"series of different lengths: {sizes['low']} to {sizes['high']} steps",
                                 param="path", source="read_panel()")
     if fmt == "csv":
         kind = labels.select("label", F.expr("try_cast(label AS BIGINT)").alias("whole"),
@@ -126,4 +160,9 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv", check: bool = T
             labels = labels.withColumn("label", F.col("label").cast("bigint"))
         elif kind["number"] == kind["n"]:
             labels = labels.withColumn("label", F.col("label").cast("double"))
-    return panel.join(labels.select(F.col("sample_id").cast("bigint").alias("series_id"), "label"), "series_id")
+    named = labels.select(F.col("sample_id").cast("bigint").alias("series_id"), "label", F.lit(True).alias("_labelled"))
+    joined = panel.join(named, "series_id", "left")
+    if not check:
+        return joined.drop("_labelled")
+    return joined.withColumn("x", F.when(F.col("_labelled"), F.col("x")).otherwise(
+        _refuse("no label for sample", "series_id").cast("array<double>"))).drop("_labelled")

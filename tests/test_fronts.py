@@ -170,3 +170,29 @@ def test_survivors(df, rows):
         ranks = sorted(r["rank"] for r in members)
         own = {r[1] for r in rows if r[0] == g}
         assert {r.row_id for r in members} <= own and ranks[0] == 0
+
+
+@pytest.mark.parametrize("groups", [["grp"], []])
+def test_niche_operators_keep_null_groups_and_work_without_groups(spark, groups):
+    from counterpane.operators.niches import assign_niche, ideal_point, nadir_point, penalise, survive
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 2 else 1, i, float(rng.random()), float(rng.random()), float(rng.random() - 0.7)) for i in range(24)]
+    df = spark.createDataFrame(rows, "grp int, row_id bigint, a double, b double, g double")
+    objectives = ["a", "b"]
+    assert penalise(df, groups, objectives).count() == 24
+    ideal = ideal_point(df, groups, objectives)
+    scales = nadir_point(df, ideal, groups, objectives, "row_id")
+    assert assign_niche(df, scales, groups, objectives, 3).count() == 24
+    kept = survive(df, groups, objectives, "row_id", 5).collect()
+    assert len(kept) == (10 if groups else 5) and len({r.row_id for r in kept}) == len(kept)
+
+
+def test_lumped_ranks():
+    from counterpane.operators.fronts import ranks
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 6, (60, 3)).astype(float)
+    whole = ranks(values)
+    assert dict(enumerate(whole.tolist())) == {i: k for i, k in brute_ranks(values).items()}
+    for enough in (1, 10, 40, 60):
+        first = next(k for k in range(1, 61) if (whole < k).sum() >= enough)
+        assert (ranks(values, enough) == np.minimum(whole, first)).all()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import panel_of
 
-from counterpane.errors import ConfigurationError
+from counterpane.errors import CounterpaneError
 from counterpane.operators import model as M
 
 
@@ -50,9 +50,9 @@ def test_any_classifier(panel):
     assert {r.pred_label for r in M.score_panel(panel, Classifier()).collect()} == {1}
     assert {r.pred_label for r in M.score_panel(panel, lambda X: np.tile([0.9, 0.1], (len(X), 1))).collect()} == {0}
     assert M.score_panel(panel, M.CallableModel(loader=Classifier)).count() == 12
-    with pytest.raises(ConfigurationError):
+    with pytest.raises(CounterpaneError):
         M.score_panel(panel, 3)
-    with pytest.raises(ConfigurationError):
+    with pytest.raises(CounterpaneError):
         M.CallableModel()
 
 
@@ -90,18 +90,18 @@ def test_activation_map(panel):
 
 def test_activation_map_needs_matching_layers(panel):
     model = conv()
-    with pytest.raises(ConfigurationError, match="filters"):
+    with pytest.raises(CounterpaneError, match="filters"):
         M.cam_weights(panel, M.ConvModel(model.kernel, model.bias, np.zeros((5, 2)), np.zeros(2)))
-    with pytest.raises(ConfigurationError):
+    with pytest.raises(CounterpaneError):
         M.cam_weights(panel, M.LogitModel())
 
 
 def test_model_size_is_checked(panel, monkeypatch):
     monkeypatch.setattr(M, "MAX_PARAMETERS", 10)
-    with pytest.raises(ConfigurationError, match="too many"):
+    with pytest.raises(CounterpaneError, match="too many"):
         M.fit_centroids(panel)
     monkeypatch.setattr(M, "MAX_CLASSES", 2)
-    with pytest.raises(ConfigurationError, match="more than 2 classes"):
+    with pytest.raises(CounterpaneError, match="more than 2 classes"):
         M.fit_centroids(panel)
 
 

@@ -5,7 +5,7 @@ import pytest
 from conftest import panel_of
 from pyspark.sql import functions as F
 
-from counterpane.errors import ConfigurationError, DataTypeError
+from counterpane.errors import CounterpaneError
 from counterpane.functions import arrays as A
 from counterpane.operators.panel import changed_span, minmax_by_step, scale_to_channel, validate_panel
 from counterpane.operators.windows import max_sum_window, window_starts
@@ -49,7 +49,7 @@ def test_missing_labels_and_ragged_series(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         P.read_panel(spark, str(tmp_path / "d.csv"))
     (tmp_path / "d_labels.csv").write_text("sample_id,label\n0,1.5\n1,2\n")
-    with pytest.raises(DataTypeError):
+    with pytest.raises(CounterpaneError):
         P.read_panel(spark, str(tmp_path / "d.csv"))
     ok = P.read_panel(spark, str(tmp_path / "d.csv"), check=False)
     assert ok.schema["label"].dataType.simpleString() == "double"
@@ -76,7 +76,7 @@ def test_shapes(spark):
     assert first(df.select(A.slice_window("x", "n_ch", 2, 5))) == x[2:7].ravel().tolist()
     with pytest.raises(Exception, match="out of range"):
         df.select(A.select_channels("x", "n_ch", [3])).collect()
-    with pytest.raises(ConfigurationError):
+    with pytest.raises(CounterpaneError):
         A.select_channels("x", "n_ch", [-1])
     with pytest.raises(Exception, match="exactly one"):
         df.select(A.single_series(F.array(A.nest_steps("x", "n_ch"), A.nest_steps("x", "n_ch")))).collect()
@@ -148,9 +148,9 @@ def test_parameters():
     validate_params(alpha=1, theta=0.6, dtw_window=None, population_size=4)
     for wrong in ({"alpha": "x"}, {"population_size": True}, {"theta": None}, {"optimize_sparsity": 1},
                   {"dtw_window": 1.5}):
-        with pytest.raises(DataTypeError):
+        with pytest.raises(CounterpaneError):
             validate_params(**wrong)
-    with pytest.raises(ConfigurationError):
+    with pytest.raises(CounterpaneError):
         validate_params(nothing=1)
 
 
@@ -161,7 +161,7 @@ def test_rows_to_panel_with_a_hot_key(spark):
                                                  (F.col("id") % 3 + 1).cast("int")).alias("kind"),
                                     F.lit(1.0).alias("v"))
     got = {r.series_id: np.array(r.x).reshape(4, 2)
-           for r in P.panel_from_rows(rows, "k", F.col("day"), "kind", "v", 4, ["a", "b"]).collect()}
+           for r in P.panel_from_rows(rows, "k", F.col("day"), "kind", "v", 4, ["a", "b"], outside="drop").collect()}
     data = rows.toPandas()
     for key, x in got.items():
         for t in range(4):
@@ -187,7 +187,45 @@ def test_results(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.count() == 4 and "0.1 0.2 0.3" in {r.feature_importance for r in back.collect()}
     assert R.text_table(table, importance=False).schema["feature_importance"].dataType.typeName() == "array"
-    with pytest.raises(DataTypeError):
+    with pytest.raises(CounterpaneError):
         R.write_results(flagged.limit(0), str(tmp_path / "none"))
-    with pytest.raises(ConfigurationError):
+    with pytest.raises(CounterpaneError):
         R.write_results(flagged, str(tmp_path / "none"), fmt="xml")
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "k bigint, t int, ch string, v double")
+
+
+def test_rows_outside_the_grid_are_refused_or_dropped(spark):
+    rows = _events(spark, [(1, 0, "a", 1.0), (1, 5, "a", 2.0), (2, 1, "z", 3.0)])
+    build = lambda **kw: P.panel_from_rows(rows, "k", F.col("t"), "ch", "v", **kw)
+    with pytest.raises(Exception, match="outside the steps and channels"):
+        build(steps=2, channels=["a"]).collect()
+    assert [r.x for r in build(steps=2, channels=["a"], outside="drop").collect()] == [[1.0, 0.0]]
+    whole = {r.series_id: (r.t_len, r.n_ch, sum(r.x)) for r in build().collect()}
+    assert whole == {1: (6, 2, 3.0), 2: (6, 2, 3.0)}
+
+
+def test_incomplete_long_tables_are_refused(spark):
+    cells = [(7, t, c, float(t * 2 + c)) for t in range(3) for c in range(2)]
+    kind = "series_id bigint, t int, c int, value double"
+    assert P.from_long(spark.createDataFrame(cells, kind)).first().x == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    for broken in (cells[:2] + cells[3:], cells + cells[:1], cells[2:]):
+        with pytest.raises(Exception, match="missing or repeated cells in series: 7"):
+            P.from_long(spark.createDataFrame(broken, kind)).collect()
+
+
+def test_csv_with_gaps_or_without_labels_is_refused(spark, tmp_path):
+    def save(name, steps, labelled):
+        (tmp_path / f"{name}.csv").write_text("sample_id,time_step,feature_0\n" + "".join(
+            f"{s},{t},{s + t}.0\n" for s in (1, 2) for t in steps))
+        (tmp_path / f"{name}_labels.csv").write_text("sample_id,label\n" + "".join(f"{s},0\n" for s in labelled))
+        return P.read_panel(spark, str(tmp_path / f"{name}.csv"))
+
+    assert save("good", (0, 1), (1, 2)).count() == 2
+    for name, steps in (("gap", (0, 5)), ("twice", (0, 0))):
+        with pytest.raises(Exception, match="missing or repeated steps in sample"):
+            save(name, steps, (1, 2)).collect()
+    with pytest.raises(Exception, match="no label for sample: 2"):
+        save("unlabelled", (0, 1), (1,)).collect()
