@@ -14,17 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpane.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
-from counterpane.llm.common import keep
+from counterpane.llm.common import keep, numbered
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _ROW = "pipeline_row_number"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a row number, written once: ids may repeat or be missing."""
-    return keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "pipeline-rows")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon does not reject; it is learned from the documents of this stage."""
     return toxicity.keep_clean(docs, toxicity.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -32,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later occurrences of repeated passages taken out; `n_chars` follows the text."""
-    rows = _numbered(docs)
+    rows = numbered(docs, "pipeline-rows", _ROW)
     cleaned = line_dedup.without_repeats(rows.select(F.col(_ROW).alias("rid"), "text")).select(
         F.col("rid").alias(_ROW), F.col("text"))
     joined = rows.drop("text").join(cleaned, _ROW)
@@ -43,9 +38,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: five-word shingles, similarity of 0.8 or more."""
-    rows = _numbered(docs)
+    rows = numbered(docs, "pipeline-rows", _ROW)
     found = near_dup.near_components(rows.select(F.col(_ROW).alias("rid"), "text"), size=5, percent=80)
-    copies = found.where("rid <> comp").select(F.col("rid").alias(_ROW))
+    copies = keep(found.where("rid <> comp").select(F.col("rid").alias(_ROW)), "pipeline-copies")
     return rows.join(copies.hint("merge"), _ROW, "left_anti").select(docs.columns)
 
 

@@ -142,3 +142,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str, key: str = "rid") -> DataFrame:
+    """The rows with a distinct number `rid` (or `key`) that stays the same whenever they are read again.
+
+    Where `doc_id` is distinct and never null it is the number; else rows are numbered and written once.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(
+        F.max("n").alias("most"), F.max(F.col("doc_id").isNull()).alias("none")).first()
+    if (ids.most or 0) <= 1 and not ids.none:
+        return docs.withColumn(key, F.col("doc_id").cast("bigint"))
+    return keep(docs.withColumn(key, F.monotonically_increasing_id()), name)

@@ -21,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, hot_keys, join_back, keep
+from .common import frame, hot_keys, join_back, keep, numbered
 
-LONG, MIN_CHARS, REACH = 9, 100, 8
-_ENDS = rf"(?<=\n)|(?<=[.,;:!?] )|(?<=\S{{{LONG}}} )"
+LONG, MIN_CHUNK, MIN_CHARS, REACH = 9, 32, 100, 8
+# the first condition is the cheap one: nothing else is tried within words
+_ENDS = rf"(?<=[ \n])(?:(?<=\n)|(?<=[.,;:!?] )|(?<=\S{{{LONG}}} ))"
 
 
 def lines_of(text: Column) -> Column:
@@ -37,17 +38,24 @@ def bare(line: Column) -> Column:
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """`rid, chunks` with first line, number of lines and hash of each chunk of a table `rid, text`."""
-    hashed = rows.select("rid", F.transform(lines_of(F.coalesce("text", F.lit(""))),
-                                            lambda x: F.xxhash64(bare(x))).alias("h"))
-    rolled = hashed.select("rid", "h", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))).alias("r"))
-    starts = rolled.select("rid", "h", F.filter(
+    """`rid, chunks` with first line, number of lines and hash of each chunk of a table `rid, text`.
+
+    Chunks of less than `MIN_CHUNK` characters say nothing alone and are left out; a match beside them covers them.
+    """
+    cut = rows.select("rid", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
+    # two arrays, not one of structs: a field of an array of structs would be taken out anew at every access
+    hashed = cut.select("rid", F.transform("lines", lambda x: F.xxhash64(bare(x))).alias("h"),
+                        F.transform("lines", F.length).alias("l"))
+    rolled = hashed.select("rid", "h", "l", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))).alias("r"))
+    starts = rolled.select("rid", "h", "l", F.filter(
         F.sequence(F.lit(0), F.size("r") - 1),
         lambda i: (i == 0) | ((F.get("r", i - 1) > F.get("r", i))
                               & F.coalesce(F.get("r", i) <= F.get("r", i + 1), F.lit(True)))).alias("s"))
-    return starts.select("rid", F.transform("s", lambda at, k: F.struct(
-        at.alias("start"), (F.coalesce(F.get("s", k + 1), F.size("h")) - at).alias("size"),
-        F.xxhash64(F.slice("h", at + 1, F.coalesce(F.get("s", k + 1), F.size("h")) - at)).alias("hash"))).alias("chunks"))
+    stop = lambda k: F.coalesce(F.get("s", k + 1), F.size("h"))
+    chunks = F.transform("s", lambda at, k: F.struct(
+        at.alias("start"), (stop(k) - at).alias("size"), F.xxhash64(F.slice("h", at + 1, stop(k) - at)).alias("hash"),
+        F.aggregate(F.slice("l", at + 1, stop(k) - at), F.lit(0), lambda a, b: a + b).alias("chars")))
+    return starts.select("rid", F.filter(chunks, lambda c: (c["size"] > 1) & (c["chars"] >= MIN_CHUNK)).alias("chunks"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -59,21 +67,20 @@ def _common(a: Column, b: Column) -> Column:
 def _occurrence(chunk: Column, k: Column) -> Column:
     """The k-th repeated chunk of a row `found, lines`, with the lines beside it (`REACH` at most, nearest first)."""
     start, stop = chunk["start"], chunk["start"] + chunk["size"]
-    low, high = F.greatest(start - REACH, F.lit(0)), F.least(stop + REACH, F.size("lines"))
+    # a match extends no further than to the repeated chunks beside it; the first occurrence shows all it has
     prior, later = F.get("found", k - 1), F.get("found", k + 1)
+    low = F.greatest(start - REACH, F.when(chunk["own"], 0).otherwise(F.coalesce(prior["start"] + prior["size"], F.lit(0))))
+    high = F.least(stop + REACH, F.when(chunk["own"], F.size("lines")).otherwise(F.coalesce(later["start"], F.size("lines"))))
     return F.struct(
         start.alias("start"), stop.alias("stop"), chunk["hash"].alias("hash"), chunk["own"].alias("own"),
         F.slice("lines", start + 1, chunk["size"]).alias("body"),
         F.reverse(F.slice("lines", low + 1, start - low)).alias("before"),
-        F.slice("lines", stop + 1, high - stop).alias("after"),
-        # a match extends no further than to the repeated chunks beside it
-        (start - F.coalesce(prior["start"] + prior["size"], F.lit(0))).alias("free_before"),
-        (F.coalesce(later["start"], F.size("lines")) - stop).alias("free_after"))
+        F.slice("lines", stop + 1, high - stop).alias("after"))
 
 
 def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataFrame:
     """`rid, runs` (arrays of first line and line behind the last) of what goes from a table `rid, text`."""
-    flat = chunks.select("rid", F.inline("chunks")).where("size > 1")
+    flat = chunks.select("rid", F.inline("chunks")).drop("chars")
     repeated = keep(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("rid").alias("first_rid")).where("n > 1"),
                     "line-repeats")
     total = repeated.agg(F.sum("n")).first()[0] or 0
@@ -85,14 +92,12 @@ def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataF
     held = source.join(places.hint("merge"), "rid").select(
         "rid", "found", F.transform(lines_of("text"), bare).alias("lines"))
     # cut inside the row, so that a long text is not copied once for each of its chunks
-    each = held.select("rid", F.inline(F.transform("found", _occurrence)))
+    each = keep(held.select("rid", F.inline(F.transform("found", _occurrence))), "line-occurrences")
     firsts = each.where("own").groupBy("hash").agg(F.min(F.struct("start", "rid", "body", "before", "after")).alias("f"))
     firsts = firsts.select("hash", F.col("f.start").alias("fstart"), F.col("f.rid").alias("frid"),
                            F.col("f.body").alias("fbody"), F.col("f.before").alias("fbefore"),
                            F.col("f.after").alias("fafter"))
-    others = each.select("rid", "start", "stop", "hash", "body",
-                         F.slice("before", F.lit(1), F.least("free_before", F.lit(REACH))).alias("before"),
-                         F.slice("after", F.lit(1), F.least("free_after", F.lit(REACH))).alias("after"))
+    others = each.select("rid", "start", "stop", "hash", "body", "before", "after")
     same = join_back(others, firsts, ["hash"], hot).where(
         ~((F.col("rid") == F.col("frid")) & (F.col("start") == F.col("fstart"))) & (F.col("body") == F.col("fbody")))
     spans = same.select(
@@ -121,24 +126,22 @@ def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataF
 
 
 def without_repeats(table: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """`rid, text, n_lines, n_removed` of a written table `rid, text` with distinct `rid`."""
+    """`rid, text, n_removed` (lines) of a table `rid, text` with distinct, lasting `rid`."""
     source = table.select("rid", "text")
     chunks = keep(chunked(source), "line-chunks")
     gone = repeated_runs(source, chunks, min_chars)
     cleaned = source.join(gone.hint("merge"), "rid", "left").select(
-        "rid", "text", "gone", lines_of(F.col("text")).alias("lines"))
+        "rid", "text", "gone", F.when(F.col("gone").isNotNull(), lines_of(F.col("text"))).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     return cleaned.select(
         "rid", F.when(F.col("gone").isNull(), F.col("text")).otherwise(
             F.array_join(F.transform(left, lambda i: F.get("lines", i)), "")).alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.size(left)).cast("bigint").alias("n_removed"))
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def remove_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """`doc_id, text, n_lines, n_removed` of every row, with later occurrences of repeated passages taken out."""
-    table = keep(frame(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"),
-                 "line-rows")
+    """`doc_id, text, n_removed` of every row, with later occurrences of repeated passages taken out."""
+    table = numbered(frame(docs, id_col, text_col), "line-rows")
     return table.select("rid", "doc_id").join(without_repeats(table, min_chars), "rid").select(
-        "doc_id", "text", "n_lines", "n_removed")
+        "doc_id", "text", "n_removed")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, hot_keys, join_back, keep, map_texts
+from .common import frame, hot_keys, join_back, keep, map_texts, numbered
 
 BANDS, ROWS = 28, 5
 UNIVERSE = 1 << 20
@@ -203,8 +203,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, n_shingles, component_id, kept` of every row; linked where 100 * shared >= percent * joint."""
-    source = keep(frame(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"),
-                  "near-rows")
+    source = numbered(frame(docs, id_col, text_col), "near-rows")
     found = near_components(source.select("rid", "text"), size, percent, bands, rows)
     named = keep(source.select("rid", "doc_id").join(found, "rid"), "near-members")
     least = keep(named.groupBy("comp").agg(F.count("*").alias("n"), F.min("doc_id").alias("component_id")).where("n > 1"),
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
 
 def near_components(source: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
-    """`rid, n_shingles, comp` (smallest row number of the component) of a written table `rid, text`."""
+    """`rid, n_shingles, comp` (smallest row number of the component) of a table `rid, text` with distinct, lasting `rid`."""
     table = keep(summaries(source, size, bands, rows), "near-summaries")
     full = table.where("n_shingles > 0")
     classes = keep(full.groupBy("d1", "d2", "n_shingles").agg(F.count("*").alias("n"), F.min("rid").alias("rep")),
