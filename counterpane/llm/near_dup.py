@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import frame, hot_keys, join_back, keep, map_texts, numbered
@@ -176,28 +176,32 @@ def shingle_set(text: str, size: int = 3) -> set:
     return set(zip(*(words[j:] for j in range(size))))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """`rid, comp` with the smallest row number reachable over `a, b`: hooking and pointer jumping, all joins.
+def components(links: DataFrame) -> DataFrame:
+    """`rid, comp` with the smallest row number reachable over `a, b`, for rows with links: hooking and pointer jumping.
 
-    Each round gives every node the smallest label beside it and then the label of that label, so the rounds grow with
-    the logarithm of a component's diameter. Only nodes with links take part.
+    Each round gives every row the smallest label beside it and then the label of that label, so the rounds grow with
+    the logarithm of a component's diameter. What has changed is counted while a round is written.
     """
     both = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = keep(both.groupBy(F.col("a").alias("rid")).agg(F.least(F.col("rid"), F.min("b")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("rid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rid")).agg(
-            F.min("comp").alias("near"))
-        hooked = labels.join(near, "rid").select("rid", F.col("comp").alias("old"),
-                                                 F.least("comp", "near").alias("mid"))
-        # the smallest label that any member of the old label has met counts for the old label's node as well
-        lower = hooked.groupBy(F.col("old").alias("rid")).agg(F.min("mid").alias("hook"))
-        hooked = hooked.join(lower, "rid", "left").select("rid", "old", F.least("mid", "hook").alias("mid"))
+        beside = both.join(labels.select(F.col("rid").alias("b"), "comp").hint("merge"), "b").select(
+            F.col("a").alias("rid"), "comp", F.lit(None).cast("bigint").alias("old"))
+        hooked = beside.unionByName(labels.withColumn("old", F.col("comp"))).groupBy("rid").agg(
+            F.max("old").alias("old"), F.min("comp").alias("mid"))
         jump = hooked.select(F.col("rid").alias("mid"), F.col("mid").alias("far"))
-        new = keep(hooked.join(jump, "mid", "left").select(
-            "rid", "old", F.coalesce(F.least("mid", "far"), "mid").alias("comp")), "labels")
-        labels = new.select("rid", "comp")
-        if not new.where("old <> comp").limit(1).count():
-            return nodes.join(labels, "rid", "left").select("rid", F.coalesce("comp", "rid").alias("comp"))
+        seen = Observation()
+        new = hooked.join(jump.hint("merge"), "mid", "left").select(
+            "rid", "old", F.coalesce(F.least("mid", "far"), "mid").alias("comp"))
+        labels = keep(new.observe(seen, F.sum(F.when(F.col("old") != F.col("comp"), 1).otherwise(0)).alias("changed"))
+                      .select("rid", "comp"), "labels")
+        if not seen.get.get("changed"):
+            return labels
+
+
+def relabel(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`rid, comp` of `nodes`: the label where there is one, else its own number."""
+    return nodes.join(labels.hint("merge"), "rid", "left").select("rid", F.coalesce("comp", "rid").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
@@ -247,11 +251,17 @@ def near_components(source: DataFrame, size: int = 3, percent: int = 85, bands:
     linked = F.col("shared") * 100 >= F.col("joint") * percent
     links = known.where(linked).select("a", "b")
     nodes = keep(reps.select("rid"), "near-nodes")
-    comps = keep(components(nodes, links), "near-components")
+    comps = keep(relabel(nodes, components(links)), "near-components")
 
     found = open_links(crowded, comps, known, source.select("rid", "text"), table.select("rid", "bands"), size, percent)
-    if found.limit(1).count():
-        comps = keep(components(nodes, links.unionByName(found)), "near-components")
+    if found.limit(1).count():  # what was found late links whole components: only their labels take part
+        ends = comps.select(F.col("rid").alias("a"), F.col("comp").alias("ca")), comps.select(
+            F.col("rid").alias("b"), F.col("comp").alias("cb"))
+        late = found.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(
+            F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+        labels = components(late).select(F.col("rid").alias("comp"), F.col("comp").alias("least"))
+        comps = keep(comps.join(labels, "comp", "left").select("rid", F.coalesce("least", "comp").alias("comp")),
+                     "near-components")
 
     of = member.join(comps.select(F.col("rid").alias("rep"), "comp"), "rep").select("rid", "comp")
     return table.select("rid", "n_shingles").join(of, "rid", "left").select(
