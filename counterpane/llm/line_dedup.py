@@ -67,43 +67,47 @@ def _common(a: Column, b: Column) -> Column:
 def _occurrence(chunk: Column, k: Column) -> Column:
     """The k-th repeated chunk of a row `found, lines`, with the lines beside it (`REACH` at most, nearest first)."""
     start, stop = chunk["start"], chunk["start"] + chunk["size"]
-    # a match extends no further than to the repeated chunks beside it; the first occurrence shows all it has
+    # a match extends no further than to the repeated chunks beside it
     prior, later = F.get("found", k - 1), F.get("found", k + 1)
-    low = F.greatest(start - REACH, F.when(chunk["own"], 0).otherwise(F.coalesce(prior["start"] + prior["size"], F.lit(0))))
-    high = F.least(stop + REACH, F.when(chunk["own"], F.size("lines")).otherwise(F.coalesce(later["start"], F.size("lines"))))
+    low = F.greatest(start - REACH, F.coalesce(prior["start"] + prior["size"], F.lit(0)))
+    high = F.least(stop + REACH, F.coalesce(later["start"], F.size("lines")))
     return F.struct(
         start.alias("start"), stop.alias("stop"), chunk["hash"].alias("hash"), chunk["own"].alias("own"),
-        F.slice("lines", start + 1, chunk["size"]).alias("body"),
+        F.array_join(F.slice("lines", start + 1, chunk["size"]), "\n").alias("body"),
         F.reverse(F.slice("lines", low + 1, start - low)).alias("before"),
         F.slice("lines", stop + 1, high - stop).alias("after"))
 
 
+def occurrences(source: DataFrame, places: DataFrame) -> DataFrame:
+    """The repeated chunks of the documents that have some, cut inside the row: a long text is not copied for each."""
+    held = source.join(places.hint("merge"), "rid").select(
+        "rid", "found", F.transform(lines_of("text"), bare).alias("lines"))
+    return held.select("rid", F.inline(F.transform("found", _occurrence)))
+
+
 def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataFrame:
     """`rid, runs` (arrays of first line and line behind the last) of what goes from a table `rid, text`."""
     flat = chunks.select("rid", F.inline("chunks")).drop("chars")
-    repeated = keep(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("rid").alias("first_rid")).where("n > 1"),
+    repeated = keep(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1"),
                     "line-repeats")
     total = repeated.agg(F.sum("n")).first()[0] or 0
     hot = hot_keys(repeated, ["hash"], total)
-    met = join_back(flat.select("rid", "start", "size", "hash"), repeated.select("hash", "first_rid"), ["hash"], hot)
+    met = join_back(flat.select("rid", "start", "size", "hash"), repeated.select("hash", F.col("first.rid").alias("first_rid"),
+                                                                                       F.col("first.start").alias("first_start")), ["hash"], hot)
     places = keep(met.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(
-        "start", "size", "hash", (F.col("rid") == F.col("first_rid")).alias("own")))).alias("found")), "line-places")
-
-    held = source.join(places.hint("merge"), "rid").select(
-        "rid", "found", F.transform(lines_of("text"), bare).alias("lines"))
-    # cut inside the row, so that a long text is not copied once for each of its chunks
-    each = keep(held.select("rid", F.inline(F.transform("found", _occurrence))), "line-occurrences")
-    firsts = each.where("own").groupBy("hash").agg(F.min(F.struct("start", "rid", "body", "before", "after")).alias("f"))
-    firsts = firsts.select("hash", F.col("f.start").alias("fstart"), F.col("f.rid").alias("frid"),
-                           F.col("f.body").alias("fbody"), F.col("f.before").alias("fbefore"),
-                           F.col("f.after").alias("fafter"))
-    others = each.select("rid", "start", "stop", "hash", "body", "before", "after")
-    same = join_back(others, firsts, ["hash"], hot).where(
-        ~((F.col("rid") == F.col("frid")) & (F.col("start") == F.col("fstart"))) & (F.col("body") == F.col("fbody")))
+        "start", "size", "hash",
+        ((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start"))).alias("own")))).alias("found")),
+        "line-places")
+
+    each = keep(occurrences(source, places), "line-occurrences")
+    firsts = each.where("own").select("hash", F.col("body").alias("fbody"), F.col("before").alias("fbefore"),
+                                      F.col("after").alias("fafter"))
+    others = each.where("not own").select("rid", "start", "stop", "hash", "body", "before", "after")
+    same = join_back(others, firsts, ["hash"], hot).where(F.col("body") == F.col("fbody"))
     spans = same.select(
         "rid", (F.col("start") - _common(F.col("before"), F.col("fbefore"))).alias("a"),
         (F.col("stop") + _common(F.col("after"), F.col("fafter"))).alias("b"),
-        (F.length(F.array_join("body", " "))
+        (F.length("body")
          + F.length(F.array_join(F.slice("before", F.lit(1), _common(F.col("before"), F.col("fbefore"))), " "))
          + F.length(F.array_join(F.slice("after", F.lit(1), _common(F.col("after"), F.col("fafter"))), " "))
          ).alias("chars"))
