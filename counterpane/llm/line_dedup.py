@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import frame, hot_keys, join_back, keep, numbered
 
-LONG, MIN_CHUNK, MIN_CHARS, REACH = 9, 32, 100, 8
+LONG, MIN_CHUNK, MIN_CHARS, REACH = 6, 32, 100, 16
 # the first condition is the cheap one: nothing else is tried within words
 _ENDS = rf"(?<=[ \n])(?:(?<=\n)|(?<=[.,;:!?] )|(?<=\S{{{LONG}}} ))"
 

@@ -250,6 +250,17 @@ def test_no_line_is_lost_for_good(spark):
     assert repeats(after) < 0.02 * repeats(before)
 
 
+def test_short_passages_are_found_one_by_one(spark):
+    """Passages of 51 to 60 words, each in two documents of its own: every one goes from the later document."""
+    table = [words(51 + k % 10, 5000 + k) for k in range(200)]
+    rows = [(2 * k + n, f"{words(40, 9000 + 2 * k + n)} {p} {words(40, 19000 + 2 * k + n)}")
+            for k, p in enumerate(table) for n in (0, 1)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    inner = [" ".join(p.split()[12:-12]) for p in table]
+    assert all(p in got[2 * k] for k, p in enumerate(table))
+    assert [k for k, p in enumerate(inner) if p in got[2 * k + 1]] == []
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 def edited(text, n, rng):
