@@ -1,9 +1,12 @@
 """Removal of passages that many documents repeat, by content-defined chunks of lines. DataFrame functions only.
 
 A line ends at a newline, after a mark followed by a blank, or after a long word (`LONG` characters) and its blank: the
-ends depend on nothing but the characters before them, so a passage is cut alike wherever it stands. Lines are hashed
-without trailing white space, a rolling hash covers each line and the next, and a chunk begins where the rolling hash is
-a local minimum; so chunks have two lines or more and shift with their text.
+ends depend on nothing but the characters before them, so a passage is cut alike wherever it stands. A line that is
+still long (`LIMIT`: short words without marks, scripts without blanks) is cut by content as well, where hashes of
+characters are least. Lines are hashed without trailing white space, a rolling hash covers each line and the next, and
+a chunk begins where the rolling hash is a local minimum, and before and after a line of `LONE` bytes; so chunks shift
+with their text. A passage in which one word or a few characters recur without end has no minimum inside: it is found
+only where it begins and ends with its text.
 
 Hashes of chunks are counted over all documents with map-side aggregation. Occurrences of repeated hashes are then
 compared, character by character, with the first one (smallest row number, then position), together with the lines of
@@ -18,19 +21,52 @@ repeated rows and ids count as documents of their own; other columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frame, hot_keys, join_back, keep, numbered
 
-LONG, MIN_CHUNK, MIN_CHARS, REACH = 6, 32, 100, 16
+LONG, MIN_CHUNK, MIN_CHARS, REACH = 6, 32, 100, 24
+#: A line of more than LIMIT characters is cut, WINDOW characters apart at most; one of LONE bytes or more is a chunk alone.
+LIMIT, WINDOW, LONE = 96, 24, 64
 # the first condition is the cheap one: nothing else is tried within words
 _ENDS = rf"(?<=[ \n])(?:(?<=\n)|(?<=[.,;:!?] )|(?<=\S{{{LONG}}} ))"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces(line: Column) -> Column:
+    """A long line cut where, within some `WINDOW` places, the hash of the eight characters around is least.
+
+    Places behind white space come before all others; of equal places the first is taken.
+    """
+    def keys(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.struct(
+            (~F.get(chars, i - 1).isin(" ", "\n", "\t")).alias("inside"),
+            F.xxhash64(*[F.get(chars, i + k) for k in range(-4, 4)]).alias("hash"), i.alias("at")))
+
+    def least(keys: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(keys) - WINDOW),
+                                            lambda j: F.array_min(F.slice(keys, j + 1, WINDOW))["at"]))
+
+    def cut(chars: Column, at: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), at)
+        return _let(starts, lambda s: F.transform(s, lambda a, k: F.array_join(
+            F.slice(chars, a + 1, F.coalesce(F.get(s, k + 1), F.size(chars)) - a), "")))
+
+    return _let(F.split(line, ""), lambda chars: _let(keys(chars), lambda k: cut(chars, least(k))))
+
+
 def lines_of(text: Column) -> Column:
     """Lines with the white space that ends them: joined again they are the text."""
-    return F.split(text, _ENDS)
+    return _let(F.split(text, _ENDS), lambda lines: F.when(
+        F.exists(lines, lambda x: F.length(x) > LIMIT), F.flatten(F.transform(lines, lambda x: F.when(
+            F.length(x) > LIMIT, _pieces(x)).otherwise(F.array(x))))).otherwise(lines))
 
 
 def bare(line: Column) -> Column:
@@ -40,22 +76,23 @@ def bare(line: Column) -> Column:
 def chunked(rows: DataFrame) -> DataFrame:
     """`rid, chunks` with first line, number of lines and hash of each chunk of a table `rid, text`.
 
-    Chunks of less than `MIN_CHUNK` characters say nothing alone and are left out; a match beside them covers them.
+    Chunks of less than `MIN_CHUNK` bytes say nothing alone and are left out; a match beside them covers them.
     """
     cut = rows.select("rid", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
     # two arrays, not one of structs: a field of an array of structs would be taken out anew at every access
     hashed = cut.select("rid", F.transform("lines", lambda x: F.xxhash64(bare(x))).alias("h"),
-                        F.transform("lines", F.length).alias("l"))
+                        F.transform("lines", F.octet_length).alias("l"))
     rolled = hashed.select("rid", "h", "l", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))).alias("r"))
     starts = rolled.select("rid", "h", "l", F.filter(
         F.sequence(F.lit(0), F.size("r") - 1),
-        lambda i: (i == 0) | ((F.get("r", i - 1) > F.get("r", i))
-                              & F.coalesce(F.get("r", i) <= F.get("r", i + 1), F.lit(True)))).alias("s"))
+        lambda i: (i == 0) | (F.get("l", i) >= LONE) | (F.get("l", i - 1) >= LONE)
+        | ((F.get("r", i - 1) > F.get("r", i))
+           & F.coalesce(F.get("r", i) <= F.get("r", i + 1), F.lit(True)))).alias("s"))
     stop = lambda k: F.coalesce(F.get("s", k + 1), F.size("h"))
     chunks = F.transform("s", lambda at, k: F.struct(
         at.alias("start"), (stop(k) - at).alias("size"), F.xxhash64(F.slice("h", at + 1, stop(k) - at)).alias("hash"),
-        F.aggregate(F.slice("l", at + 1, stop(k) - at), F.lit(0), lambda a, b: a + b).alias("chars")))
-    return starts.select("rid", F.filter(chunks, lambda c: (c["size"] > 1) & (c["chars"] >= MIN_CHUNK)).alias("chunks"))
+        F.aggregate(F.slice("l", at + 1, stop(k) - at), F.lit(0), lambda a, b: a + b).alias("bytes")))
+    return starts.select("rid", F.filter(chunks, lambda c: c["bytes"] >= MIN_CHUNK).alias("chunks"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -87,7 +124,7 @@ def occurrences(source: DataFrame, places: DataFrame) -> DataFrame:
 
 def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataFrame:
     """`rid, runs` (arrays of first line and line behind the last) of what goes from a table `rid, text`."""
-    flat = chunks.select("rid", F.inline("chunks")).drop("chars")
+    flat = chunks.select("rid", F.inline("chunks")).drop("bytes")
     repeated = keep(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1"),
                     "line-repeats")
     total = repeated.agg(F.sum("n")).first()[0] or 0

@@ -261,6 +261,28 @@ def test_short_passages_are_found_one_by_one(spark):
     assert [k for k, p in enumerate(inner) if p in got[2 * k + 1]] == []
 
 
+def plain(n, seed, wide=False):
+    """Short words without marks, or text of one script without blanks."""
+    rng = random.Random(seed)
+    if wide:
+        return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 5))) for _ in range(n))
+
+
+@pytest.mark.parametrize("wide, size, near", [(False, 60, 30), (True, 240, 60)])
+def test_text_without_line_ends_is_compared(spark, wide, size, near):
+    table = [plain(size, 7000 + k, wide) for k in range(60)]
+    gap = "" if wide else " "
+    rows = [(2 * k + n, gap.join([plain(near, 100 * k + n, wide), p, plain(near, 100 * k + 50 + n, wide)]))
+            for k, p in enumerate(table) for n in (0, 1)]
+    whole = plain(3000, 999999, wide)
+    rows += [(998, whole), (999, whole)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    assert got[998] == whole and got[999] == ""
+    assert all(p in got[2 * k] for k, p in enumerate(table))
+    assert [k for k, p in enumerate(table) if p[60:-60] in got[2 * k + 1]] == []
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 def edited(text, n, rng):
