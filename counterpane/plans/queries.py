@@ -552,20 +552,17 @@ def survivors(spark, sf):
 
 # --- jobs ---
 
-SMALL_SEARCH = {"population_size": 24, "maximum_number_of_generations": 10}
-
-
 def explained(spark, sf, **params):
     panel = embeddings(spark, sf)
     model = fit_centroids(panel, "label", BETA)
-    return explain(panel, panel, model, deviation_weights(panel), theta=THETA, **{**SMALL_SEARCH, **params})
+    return explain(panel, panel, model, deviation_weights(panel), theta=THETA, **params)
 
 
 @query
 def searched_masks(spark, sf):
     pairs, model = embedding_pairs(spark, sf)
     groups = max_sum_window(pairs, 8, "nun_weights").withColumn("window", F.lit(8))
-    found = search_masks(groups, model, SearchSettings(theta=THETA, population_size=24, generations=10))
+    found = search_masks(groups, model, SearchSettings(theta=THETA))
     return bits(found, "series_id", "start", "pos", "g")
 
 
@@ -584,7 +581,7 @@ def explain_best(spark, sf):
 @query
 def explain_unweighted(spark, sf):
     panel = events(spark, sf, 3)
-    found = explain(panel, panel, fit_logit(panel), proximity_distance="dtw", theta=THETA, **SMALL_SEARCH)
+    found = explain(panel, panel, fit_logit(panel), proximity_distance="dtw", theta=THETA)
     return found.select("series_id", "nun_id", "window", "pos", "label", "is_best", "n_changed")
 
 

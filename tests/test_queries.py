@@ -38,3 +38,23 @@ def test_equals_sql(spark, con, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert compare(rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(cols, cur.fetchall())) is None
+
+
+def test_jobs_search_with_the_defaults(spark, monkeypatch):
+    from counterpane.operators.search import SearchSettings
+    from counterpane.plans import queries
+
+    class Called(Exception):
+        pass
+
+    def stop(*args, **params):
+        raise Called(args, params)
+
+    monkeypatch.setattr(queries, "explain", stop)
+    monkeypatch.setattr(queries, "search_masks", stop)
+    for name in sorted(WITHOUT_SQL):
+        with pytest.raises(Called) as call:
+            QUERIES[name](spark, SF)
+        args, params = call.value.args
+        assert not {"population_size", "maximum_number_of_generations"} & params.keys()
+        assert name != "searched_masks" or args[2] == SearchSettings(theta=queries.THETA)
