@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import logging
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, join_on
 from .batches import column
+from .running import running_sums
 
+log = logging.getLogger("counterpane")
 BLOCK = 4096  # rows of one group compared in one task at a time
 POOL = 1 << 16  # rows a task holds while it looks for local fronts
+STRONG = 256  # rows of least sums that a large group is sifted with
+RANK_LIMIT = 1 << 18  # rows of one group that a task ranks
+OWN, COLUMN, ROW, BELOW = range(4)  # where a point of a cell's input comes from
 
 
 def dominates(A: np.ndarray, B: np.ndarray) -> np.ndarray:
@@ -37,32 +45,119 @@ def beaten(targets: np.ndarray, rivals: np.ndarray) -> np.ndarray:
     return out
 
 
-def beaten_in_groups(targets: np.ndarray, groups: np.ndarray, rivals: np.ndarray,
-                     rival_groups: np.ndarray) -> np.ndarray:
-    """Which targets a rival of their own group dominates.
+def on_front(values: np.ndarray) -> np.ndarray:
+    """Which rows no other row dominates: those of the least sums drop most others, one layer settles the rest."""
+    good = np.ones(len(values), dtype=bool)
+    if len(values) > 512:
+        good = ~beaten(values, values[np.argsort(values.sum(axis=1), kind="stable")[:64]])
+    rest = np.flatnonzero(good)
+    if values.shape[1] > 3:
+        good[rest] = ~beaten(values[rest], values[rest])
+        return good
+    points, place = np.unique(values[rest], axis=0, return_inverse=True)
+    layer, free = Layers(values.shape[1] - 1), []
+    for point in points[:, 1:].tolist():
+        free.append(not layer.beats(0, point))
+        if free[-1]:
+            layer.add(0, point)
+    good[rest] = np.array(free, dtype=bool)[place.ravel()]
+    return good
+
+
+def fronts_in_groups(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Which rows are on the front of their group.
 
     Small groups are compared all at once as one list of pairs, large ones one by one.
     """
-    order = np.argsort(rival_groups, kind="stable")
-    rivals, rival_groups = np.asfortranarray(rivals[order]), rival_groups[order]
-    targets = np.asfortranarray(targets)
-    low = np.searchsorted(rival_groups, groups, side="left")
-    count = np.searchsorted(rival_groups, groups, side="right") - low
-    out = np.zeros(len(targets), dtype=bool)
+    order = np.argsort(groups, kind="stable")
+    sorted_groups, columns = groups[order], np.asfortranarray(values[order])
+    low = np.searchsorted(sorted_groups, groups, side="left")
+    count = np.searchsorted(sorted_groups, groups, side="right") - low
+    out = np.ones(len(values), dtype=bool)
     large = count > 256
     for group in np.unique(groups[large]):
         rows = np.flatnonzero(groups == group)
-        first = low[rows[0]]
-        out[rows] = beaten(targets[rows], rivals[first:first + count[rows[0]]])
-    rows = np.flatnonzero(~large & (count > 0))
+        out[rows] = on_front(values[rows])
+    targets = np.asfortranarray(values)
+    rows = np.flatnonzero(~large)
     for part in np.array_split(rows, max(1, int(count[rows].sum()) >> 20)):
         n = count[part]
         t = np.repeat(part, n)
         r = np.repeat(low[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        for theirs, mine in zip(rivals.T, targets.T):  # fewer pairs are left after every objective
+        for theirs, mine in zip(columns.T, targets.T):  # fewer pairs are left after every objective
             near = theirs[r] <= mine[t]
             r, t = r[near], t[near]
-        out[t[(rivals[r] < targets[t]).any(axis=1)]] = True
+        out[t[(columns[r] < targets[t]).any(axis=1)]] = False
+    return out
+
+
+class Layers:
+    """What has been ranked so far, by rank, as far as it can still decide: `dims` objectives are left open.
+
+    Of one open objective a rank keeps the least value, of two the staircase of its points; more are kept as they are.
+    """
+
+    def __init__(self, dims: int) -> None:
+        self.dims, self.held = dims, []
+
+    def add(self, rank: int, point: Sequence[float]) -> None:
+        while len(self.held) <= rank:
+            self.held.append([] if self.dims != 2 else ([], []))
+        layer = self.held[rank]
+        if self.dims == 0:
+            layer[:] = [True]
+        elif self.dims == 1:
+            layer[:] = [min(layer[0], point[0])] if layer else [point[0]]
+        elif self.dims > 2:
+            layer.append(point)
+        else:
+            xs, ys = layer
+            x, y = point
+            at = bisect_right(xs, x)
+            if at and ys[at - 1] <= y:
+                return
+            first = at - 1 if at and xs[at - 1] == x else at
+            end = at
+            while end < len(ys) and ys[end] >= y:
+                end += 1
+            xs[first:end], ys[first:end] = [x], [y]
+
+    def beats(self, rank: int, point: Sequence[float]) -> bool:
+        if rank >= len(self.held):
+            return False
+        layer = self.held[rank]
+        if self.dims == 2:
+            at = bisect_right(layer[0], point[0])
+            return at > 0 and layer[1][at - 1] <= point[1]
+        if not layer:
+            return False
+        if self.dims <= 1:
+            return self.dims == 0 or layer[0] <= point[0]
+        return any(all(a <= b for a, b in zip(held, point)) for held in layer)
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+
+def place_in_layers(points: Sequence[Sequence[float]], sources: Sequence[tuple[Layers, Sequence[int]]],
+                    own: Layers, used: Sequence[int]) -> list[int]:
+    """Ranks of different points in lexicographic order, given layers of rows ranked before.
+
+    Whatever has a rank is beaten by rows of all lower ranks, so the first rank that beats a point no more is found by
+    bisection. Each source is asked with the objectives that it leaves open.
+    """
+    every, out = [*sources, (own, used)], []
+    for p in points:
+        asked = [(layers, [p[k] for k in open_]) for layers, open_ in every if len(layers)]
+        low, high = 0, max((len(layers) for layers, _ in asked), default=0)
+        while low < high:
+            middle = (low + high) // 2
+            if any(layers.beats(middle, point) for layers, point in asked):
+                low = middle + 1
+            else:
+                high = middle
+        own.add(low, [p[k] for k in used])
+        out.append(low)
     return out
 
 
@@ -72,16 +167,12 @@ def ranks(values: np.ndarray, enough: int | None = None) -> np.ndarray:
     In lexicographic order every row comes after all that beat it, so one pass settles each row for good. With
     `enough`, rows behind the first fronts that hold so many rows share one number.
     """
-    order = np.lexsort(values.T[::-1])
-    ordered, chain = values[order], np.zeros(len(values), dtype=np.int64)
-    for i in range(1, len(ordered)):
-        above = ordered[:i]
-        beats = (above <= ordered[i]).all(axis=1) & (above < ordered[i]).any(axis=1)
-        if beats.any():
-            chain[i] = chain[:i][beats].max() + 1
-    rank = np.empty(len(values), dtype=np.int64)
-    rank[order] = chain
-    if enough is not None and len(rank):
+    if not len(values):
+        return np.zeros(0, dtype=np.int64)
+    points, place = np.unique(values, axis=0, return_inverse=True)
+    open_ = range(1, values.shape[1])
+    rank = np.array(place_in_layers(points.tolist(), [], Layers(len(open_)), open_), dtype=np.int64)[place.ravel()]
+    if enough is not None:
         behind = int(np.searchsorted(np.cumsum(np.bincount(rank)), enough)) + 1
         rank = np.minimum(rank, behind)
     return rank
@@ -117,7 +208,7 @@ def _local_fronts(df: DataFrame, groups: Sequence[str], objectives: Sequence[str
     """
     def front(table: pa.Table) -> pa.Table:
         values, code = _values(table, objectives), _group_codes(table, groups)
-        return table.filter(pa.array(~beaten_in_groups(values, code, values, code)))
+        return table.filter(pa.array(fronts_in_groups(values, code)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -139,60 +230,212 @@ def _bucket_count(rows: int) -> int:
     return max(1, ceil(rows / BLOCK))
 
 
-def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str) -> DataFrame:
-    """Rows no other row of their group dominates; equal rows all stay.
+def _split(rows: DataFrame, groups: Sequence[str], limit: int) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Rows of groups up to the limit, rows of larger ones, and the number of rows of the largest group."""
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_rows"))
+    most = sizes.agg(F.max("_rows")).first()[0] or 0
+    if most <= limit:
+        return rows, None, most
+    if not groups:
+        return None, rows, most
+    sized = join_on(rows, sizes, groups)
+    return (sized.where(F.col("_rows") <= limit).drop("_rows"), sized.where(F.col("_rows") > limit).drop("_rows"), most)
+
+
+def _in_buckets(rows: DataFrame, groups: Sequence[str], work: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+    """Whole groups, many of them per task."""
+    n = _bucket_count(rows.count())
+    bucket = F.pmod(F.xxhash64(*groups), F.lit(n)) if groups else F.lit(0)
+    return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(work, schema)
+
+
+def _sift(rows: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str, strong: int, times: int) -> DataFrame:
+    """Leave out rows that at least `times` of their group's `strong` rows with the least sums dominate.
 
-    Local fronts first, written out because all later steps read them. Their survivors meet in tasks that hold many small groups, or one block of a
-    large group against another block of it, so no group has to fit one task; a row is in the front when
-    it survives every block of its group.
+    A group's rows are compared in blocks, each of which gets the strong rows, so that nothing grows with the group.
     """
-    groups = list(groups)
-    data = df.select(*groups, row_id, *objectives)
-    local = cut(_local_fronts(data, groups, objectives))
-    n_buckets = _bucket_count(local.count())
-    sizes = (local.groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
-    sized = local.alias("l").join(sizes.alias("s"), same).select("l.*", "s.blocks") if groups else \
-        local.withColumn("blocks", F.lit(n_buckets))
-    placed = (sized.withColumn("bucket", F.pmod(F.xxhash64(*groups), F.lit(n_buckets)) if groups else F.lit(0))
-              .withColumn("own", F.pmod(F.xxhash64(row_id), F.col("blocks")).cast("int")))
-    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    targets = placed.withColumn("rival", blocks)
-    rivals = (placed.withColumn("against", blocks)
-              .select(F.col("bucket").alias("r_bucket"), F.col("against").alias("r_own"), F.col("own").alias("r_rival"),
-                      *[F.col(c).alias(f"r_{c}") for c in (*groups, *objectives)]))
-    kept, names = list(targets.columns), [*groups, *objectives]
-
-    def survivors(a: pa.Table, b: pa.Table) -> pa.Table:
+    order = Window.partitionBy(*groups).orderBy(sum(F.col(f) for f in objectives), *objectives, row_id)
+    best = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= strong).drop("_n")
+    sizes = rows.groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    placed = (join_on(rows, sizes, groups).withColumn("_block", F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int"))
+              .drop("_blocks"))
+    rivals = (join_on(best, sizes, groups).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+              .drop("_blocks"))
+    rivals = rivals.select(*[F.col(c).alias(f"r_{c}") for c in rivals.columns])
+    kept, keys = list(rows.columns), [*groups, "_block"]
+
+    def left(a: pa.Table, b: pa.Table) -> pa.Table:
         a = a.select(kept)
         if not a.num_rows or not b.num_rows:
             return a
-        both = pa.concat_tables([a.select(names), b.select([f"r_{c}" for c in names]).rename_columns(names)])
-        values, code, n = _values(both, objectives), _group_codes(both, groups), a.num_rows
-        good = ~beaten_in_groups(values[:n], code[:n], values[n:], code[n:])
-        return a.filter(pa.array(good))
+        mine, theirs = _values(a, objectives), _values(b, [f"r_{f}" for f in objectives])
+        hits = np.concatenate([dominates(theirs, part).sum(axis=0) for part in np.array_split(mine, max(1, len(mine) >> 10))])
+        return a.filter(pa.array(hits < times))
+
+    return (placed.groupBy(*keys).cogroup(rivals.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(left, rows.schema))
+
 
-    met = (targets.groupBy("bucket", "own", "rival").cogroup(rivals.groupBy("r_bucket", "r_own", "r_rival"))
-           .applyInArrow(survivors, targets.schema))
-    keys = [*groups, row_id, *objectives]
-    return (met.groupBy(*keys).agg(F.count("*").alias("met"), F.max("blocks").alias("blocks"))
-            .where(F.col("met") == F.col("blocks")).select(*keys))
+def corner_blocks(rows: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str, most: int) -> DataFrame:
+    """Add `_place` and `_block`: blocks of at most BLOCK rows that are compact in the first two objectives.
+
+    Strips by the first objective, blocks by the second inside a strip, both from running numbers over range partitions.
+    """
+    wide = BLOCK * max(1, round((most / BLOCK) ** 0.5))
+    order = [*objectives, row_id]
+    strips = running_sums(rows, groups, order, _place=F.lit(1))
+    strips = strips.withColumn("_strip", F.floor((F.col("_place") - 1) / wide)).drop("_place")
+    placed = running_sums(strips, groups, ["_strip", *order[1:], order[0]], _place=F.lit(1))
+    return placed.withColumn("_block", F.floor((F.col("_place") - 1) / BLOCK).cast("int")).drop("_strip")
+
+
+def corner_pairs(placed: DataFrame, groups: Sequence[str], objectives: Sequence[str]) -> DataFrame:
+    """Pairs of blocks `groups, target, rival` in which some rival row may dominate a target row.
+
+    The least corner of the rival's block must not exceed the largest corner of the target's. One row per block takes part.
+    """
+    corners = placed.groupBy(*groups, "_block").agg(
+        *[F.min(f).alias(f"_low{k}") for k, f in enumerate(objectives)],
+        *[F.max(f).alias(f"_high{k}") for k, f in enumerate(objectives)])
+    a, b = corners.alias("a"), corners.alias("b")
+    may = F.lit(True)
+    for k in range(len(objectives)):
+        may = may & (F.col(f"a._low{k}") <= F.col(f"b._high{k}"))
+    for g in groups:
+        may = may & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return a.join(b, may).select(*[F.col(f"b.{g}").alias(g) for g in groups], F.col("b._block").alias("target"),
+                                 F.col("a._block").alias("rival"))
+
+
+def _large_fronts(rows: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str, most: int) -> DataFrame:
+    """Fronts of groups that fit no task: compact blocks, compared where their corners allow it."""
+    placed = cut(corner_blocks(rows, groups, objectives, row_id, most))
+    pairs = cut(corner_pairs(placed, groups, objectives))
+    log.info("front: %d block pairs met of %d blocks", pairs.count(), placed.select(*groups, "_block").distinct().count())
+    targets = join_on(placed, pairs.withColumnRenamed("target", "_block"), [*groups, "_block"]).withColumnRenamed("rival", "_rival")
+    rivals = (join_on(placed, pairs.withColumnRenamed("rival", "_block"), [*groups, "_block"])
+              .select(*[F.col(g).alias(f"r_{g}") for g in groups], F.col("target").alias("r__block"),
+                      F.col("_block").alias("r__rival"), *[F.col(f).alias(f"r_{f}") for f in objectives]))
+    schema = T.StructType([*[rows.schema[g] for g in groups], T.StructField("_place", T.LongType())])
+
+    def lost(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = [*groups, "_place"]
+        if not a.num_rows or not b.num_rows:
+            return a.slice(0, 0).select(names)
+        return a.filter(pa.array(beaten(_values(a, objectives), _values(b, [f"r_{f}" for f in objectives])))).select(names)
+
+    keys = [*groups, "_block", "_rival"]
+    gone = (targets.groupBy(*keys).cogroup(rivals.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(lost, schema).distinct())
+    return join_on(placed, gone, [*groups, "_place"], "left_anti").select(rows.columns)
+
+
+def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str) -> DataFrame:
+    """Rows no other row of their group dominates; equal rows all stay.
+
+    Local fronts come first, written out because all later steps read them. What they leave of groups that fit a task
+    meets there, many groups at once. Larger groups are sifted with their strong rows, then compared block by block.
+    """
+    groups = list(groups)
+    local = cut(_local_fronts(df.select(*groups, row_id, *objectives), groups, objectives))
+    kept = list(local.columns)
+
+    def whole(part: DataFrame) -> DataFrame:
+        def front(table: pa.Table) -> pa.Table:
+            table = table.select(kept)
+            values, code = _values(table, objectives), _group_codes(table, groups)
+            return table.filter(pa.array(fronts_in_groups(values, code)))
+
+        return _in_buckets(part, groups, front, local.schema)
+
+    small, large, _ = _split(local, groups, BLOCK)
+    fronts = [whole(small)] if small is not None else []
+    if large is not None:
+        sifted = cut(_sift(large, groups, objectives, row_id, STRONG, 1))
+        small, large, most = _split(sifted, groups, BLOCK)
+        fronts += [whole(small)] if small is not None else []
+        fronts += [_large_fronts(large, groups, objectives, row_id, most)] if large is not None else []
+    return reduce(DataFrame.unionByName, fronts)
+
+
+def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[str], limit: int, most: int) -> DataFrame:
+    """Front numbers of the different points of groups that fit no task.
+
+    Two objectives cut a group into a grid of ranges; a cell depends on the cells below and to the left of it, so the cells
+    of a diagonal are ranked together, and there are as many rounds as diagonals, whatever the number of fronts. A cell is
+    given what was ranked before as layers: of its own column and row with one objective settled, of all cells below both
+    with two (there only the least values of the rest by rank).
+    """
+    spark, objectives = points.sparkSession, list(objectives)
+    wide = points.agg(*[F.approx_count_distinct(f).alias(f) for f in objectives]).first()
+    axes = sorted(sorted(range(len(objectives)), key=lambda k: -wide[objectives[k]])[:2])
+    a, b = axes if len(axes) > 1 else (axes[0], axes[0])
+    sides = max(2, ceil(most / limit))
+    shares = F.array(*[F.lit(k / sides) for k in range(1, sides)])
+    cuts = points.groupBy(*groups).agg(F.percentile_approx(objectives[a], shares, F.lit(10_000)).alias("_cut_a"),
+                                       F.percentile_approx(objectives[b], shares, F.lit(10_000)).alias("_cut_b"))
+
+    def range_of(cut_points: str, f: str) -> Column:
+        return F.size(F.filter(cut_points, lambda c: c < F.col(f))).cast("int")
+
+    placed = cut(join_on(points, cuts, groups).withColumn("_a", range_of("_cut_a", objectives[a]))
+                 .withColumn("_b", range_of("_cut_b", objectives[b]) if a != b else F.lit(0))
+                 .select(*groups, *objectives, "_a", "_b"))
+    steps = sorted(r[0] for r in placed.select((F.col("_a") + F.col("_b")).alias("s")).distinct().collect())
+    rest = [k for k in range(len(objectives)) if k not in (a, b)]
+    open_own = [k for k in range(len(objectives)) if k != a]
+    open_column = [k for k in range(len(objectives)) if k != b] if a != b else []
+    open_ = {OWN: open_own, COLUMN: open_column, ROW: open_own, BELOW: rest}
+    cell = [*groups, "_a", "_b"]
+    schema = T.StructType([*[placed.schema[g] for g in groups], *[T.StructField(f, T.DoubleType()) for f in objectives],
+                           T.StructField("_a", T.IntegerType()), T.StructField("_b", T.IntegerType()),
+                           T.StructField("rank", T.IntegerType())])
+    names = [*groups, *objectives, "_a", "_b"]
+
+    def rank_cell(table: pa.Table) -> pa.Table:
+        kind, values = column(table, "_kind"), _values(table, objectives)
+        order = [a, *open_own]
+        layers = {k: Layers(len(o)) for k, o in open_.items()}
+        earlier = np.flatnonzero(kind != OWN)
+        given = column(table, "rank")
+        for k, p, r in zip(kind[earlier].tolist(), values[earlier].tolist(), given[earlier].tolist()):
+            layers[k].add(int(r), [p[j] for j in open_[k]])
+        own = np.flatnonzero(kind == OWN)
+        own = own[np.lexsort([values[own, j] for j in reversed(order)])]
+        rank = place_in_layers(values[own].tolist(), [(layers[k], open_[k]) for k in (COLUMN, ROW, BELOW)], layers[OWN], open_own)
+        return table.take(pa.array(own)).select(names).append_column("rank", pa.array(rank, pa.int32())).cast(
+            pa.schema([table.schema.field(g) for g in groups] + [pa.field(f, pa.float64()) for f in objectives]
+                      + [pa.field(n, pa.int32()) for n in ("_a", "_b", "rank")]))
+
+    done: DataFrame | None = None
+    for step in steps:
+        now = placed.where(F.col("_a") + F.col("_b") == step)
+        parts = [now.select(*names, F.lit(OWN).alias("_kind"), F.lit(None).cast("int").alias("rank"))]
+        if done is not None:
+            cells = now.select(*groups, F.col("_a").alias("_to_a"), F.col("_b").alias("_to_b")).distinct()
+            met = join_on(done, F.broadcast(cells), groups).where((F.col("_a") <= F.col("_to_a")) & (F.col("_b") <= F.col("_to_b")))
+            kind = F.when(F.col("_a") == F.col("_to_a"), F.lit(COLUMN)).when(F.col("_b") == F.col("_to_b"), F.lit(ROW)).otherwise(F.lit(BELOW))
+            met = met.withColumn("_kind", kind).drop("_a", "_b").withColumnsRenamed({"_to_a": "_a", "_to_b": "_b"})
+            lines = met.where(F.col("_kind") != BELOW)
+            below = met.where(F.col("_kind") == BELOW)
+            if len(rest) < 2:
+                least = {f: F.min(f).alias(f) for f in objectives}
+                below = below.groupBy(*cell, "_kind", "rank").agg(*least.values())
+            parts += [lines.select(*names, "_kind", "rank"), below.select(*names, "_kind", "rank")]
+        found = cut(reduce(DataFrame.unionByName, parts).groupBy(*cell).applyInArrow(rank_cell, schema))
+        done = found if done is None else done.unionByName(found)
+    return done.select(*groups, *objectives, "rank")
 
 
 def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str,
-                group_limit: int = BLOCK) -> DataFrame:
+                group_limit: int = RANK_LIMIT, enough: int | None = None) -> DataFrame:
     """Front number of every row in its group: `groups, row_id, objectives, rank`.
 
-    Groups up to `group_limit` rows are ranked whole, many groups per task. Larger groups are peeled front
-    by front with `pareto_front`, which never needs a group in one task.
+    Groups up to `group_limit` rows are ranked whole, many groups per task, in one pass. The different points of larger
+    groups are ranked on a grid of ranges and joined back to the rows. With `enough` only the first fronts that hold so many
+    rows are asked for: rows that so many others of a large group dominate are left out before anything is ranked.
     """
     groups = list(groups)
     data = df.select(*groups, row_id, *objectives)
-    sizes = data.groupBy(*groups).agg(F.count("*").alias("rows"))
-    found = sizes.agg(F.sum("rows").alias("all"), F.max("rows").alias("most")).first()
-    n_buckets = _bucket_count(found["all"] or 0)
     schema = T.StructType(data.schema.fields + [T.StructField("rank", T.IntegerType())])
-
     kept = list(data.columns)
 
     def rank_bucket(table: pa.Table) -> pa.Table:
@@ -201,27 +444,21 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
             rank[rows] = ranks(values[rows])
         return table.select(kept).append_column("rank", pa.array(rank))
 
-    def ranked(part: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*groups), F.lit(n_buckets)) if groups else F.lit(0)
-        return part.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(rank_bucket, schema)
-
-    if (found["most"] or 0) <= group_limit:
-        return ranked(data)
-    large = sizes.where(F.col("rows") > group_limit)
-    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
-    if groups:
-        hot = cut(data.alias("l").join(large.alias("s"), same, "left_semi"))
-        out = ranked(data.alias("l").join(large.alias("s"), same, "left_anti"))
-    else:
-        hot, out = data, data.limit(0).withColumn("rank", F.lit(0))
-    level = 0
-    while not hot.isEmpty():
-        front = cut(pareto_front(hot, groups, objectives, row_id))
-        out = out.unionByName(front.withColumn("rank", F.lit(level)))
-        gone = [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*groups, row_id)]
-        hot = cut(hot.alias("h").join(front.alias("f"), gone, "left_anti"))
-        level += 1
-    return out
+    out = []
+    if enough is not None:
+        small, data, _ = _split(data, groups, max(BLOCK, 4 * enough))
+        out += [_in_buckets(small, groups, rank_bucket, schema)] if small is not None else []
+        data = cut(_sift(data, groups, objectives, row_id, 4 * enough, enough)) if data is not None else None
+    if data is not None:
+        small, large, most = _split(data, groups, group_limit)
+        out += [_in_buckets(small, groups, rank_bucket, schema)] if small is not None else []
+        if large is not None:
+            points = cut(large.select(*groups, *[F.col(f).cast("double").alias(f) for f in objectives]).distinct())
+            found = _grid_ranks(points, groups, objectives, group_limit, most)
+            exact = large.withColumns({f"_{f}": F.col(f).cast("double") for f in objectives})
+            found = found.withColumnsRenamed({f: f"_{f}" for f in objectives})
+            out.append(join_on(exact, found, [*groups, *[f"_{f}" for f in objectives]]).select(*kept, "rank"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def feasible_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str,

@@ -224,7 +224,7 @@ def survive(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row
     Returns the rows with their `rank`; ranks and niches are written out once, as several steps read them. Groups of at most `n` rows stay as they are.
     """
     groups = list(groups)
-    ranked = pareto_rank(penalise(df, groups, objectives, g), groups, objectives, row_id)
+    ranked = pareto_rank(penalise(df, groups, objectives, g), groups, objectives, row_id, enough=n)
     rows = cut(join_on(df, ranked.select(*groups, row_id, "rank"), [*groups, row_id]))
     by_rank = Window.partitionBy(*groups).orderBy("rank")
     fronts = (rows.groupBy(*groups, "rank").agg(F.count("*").alias("size"))

@@ -384,6 +384,20 @@ ORACLES["feasible_front"] = f"""with {ORDERS}, ok as (select * from o where g <=
  select grp, row_id, f0, f1 from ok a where not exists (select 1 from ok b where b.grp = a.grp
    and b.f0 <= a.f0 and b.f1 <= a.f1 and (b.f0 < a.f0 or b.f1 < a.f1))"""
 ORACLES["pareto_rank"] = f"with recursive {ORDERS}, {order_ranks('o')} select grp, row_id, rank::bigint as rank from rk"
+ORACLES["pareto_front_global"] = """with o as (select l_orderkey * 10 + l_linenumber as row_id, l_extendedprice as f0,
+   0 - l_quantity as f1, 0 - l_discount as f2 from lineitem),
+ c as (select f1, f2, min(f0) as f0 from o group by f1, f2),
+ fr as (select * from c a where not exists (select 1 from c b where b.f0 <= a.f0 and b.f1 <= a.f1 and b.f2 <= a.f2
+   and (b.f0 < a.f0 or b.f1 < a.f1 or b.f2 < a.f2)))
+ select row_id, f0, f1, f2 from o join fr using (f0, f1, f2)"""
+# Peeling: in the order of both objectives a row is on the front if its second one is below all before.
+ORACLES["pareto_rank_global"] = ORACLES["pareto_rank_grid"] = f"""with recursive {ORDERS},
+ p as (select distinct f0, f1 from o),
+ lv as (select f0, f1, 0::bigint as rank from p union all
+   select f0, f1, rank + 1 from (select *, min(f1) over (order by f0, f1 rows between unbounded preceding and 1 preceding) as low
+     from lv) where low <= f1),
+ rk as (select f0, f1, max(rank) as rank from lv group by f0, f1)
+ select row_id, rank from o join rk using (f0, f1)"""
 ORACLES["violation"] = f"with {OFFERS} select grp, row_id, round(greatest(g, 0), 6) as cv, g <= 0 as ok from o"
 PENALISED = """ws as (select grp, coalesce(max(case when g <= 0 then f0 end), max(f0)) as w0,
    coalesce(max(case when g <= 0 then f1 end), max(f1)) as w1 from o group by grp),

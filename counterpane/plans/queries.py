@@ -476,6 +476,32 @@ def pareto_rank(spark, sf):
         "grp", "row_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+def bargains(spark, sf):
+    """All lines as one group: low price, high quantity, high discount."""
+    return table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_extendedprice").alias("f0"),
+        (F.lit(0.0) - F.col("l_quantity")).alias("f1"), (F.lit(0.0) - F.col("l_discount")).alias("f2"))
+
+
+@query
+def pareto_front_global(spark, sf):
+    return fronts.pareto_front(bargains(spark, sf), [], OFFER, "row_id")
+
+
+@query
+def pareto_rank_global(spark, sf):
+    return fronts.pareto_rank(purchases(spark, sf), [], PURCHASE, "row_id").select(
+        "row_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def pareto_rank_grid(spark, sf):
+    """All orders as one group again, as if a task could hold a quarter of them."""
+    orders = purchases(spark, sf)
+    return fronts.pareto_rank(orders, [], PURCHASE, "row_id", group_limit=max(1, orders.count() // 4)).select(
+        "row_id", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def violation(spark, sf):
     return rounded(offers(spark, sf).select("grp", "row_id", A.violation("g").alias("cv"), (F.col("g") <= 0).alias("ok")),

@@ -70,6 +70,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     named = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
                          *[c for c in right.columns if c not in keys])
     if not keys:
-        return left.withColumn("_one", F.lit(1)).join(named.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+        one = F.broadcast(named.withColumn("_one", F.lit(1)))
+        return left.withColumn("_one", F.lit(1)).join(one, "_one", how).drop("_one")
     same = reduce(lambda a, b: a & b, (left[k].eqNullSafe(named[n]) for k, n in zip(keys, names)))
     return left.join(named, same, how).drop(*names)

@@ -59,7 +59,7 @@ def test_front_and_rank(df, rows, monkeypatch, block):
     assert got == want
 
 
-def test_large_group_is_peeled(df, rows):
+def test_large_group_on_a_grid(df, rows):
     got = {r.row_id: r["rank"] for r in P.pareto_rank(df, ["grp"], OBJ, "row_id", group_limit=40).collect()}
     assert got == truth(rows)
 
@@ -196,3 +196,55 @@ def test_lumped_ranks():
     for enough in (1, 10, 40, 60):
         first = next(k for k in range(1, 61) if (whole < k).sum() >= enough)
         assert (ranks(values, enough) == np.minimum(whole, first)).all()
+
+
+def wide_rows(spark, n, d, seed, digits):
+    values = np.round(np.random.default_rng(seed).random((n, d)), digits)
+    return values, spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)],
+                                         "row_id bigint, " + ", ".join(f"f{k} double" for k in range(d))).repartition(4)
+
+
+@pytest.mark.parametrize("d, digits", [(1, 2), (2, 2), (3, 1), (4, 1)])
+def test_ranks_on_the_grid_and_in_one_pass(spark, d, digits):
+    values, rows = wide_rows(spark, 300, d, d, digits)
+    want, names = brute_ranks(values), [f"f{k}" for k in range(d)]
+    assert P.ranks(values).tolist() == [want[i] for i in range(len(values))]
+    got = {r.row_id: r["rank"] for r in P.pareto_rank(rows, [], names, "row_id", group_limit=100).collect()}
+    assert got == want
+    assert (P.on_front(values) == np.array([want[i] == 0 for i in range(len(values))])).all()
+
+
+def test_first_fronts_alone(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 50)
+    values, rows = wide_rows(spark, 800, 2, 9, 3)
+    want = brute_ranks(values)
+    got = {r.row_id: r["rank"] for r in P.pareto_rank(rows, [], ["f0", "f1"], "row_id", enough=20).collect()}
+    sizes = np.cumsum(np.bincount(list(want.values())))
+    needed = int(np.searchsorted(sizes, 20))  # the front with which 20 rows are full
+    assert len(got) < len(want) / 2
+    assert all(got[i] == k for i, k in want.items() if k <= needed)
+    assert all(k > needed for i, k in got.items() if want[i] > needed)
+
+
+def test_only_blocks_with_fitting_corners_meet(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 20)
+    monkeypatch.setattr(P, "STRONG", 5)
+    values, _ = wide_rows(spark, 1000, 3, 4, 6)
+    values = values / values.sum(axis=1, keepdims=True)  # nearly all of a plane is on the front
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "row_id bigint, f0 double, f1 double, f2 double")
+    want = {i for i in range(len(values)) if not any((values[j] <= values[i]).all() and (values[j] < values[i]).any()
+                                                     for j in range(len(values)))}
+    names = ["f0", "f1", "f2"]
+    assert {r.row_id for r in P.pareto_front(rows, [], names, "row_id").collect()} == want
+    placed = P.corner_blocks(rows, [], names, "row_id", 1000)
+    assert placed.groupBy("_block").count().agg(F.max("count")).first()[0] <= 20
+    assert P.corner_pairs(placed, [], names).count() < 50 * 50 / 4
+
+
+def test_running_sums_cross_parts(spark):
+    from counterpane.operators.running import running_sums
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i % 3, i, i * i) for i in range(400)], "g int, i int, v int").repartition(7)
+    got = running_sums(rows, ["g"], ["i"], total=F.col("v"), place=F.lit(1)).collect()
+    for r in got:
+        before = [i for i in range(r.i + 1) if (None if i % 3 == 0 else i % 3) == r.g]
+        assert (r.total, r.place) == (sum(i * i for i in before), len(before))
