@@ -189,8 +189,9 @@ def niche_select(candidates: DataFrame, counts: DataFrame, n: int | str, groups:
     The r-th pick of a niche that starts with `c` members happens at level `c + r - 1`; levels are served in
     order, niches of a level in drawn order. An empty niche gives its closest candidate first, all other
     picks are drawn. `counts` holds `groups, niche, members`. Closest candidates come from an aggregation
-    and no niche keeps more than `n` rows before the group is put in order; where `n` is a column, `n_max`
-    names its largest value, so that tasks drop the rest of a crowded niche before the shuffle.
+    and no niche keeps more than `n` rows; where `n` is a column, `n_max` names its largest value, so that tasks
+    drop the rest of a crowded niche before the shuffle. Running counts of the levels tell which level is the last one;
+    only its rows, at most one of each niche, are put in order, so no task orders a group.
     """
     groups = list(groups)
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
@@ -205,15 +206,23 @@ def niche_select(candidates: DataFrame, counts: DataFrame, n: int | str, groups:
              .withColumn("_turn", F.when((F.col("members") == 0) & (slot == F.col("_closest")), F.lit(-1.0))
                          .otherwise(draw(seed, SALT_PICK, who, generation, slot, 0))))
     in_niche = Window.partitionBy(*groups, "niche").orderBy("_turn", row_id)
-    in_group = Window.partitionBy(*groups).orderBy("level", "_lot", "niche")
     first = keyed.withColumn("_r", F.row_number().over(in_niche))
     if most is not None:
         first = first.where(F.col("_r") <= most)
-    return (first.where(F.col("_r") <= limit)
-            .withColumn("level", F.col("members") + F.col("_r") - 1)
+    leveled = cut(first.where(F.col("_r") <= limit).withColumn("level", F.col("members") + F.col("_r") - 1)
+                  .withColumn("_limit", limit))
+    by_level = Window.partitionBy(*groups).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    levels = (leveled.groupBy(*groups, "level").agg(F.count("*").alias("_size"))
+              .withColumn("_upto", F.sum("_size").over(by_level)))
+    counted = join_on(leveled, levels, [*groups, "level"])
+    room = F.col("_limit") - (F.col("_upto") - F.col("_size"))
+    whole = counted.where(F.col("_upto") <= F.col("_limit"))
+    last = Window.partitionBy(*groups).orderBy("_lot", "niche")
+    part = (counted.where((F.col("_upto") > F.col("_limit")) & (room > 0))
             .withColumn("_lot", draw(seed, SALT_NICHE, who, generation, F.col("niche"), F.col("level")))
-            .withColumn("_n", F.row_number().over(in_group)).where(F.col("_n") <= limit)
-            .select(*candidates.columns, "level"))
+            .withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= room))
+    columns = [*candidates.columns, "level"]
+    return whole.select(*columns).unionByName(part.select(*columns))
 
 
 def survive(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str, n: int,
