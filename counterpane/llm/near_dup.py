@@ -4,8 +4,8 @@ Two permutations make all coordinates of a signature: the first scatters shingle
 by k, gives coordinate k. As tables this means that the K values of one shingle are K neighbouring entries of the second
 table, so a signature is the column minimum of windows of that table.
 
-A document is the set of its distinct word shingles. Documents with equal sets collapse to one representative before
-anything is compared. Bands of the signature put representatives into buckets; each bucket compares its members with
+A document is the set of its distinct word shingles. Documents with equal sets (by digests, then confirmed on the exact
+sets) collapse to one representative before anything is compared. Bands of the signature put representatives into buckets; each bucket compares its members with
 one leader (another one in each band, chosen by hash), and components are formed from the links confirmed on the full
 sets. Buckets that still hold several components compare the members outside the largest one with the rest of the
 bucket, except pairs that the exact distances to the leader rule out (Jaccard distance is a metric), inside tasks and in
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import frame, hot_keys, join_back, keep, map_texts, numbered
+from .common import SALTS, frame, hot_keys, join_back, keep, map_texts, numbered
 
 BANDS, ROWS = 28, 5
 UNIVERSE = 1 << 20
@@ -55,17 +55,16 @@ class Shingles:
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each word of a byte text: a sum of byte values times powers, made free of the position."""
+        """Start and hash of each word of a byte text: a sum of scrambled numbers of (byte, position in the word)."""
         space = _SPACE[data]
         edge = np.flatnonzero(np.diff(np.r_[True, space, True]))
         starts, ends = edge[::2], edge[1::2]
-        power = np.cumprod(np.r_[np.uint64(1), np.full(min(len(data), 1 << 12), 0x9E3779B97F4A7C15, np.uint64)])
-        inside = ~space
-        at = np.zeros(len(data), np.int64)
-        at[inside] = np.arange(int(inside.sum())) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
-        terms = np.where(inside, self.value[data] * power[at & 4095] + (at >> 12).astype(np.uint64), np.uint64(0))
-        total = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
-        return starts, mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
+        lengths = ends - starts
+        inside = np.flatnonzero(~space)
+        at = np.arange(len(inside), dtype=np.uint64) - np.repeat((np.cumsum(lengths) - lengths).astype(np.uint64), lengths)
+        total = np.r_[np.uint64(0), np.cumsum(mix(self.value[data[inside]] + at * np.uint64(0xD1342543DE82EF95)), dtype=np.uint64)]
+        upto = np.cumsum(lengths)
+        return starts, mix(total[upto] - total[upto - lengths] + lengths.astype(np.uint64))
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct hashes of each text's shingles."""
@@ -176,6 +175,43 @@ def shingle_set(text: str, size: int = 3) -> set:
     return set(zip(*(words[j:] for j in range(size))))
 
 
+def unequal(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """`rid` of members `rid, rep, hot` of a class whose exact set is not that of its representative.
+
+    A class, or each of the parts of a hot one, passes a task in order, and every text is compared with the first; the
+    first ones of the parts of hot classes are then compared with the representative itself.
+    """
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+    keys = ["rep", "salt", "rid"]
+    sent = (members.select("rep", salt, "rid").join(texts.hint("merge"), "rid").select(*keys, "text")
+            .repartition("rep", "salt").sortWithinPartitions(*keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, first, text, words = None, None, None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows, alike = batch.slice(at, 64).to_pydict(), []
+                for rep, part, rid, own in zip(rows["rep"], rows["salt"], rows["rid"], rows["text"]):
+                    if (rep, part) != head:
+                        head, first, text, words = (rep, part), rid, own, None
+                    elif own != text and words is None:
+                        words = shingle_set(text, size)
+                    alike.append((rep, first, rid, own == text or shingle_set(own, size) == words))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*alike), kinds)],
+                                                 names=["rep", "first", "rid", "alike"])
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    checked = keep(sent.mapInArrow(run, "rep bigint, first bigint, rid bigint, alike boolean"), "near-checked")
+    heads = keep(checked.where("rid = first and rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")), "near-heads")
+    if not heads.limit(1).count():
+        return checked.where("not alike").select("rid")
+    ends = heads.select(F.col("a").alias("rid")).union(heads.select("b")).distinct()
+    wrong = (verify(heads, keep(texts.join(ends.hint("merge"), "rid", "left_semi"), "near-head-texts"), size)
+             .where("shared <> joint").select(F.col("a").alias("first")))
+    behind = checked.join(wrong.hint("merge"), "first", "left_semi")
+    return checked.where("not alike").select("rid").union(behind.select("rid")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """`rid, comp` with the smallest row number reachable over `a, b`, for rows with links: hooking and pointer jumping.
 
@@ -228,9 +264,16 @@ def near_components(source: DataFrame, size: int = 3, percent: int = 85, bands:
     classes = keep(full.groupBy("d1", "d2", "n_shingles").agg(F.count("*").alias("n"), F.min("rid").alias("rep")),
                    "near-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    member = join_back(full.select("rid", "d1", "d2", "n_shingles"), classes.select("d1", "d2", "n_shingles", "rep"),
-                       ["d1", "d2", "n_shingles"], hot_keys(classes, ["d1", "d2", "n_shingles"], total))
-    reps = table.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    hot = hot_keys(classes, ["d1", "d2", "n_shingles"], total)
+    member = join_back(full.select("rid", "d1", "d2", "n_shingles"), classes.select("d1", "d2", "n_shingles", "n", "rep"),
+                       ["d1", "d2", "n_shingles"], hot)
+    member = keep(member.select("rid", "n", "rep", F.xxhash64("d1", "d2", "n_shingles").isin(hot).alias("hot")), "near-class-of")
+    strays = keep(unequal(member.where("n > 1").select("rid", "rep", "hot"), source.select("rid", "text"), size), "near-strays")
+    member = member.select("rid", "rep")
+    if strays.limit(1).count():  # equal digests of different sets: such rows stand for themselves
+        member = keep(member.join(strays.withColumn("own", F.lit(True)), "rid", "left").select(
+            "rid", F.when(F.col("own"), F.col("rid")).otherwise(F.col("rep")).alias("rep")), "near-class-of")
+    reps = table.join(member.where("rid = rep").select("rid"), "rid", "left_semi")
 
     cells = keep(reps.select("rid", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key")),
                  "near-cells")
@@ -344,7 +387,7 @@ def compare(rows: pa.Table, shingles: Shingles, percent: int, limit: float) -> l
     minor = np.flatnonzero(col["minor"])
     comp = col["comp"].copy()
     sets: dict[int, set] = {}
-    texts = rows.column("text")
+    texts, words = rows.column("text"), shingles.size
 
     def members(k: int) -> set:
         if k not in sets:
@@ -366,6 +409,9 @@ def compare(rows: pa.Table, shingles: Shingles, percent: int, limit: float) -> l
             a, b = members(x), members(y)
             shared = len(a & b)
             if 100 * shared >= percent * (len(a) + len(b) - shared):
+                one, two = shingle_set(texts[x].as_py(), words), shingle_set(texts[y].as_py(), words)
+                if 100 * len(one & two) < percent * len(one | two):
+                    continue
                 rx, ry = int(col["rid"][x]), int(col["rid"][y])
                 found.append((min(rx, ry), max(rx, ry)))
                 comp[comp == comp[x]] = comp[y]

@@ -3,8 +3,9 @@
 Base spans (email, ip, card, phone) are found in the source text. Then transducers rewrite the text: look-alike and
 full-width characters, invisible ones, digits written as words, and at/dot disguises. Each keeps, for every character it
 writes, the span of the source it came from. The same finders run over the rewritten text, and what they find is mapped
-back; a span that meets no base span of its kind and was rewritten somewhere is added. Texts without any trigger (nearly
-all) are not rewritten.
+back; a span that was rewritten somewhere is added unless a base span of its kind covers it, so a base span that holds
+only the plain end of a disguised address stays beside the whole one. Texts without any trigger (nearly all) are not
+rewritten.
 
 Finders work around the rare signs (`@`, `+`, dots between digits), so that long runs of letters or digits cost linear
 time. Defined results: null and empty texts have no spans, digests of the empty text and an empty `spans`; null ids
@@ -113,14 +114,13 @@ _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*)?(?:(?:{_WORDS}|[0-9]+)(?:\
                       rf"{{2,}}(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
 _TOKEN = re.compile(rf"(plus)(?!\w)|({_WORDS})(?!\w)|([0-9])|(dot|punto|punkt|point)(?!\w)|(.)", re.I | re.S)
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
-_AT = rf"(?:\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|\s*[_*-]at[_*-]\s*|\s+at\s+|\s*&\#64;\s*|\s+@\s+|\s+@|@\s+|@)"
-_HARD_AT = re.compile(rf"{_OPEN}\s*(?:at|@)\s*{_CLOSE}|[_*-]at[_*-]|&\#64;|\s@|@\s", re.I)
-_DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s*[_*-]dot[_*-]\s*|\s+dot\s+|\s*&\#46;\s*|\.)"
-_HARD_DOT = re.compile(r"(?<![^\W_])dot(?![^\W_])|" + rf"{_OPEN}\s*\.\s*{_CLOSE}|&\#46;", re.I)
-_MAIL = re.compile(rf"(?P<local>(?<![A-Za-z0-9%+-])[A-Za-z0-9%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*)(?P<at>{_AT})"
-                   rf"(?P<domain>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.I)
+# An @ in disguise, and a dot, without the blanks around them; the spelled ones stand between blanks.
+_AT = re.compile(rf"(?P<hard>{_OPEN}\s*(?:at|@)\s*{_CLOSE}|[_*-]at[_*-]|&\#64;)|(?P<word>(?<=\s)at(?=\s))|@", re.I)
+_DOT = re.compile(rf"(?P<hard>{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}|[_*-]dot[_*-]|&\#46;)|(?P<word>(?<=\s)dot(?=\s))|\.", re.I)
+_MAIL_CHARS = _LOCAL - {"."}
+_HOST_CHARS = _LOCAL - frozenset("._%+")
 _LETTER_DIGITS = re.compile(r"(?<=[0-9])[OoIl](?=[0-9\x20().-]*[0-9])|(?<=[0-9][\x20-])[OoIl](?=[0-9])")
-_NUMBER_DOT = re.compile(rf"(?<=[0-9])\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*(?=[0-9])", re.I)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+)(?=[0-9])", re.I)
 
 
 # Triggers look at the set of words first: cheap on bytes, and few texts hold these words.
@@ -187,23 +187,63 @@ def spelled_edits(text: str) -> Iterable[tuple[int, int, str]]:
                 yield *t.span(), ""
 
 
+def _with_blanks(text: str, a: int, b: int) -> tuple[int, int]:
+    while a > 0 and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b
+
+
+def _grow(text: str, at: int, bound: int, step: int, allowed: frozenset[str], dots: dict[int, int]) -> tuple[int, list[int]]:
+    """From an at sign outwards: characters of names with dots between them, up to `bound`; the end and the dots passed."""
+    end, passed = at, []
+    while True:
+        here = at
+        while here != bound and text[here if step > 0 else here - 1] in allowed:
+            here += step
+        if here == at:  # a dot needs a name behind it
+            return end, passed[:-1]
+        end = here
+        beyond = dots.get(here)
+        if beyond is None or (bound - beyond) * step < 0:
+            return end, passed
+        passed.append(here)
+        at = beyond
+
+
 def mail_edits(text: str) -> Iterable[tuple[int, int, str]]:
-    """`name at host dot org` and its like; a bare `at` needs a disguised dot beside it."""
-    for m in _MAIL.finditer(text):
-        at, domain = m["at"], m["domain"]
-        dots = list(re.finditer(_DOT, domain, re.I))
-        if at == "@" and not _HARD_DOT.search(domain) and not _HARD_DOT.search(m["local"]):
+    """`name at host dot org` and its like; a bare `at` needs a disguised dot beside it.
+
+    The signs come first and names grow outwards from each, up to the signs beside it, so that long runs of dots or signs
+    cost linear time.
+    """
+    signs = [(m, *_with_blanks(text, *m.span())) for m in _AT.finditer(text)]
+    if not signs:
+        return
+    dots = {}
+    for m in _DOT.finditer(text):
+        a, b = m.span() if m[0] == "." else _with_blanks(text, *m.span())
+        dots[a, b] = m[0] != "."
+    after, before = {a: b for a, b in dots}, {b: a for a, b in dots}
+    floor = 0
+    for k, (sign, a, b) in enumerate(signs):
+        ceiling = signs[k + 1][1] if k + 1 < len(signs) else len(text)
+        start, left = _grow(text, a, floor, -1, _MAIL_CHARS, before)
+        end, right = _grow(text, b, max(b, ceiling), 1, _HOST_CHARS, after)
+        floor = max(floor, b)
+        if start == a or not right:
             continue
-        if not _HARD_AT.search(at) and at != "@" and not _HARD_DOT.search(domain):
+        spans = [(before[i], i) for i in reversed(left)] + [(a, b)] + [(i, after[i]) for i in right]
+        hard = any(dots.get(s) for s in spans)
+        if (sign["word"] or (a, b) == sign.span() and sign[0] == "@") and not hard:
             continue
-        for d in re.finditer(_DOT, m["local"], re.I):
-            if d[0] != ".":
-                yield m.start("local") + d.start(), m.start("local") + d.end(), "."
-        if at != "@":
-            yield *m.span("at"), "@"
-        for d in dots:
-            if d[0] != ".":
-                yield m.start("domain") + d.start(), m.start("domain") + d.end(), "."
+        for s in spans:
+            if s == (a, b):
+                yield *s, "@"
+            elif dots[s]:
+                yield *s, "."
+        floor = max(floor, end)
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
@@ -230,8 +270,8 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
         if tape.text[a:b] == text[start:end]:
             continue
         own = taken[kind]
-        at = bisect_right(own, (end, -1))
-        if at and own[at - 1][1] > start:
+        at = bisect_right(own, (start, len(text) + 1))
+        if at and own[at - 1][1] >= end:  # a base span says it all
             continue
         out.append((kind, start, end))
     return out
@@ -242,7 +282,7 @@ def written(spans: list[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, n_email, n_ip, n_card, n_phone` (base spans), `base_sha256`, `spans` (all spans), `n_hidden`."""
+    """`doc_id, n_email, n_ip, n_card, n_phone` (base spans), `base_sha256`, `spans` (all spans), `n_hidden`, `found` (any span)."""
 
     def make() -> Callable[[list[str]], Iterable[tuple]]:
         def work(texts: list[str]) -> Iterable[tuple]:
@@ -251,8 +291,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 hidden = hidden_spans(text, base)
                 kinds = [k for k, *_ in base]
                 yield (*(kinds.count(k) for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(),
-                       written(base + hidden), len(hidden))
+                       written(base + hidden), len(hidden), bool(base or hidden))
         return work
 
     return map_texts(frame(docs, id_col, text_col), make, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-                     "base_sha256 string, spans string, n_hidden bigint")
+                     "base_sha256 string, spans string, n_hidden bigint, found boolean")
