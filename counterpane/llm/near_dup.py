@@ -6,7 +6,7 @@ table, so a signature is the column minimum of windows of that table.
 
 A document is the set of its distinct word shingles. Documents with equal sets (by digests, then confirmed on the exact
 sets) collapse to one representative before anything is compared. Bands of the signature put representatives into buckets; each bucket compares its members with
-one leader (another one in each band, chosen by hash), and components are formed from the links confirmed on the full
+one leader (chosen by hash, in a few orders that the bands share), and components are formed from the links confirmed on the full
 sets. Buckets that still hold several components compare the members outside the largest one with the rest of the
 bucket, except pairs that the exact distances to the leader rule out (Jaccard distance is a metric), inside tasks and in
 blocks. So no link between documents that share a bucket is lost, and no pairs but those with a leader become rows.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import SALTS, frame, hot_keys, join_back, keep, map_texts, numbered
 
 BANDS, ROWS = 28, 5
+LEADERS = 4  # orders by which buckets choose their leaders: a member of a large group meets few of them, not one per band
 UNIVERSE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -277,7 +278,7 @@ def near_components(source: DataFrame, size: int = 3, percent: int = 85, bands:
 
     cells = keep(reps.select("rid", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key")),
                  "near-cells")
-    order = F.xxhash64("rid", "band")
+    order = F.xxhash64("rid", F.col("band") % LEADERS)
     leaders = keep(cells.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "rid", "size")).alias("lead")).where("n > 1").select(
         "band", "key", "n", F.col("lead.rid").alias("leader"), F.col("lead.size").alias("lead_size")), "near-leaders")
