@@ -266,6 +266,19 @@ st as (select series_id, k, arg_max(s, struct_pack(w := total, s := -s)) as star
 
 ORACLES["max_sum_start"] = f"""with {EMB}, {DEVIATION}, {starts('dev', '(select 5 as k) k')}
  select series_id, start::int as start from st"""
+def long_windows(key: str, length: int) -> str:
+    """The best window of rows by event, per key (or of all rows)."""
+    part = f"partition by {key}" if key else ""
+    return f"""with s as (select {key + "," if key else ""} event_id, max(abs(value)) over ({part}) as unit,
+   round(value / max(abs(value)) over ({part}), 9)::decimal(38, 9) as v from events),
+ w as (select *, sum(v) over win as total, count(*) over win as n from s
+   window win as ({part} order by event_id rows between current row and {length - 1} following))
+ select {key + "," if key else ""} arg_min(event_id, struct_pack(a := -total, b := event_id)) as start,
+   round(max(total)::double * max(unit), 6) as total from w where n = {length} {"group by " + key if key else ""}"""
+
+
+ORACLES["event_window"] = long_windows("", 1000)
+ORACLES["user_windows"] = long_windows("user_id", 3)
 ORACLES["naive_candidates"] = f"""with {NUN}, {starts('dev', '(select unnest(range(1, 17)) as k) k')},
  tr as (select n.query_id as series_id, n.nun_label, st.k, st.start, e.i,
           case when e.t >= st.start and e.t < st.start + st.k then d.v else e.v end as v

@@ -16,7 +16,7 @@ from ..operators.model import (ConvModel, cam_weights, class_means, deviation_we
 from ..operators.neighbours import knn_join, nun_join, with_neighbour
 from ..operators.panel import changed_span, minmax_by_step, panel_cells, scale_to_channel, validate_panel
 from ..operators.search import SearchSettings, evaluate_masks, search_masks
-from ..operators.windows import max_sum_window, naive_search, select_best
+from ..operators.windows import long_max_window, max_sum_window, naive_search, select_best
 from ..session import cut, scratch_path
 from ..sources import panels as P
 from ..sources.results import result_count, results_table, text_table
@@ -343,6 +343,18 @@ def max_sum_start(spark, sf):
     return (max_sum_window(deviation_weights(embeddings(spark, sf)), 5).select("series_id", "start"))
 
 
+@query
+def event_window(spark, sf):
+    """All events as one series: the thousand in a row with the largest sum of values."""
+    return rounded(long_max_window(table(spark, sf, "events"), [], "event_id", "value", 1000), "total")
+
+
+@query
+def user_windows(spark, sf):
+    """The three events in a row with the largest sum, per user."""
+    return rounded(long_max_window(table(spark, sf, "events"), ["user_id"], "event_id", "value", 3), "total")
+
+
 def embedding_pairs(spark, sf):
     panel = embeddings(spark, sf)
     model = fit_centroids(panel, "label", BETA)

@@ -160,9 +160,13 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv", check: bool = T
             labels = labels.withColumn("label", F.col("label").cast("bigint"))
         elif kind["number"] == kind["n"]:
             labels = labels.withColumn("label", F.col("label").cast("double"))
-    named = labels.select(F.col("sample_id").cast("bigint").alias("series_id"), "label", F.lit(True).alias("_labelled"))
-    joined = panel.join(named, "series_id", "left")
+    named = (labels.groupBy(F.col("sample_id").cast("bigint").alias("series_id"))
+             .agg(F.min("label").alias("label"), F.count("*").alias("_labels")))
     if not check:
-        return joined.drop("_labelled")
-    return joined.withColumn("x", F.when(F.col("_labelled"), F.col("x")).otherwise(
-        _refuse("no label for sample", "series_id").cast("array<double>"))).drop("_labelled")
+        return panel.join(named, "series_id", "left").drop("_labels")
+    whole = panel.withColumn("_sampled", F.lit(True)).join(named, "series_id", "full")
+    fault = (F.when(F.col("_sampled").isNull(), F.lit("no sample for label")).when(
+        F.col("_labels").isNull(), F.lit("no label for sample")).when(F.col("_labels") > 1, F.lit("more than one label for sample")))
+    refused = F.raise_error(F.concat(fault, F.lit(": "), F.coalesce(F.col("series_id").cast("string"), F.lit("null"))))
+    return whole.withColumn("x", F.when(fault.isNull(), F.col("x")).otherwise(refused.cast("array<double>"))).drop(
+        "_sampled", "_labels")

@@ -229,3 +229,14 @@ def test_csv_with_gaps_or_without_labels_is_refused(spark, tmp_path):
             save(name, steps, (1, 2)).collect()
     with pytest.raises(Exception, match="no label for sample: 2"):
         save("unlabelled", (0, 1), (1,)).collect()
+
+
+@pytest.mark.parametrize("labels, message", [([(0, 1), (0, 0), (1, 1)], "more than one label"), ([(0, 1)], "no label for sample"),
+                                             ([(0, 1), (1, 0), (2, 1)], "no sample for label")])
+def test_labels_must_match_samples(spark, tmp_path, labels, message):
+    panel = panel_of(spark, [np.ones((2, 2)), np.zeros((2, 2))])
+    P.write_panel(panel, str(tmp_path / "p.csv"), 2, label=None)
+    spark.createDataFrame(labels, "sample_id bigint, label bigint").write.option("header", True).csv(str(tmp_path / "p_labels.csv"))
+    with pytest.raises(Exception, match=message):
+        P.read_panel(spark, str(tmp_path / "p.csv")).collect()
+    assert P.read_panel(spark, str(tmp_path / "p.csv"), check=False).count() == 2
