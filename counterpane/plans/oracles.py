@@ -225,6 +225,17 @@ def event_knn(cell: str, value: str) -> str:
 
 ORACLES["knn_dtw"] = event_knn(DTW_CELL, "sqrt(v)")
 ORACLES["knn_soft_dtw"] = event_knn(SOFT_CELL, "v")
+ORACLES["flagged_edits"] = f"""with {EMB} select series_id, v::int as visit, v = 1 + series_id % 4 as is_best
+ from emb, range(1, 5) r(v)"""
+ORACLES["results_read_back"] = f"""with {EMB}, {MEANS} select el.series_id, el.series_id % 2 = 0 as is_best,
+   el.label::bigint as label, count(*) as cells, round(sum(case when el.i < 16 then mean.v else el.v end), 6) as total
+ from el join mean on mean.label = el.label and mean.i = el.i group by el.series_id, el.label"""
+ORACLES["knn_gak"] = f"""with recursive {events_cte(6)}, {aligned(event_pairs(
+    "(select distinct series_id from el) q, (select distinct series_id from el) r"), '1.0', '0.0', gak_cell(500.0), 5)},
+ ks as (select f.qa, f.rb, f.v / sqrt(x.v * y.v) as dist from fin f join fin x on x.qa = f.qa and x.rb = f.qa
+   join fin y on y.qa = f.rb and y.rb = f.rb),
+ rk as (select *, row_number() over (partition by qa order by dist, rb) as rn from ks)
+ select qa as query_id, rn::int as rank, rb as ref_id, round(dist, 6) as dist from rk where rn <= 3"""
 ORACLES["nun_euclidean"] = f"""with {NUN} select query_id, nun_id, nun_label, round(nun_confidence, 6) as nun_confidence,
  round(dist, 6) as dist from nun"""
 ORACLES["nun_euclidean_k5"] = f"""with {NUN}, k5 as (select *, row_number() over (partition by query_id order by rn) as n

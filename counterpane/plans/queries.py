@@ -19,7 +19,7 @@ from ..operators.search import SearchSettings, evaluate_masks, search_masks
 from ..operators.windows import long_max_window, max_sum_window, naive_search, select_best
 from ..session import cut, scratch_path
 from ..sources import panels as P
-from ..sources.results import result_count, results_table, text_table
+from ..sources.results import flag_best, result_count, results_table, text_table, write_results
 from .explain import explain, neighbour_pairs
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -276,6 +276,7 @@ def neighbours_of(metric: str, k: int, panel_of, **params) -> Query:
 QUERIES["knn_euclidean"] = neighbours_of("euclidean", 5, embeddings)
 QUERIES["knn_manhattan"] = neighbours_of("manhattan", 5, embeddings)
 QUERIES["knn_dtw"] = neighbours_of("dtw", 3, lambda spark, sf: events(spark, sf, 6))
+QUERIES["knn_gak"] = neighbours_of("gak", 3, lambda spark, sf: events(spark, sf, 6), sigma=500.0)
 QUERIES["knn_soft_dtw"] = neighbours_of("soft_dtw", 3, lambda spark, sf: events(spark, sf, 6))
 
 
@@ -623,6 +624,31 @@ def explain_unweighted(spark, sf):
     return found.select("series_id", "nun_id", "window", "pos", "label", "is_best", "n_changed")
 
 
+@query
+def flagged_edits(spark, sf):
+    """Edits with one to four spliced steps per series, the best one by heaviest change flagged by its label and values."""
+    edits = own_class(spark, sf).withColumn("visit", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    edits = cut(edits.withColumn("cf", A.splice_window("x", "y", "n_ch", F.lit(0), "visit")).withColumn("pos", F.lit(0)))
+    best = edits.where(F.col("visit") == 1 + F.col("series_id") % 4)
+    return flag_best(edits, best).select("series_id", "visit", "is_best")
+
+
+@query
+def results_read_back(spark, sf):
+    """A result table written as CSV and read again: texts of arrays, flags and labels survive."""
+    edits = own_class(spark, sf).withColumn("cf", A.splice_window("x", "y", "n_ch", F.lit(0), 4))
+    table_ = results_table(edits.select("series_id", "cf", (F.col("series_id") % 2 == 0).alias("is_best"), "label", "x",
+                                        F.col("label").alias("original_label"), F.col("y").alias("nun_x"),
+                                        F.slice("x", 1, 2).alias("nun_weights")))
+    path = scratch_path(spark, "results")
+    write_results(table_, path)
+    back = spark.read.option("header", True).csv(path)
+    values = A.parse_array("counterfactual", 16, 4)
+    return rounded(back.select(F.col("instance_id").cast("bigint").alias("series_id"), F.col("is_best").cast("boolean").alias("is_best"),
+                               F.col("label").cast("bigint").alias("label"), F.size(values).cast("bigint").alias("cells"),
+                               A.total(values).alias("total")), "total")
+
+
 @query
 def results_text(spark, sf):
     return text_table(results_table(explained(spark, sf)))
