@@ -73,7 +73,7 @@ def select_channels(x: str | Column, n_ch: str | Column | int, channels: Sequenc
     if channels is None:
         return x
     if not channels or any(isinstance(c, bool) or not isinstance(c, int) or c < 0 for c in channels):
-        raise bad_parameter("channels must be non-negative integers", config=channels, param="channels")
+        raise bad_parameter("channels must be non-negative integers", got=channels, name="channels")
     steps = (F.size(x) / n_ch).cast("int")
     picked = F.flatten(F.transform(
         F.sequence(F.lit(0), steps - 1),

@@ -53,7 +53,7 @@ SCHEMA = "left_id bigint, right_id bigint, dist double"
 
 
 def distance_join(left: DataFrame, right: DataFrame, metric: str | Metric, *, window: int | None = None,
-                  gamma: float = 1.0, sigma: float = 1.0, max_iter: int = 100, n_components: int | None = None,
+                  gamma: float = 1.0, sigma: float = 1.0,
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every left series against every right one: `left_id, right_id, dist`.
 
@@ -62,7 +62,7 @@ def distance_join(left: DataFrame, right: DataFrame, metric: str | Metric, *, wi
     cut into blocks of bounded size, each row goes once to every block of the other side, and a task
     compares two blocks.
     """
-    m = find_metric(metric, window, gamma, sigma, max_iter, n_components)
+    m = find_metric(metric, window, gamma, sigma)
     lhs = left.select(F.col("series_id").alias("left_id"), "t_len", "n_ch", "x")
     rhs = right.select(F.col("series_id").alias("right_id"), "t_len", "n_ch", "x")
     n_right, cells = panel_size(right)

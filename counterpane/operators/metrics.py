@@ -30,17 +30,15 @@ class Metric:
         return kernels.box_bound(self.name, X, low, high, self.params)
 
 
-def metric(name: str | Metric, window: int | None = None, gamma: float = 1.0, sigma: float = 1.0,
-           max_iter: int = 100, n_components: int | None = None) -> Metric:
+def metric(name: str | Metric, window: int | None = None, gamma: float = 1.0, sigma: float = 1.0) -> Metric:
     """Look a metric up by its name, in any case and with or without underscores."""
     if isinstance(name, Metric):
         return name
     key = name.lower().replace("_", "").replace("-", "")
     if key not in kernels.METRICS:
-        raise bad_parameter(f"unknown distance metric '{name}'", config=name, param="metric",
-                                 hint="use one of " + ", ".join(sorted(kernels.METRICS)), source="metric()")
+        raise bad_parameter(f"unknown distance metric '{name}'", got=name, name="metric",
+                                 advice="use one of " + ", ".join(sorted(kernels.METRICS)))
     if window is not None and (isinstance(window, bool) or not isinstance(window, int) or window < 0):
-        raise bad_parameter("the band radius must be a non-negative integer", config=window, param="window")
-    given = {"radius": window, "gamma": float(gamma), "sigma": float(sigma), "max_iter": max_iter,
-             "n_components": n_components}
+        raise bad_parameter("the band radius must be a non-negative integer", got=window, name="window")
+    given = {"radius": window, "gamma": float(gamma), "sigma": float(sigma)}
     return Metric(key, {p: given[p] for p in kernels.METRICS[key][1]})

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import bad_parameter
+from ..errors import bad_data, bad_parameter
 from ..functions import arrays as A
 from .batches import cubes, list_array
 
@@ -88,7 +88,7 @@ class CallableModel:
 
     def __init__(self, target: Any = None, loader: Any = None) -> None:
         if (target is None) == (loader is None):
-            raise bad_parameter("give either a model or a loader", param="target", source="CallableModel()")
+            raise bad_parameter("give either a model or a loader", name="target")
         self.target, self.loader = target, loader
 
     def predict(self, X: np.ndarray) -> np.ndarray:
@@ -105,14 +105,14 @@ def model_source(model: Any) -> Any:
         return model
     if callable(getattr(model, "predict_proba", None)) or callable(model):
         return CallableModel(model)
-    raise bad_parameter("a model needs a predict method", config=type(model).__name__, param="model",
-                             hint="wrap functions or classifiers in CallableModel", source="model_source()")
+    raise bad_parameter("a model needs a predict method", got=type(model).__name__, name="model",
+                             advice="wrap functions or classifiers in CallableModel")
 
 
 def _bounded(rows: int, width: int, what: str) -> None:
     if rows * width > MAX_PARAMETERS:
         raise bad_parameter(f"{what}: {rows} x {width} parameters are too many for a broadcast model",
-                                 param="model", hint=f"at most {MAX_PARAMETERS} doubles")
+                                 name="model", advice=f"at most {MAX_PARAMETERS} doubles")
 
 
 def class_means(panel: DataFrame, label: str = "label") -> DataFrame:
@@ -128,10 +128,13 @@ def class_means(panel: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_centroids(panel: DataFrame, label: str = "label", beta: float = 1.0) -> CentroidModel:
-    """Centroid model from labelled series; class `k` is the k-th label in order."""
-    rows = class_means(panel, label).orderBy("series_id").select("x").limit(MAX_CLASSES + 1).toArrow()
+    """Centroid model from labelled series of one shape; class `k` is the k-th label in order."""
+    rows = class_means(panel, label).orderBy("series_id").select("x", "t_len", "n_ch").limit(MAX_CLASSES + 1).toArrow()
+    shapes = set(zip(rows.column("t_len").to_pylist(), rows.column("n_ch").to_pylist()))
+    if len(shapes) > 1:
+        raise bad_data("centroids need series of one shape", got=sorted(shapes))
     if rows.num_rows > MAX_CLASSES:
-        raise bad_parameter(f"more than {MAX_CLASSES} classes are too many for a broadcast model", param="label")
+        raise bad_parameter(f"more than {MAX_CLASSES} classes are too many for a broadcast model", name="label")
     _bounded(rows.num_rows, max((len(x) for x in rows.column("x")), default=0), "centroids")
     return CentroidModel(np.array(rows.column("x").to_pylist()), float(beta))
 
@@ -186,12 +189,12 @@ def score_with_pipeline(panel: DataFrame, pipeline: Any) -> DataFrame:
 def cam_weights(panel: DataFrame, model: ConvModel) -> DataFrame:
     """Class-activation map: per step the sum of the filters' activations, weighted for the predicted class."""
     if not isinstance(model, ConvModel):
-        raise bad_parameter("activation maps need a convolutional model", config=type(model).__name__,
-                                 param="model", source="cam_weights()")
+        raise bad_parameter("activation maps need a convolutional model", got=type(model).__name__,
+                                 name="model")
     if model.kernel.shape[2] != model.dense.shape[0]:
         raise bad_parameter(
             f"the convolution has {model.kernel.shape[2]} filters but the dense layer takes {model.dense.shape[0]}",
-            param="model", source="cam_weights()")
+            name="model")
     schema = T.StructType([T.StructField("series_id", T.LongType()), T.StructField("pred_label", T.IntegerType()),
                            T.StructField("weights", T.ArrayType(T.DoubleType()))])
 

@@ -172,7 +172,7 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
     chosen = drawn.union(shapes).distinct()
     pivots = refs.join(F.broadcast(chosen), "ref_id").toArrow().sort_by("ref_id")
     if len({*zip(column(pivots, "t_len").tolist(), column(pivots, "n_ch").tolist())}) > MAX_SHAPES:
-        raise bad_data(f"more than {MAX_SHAPES} shapes of series", param="reference")
+        raise bad_data(f"more than {MAX_SHAPES} shapes of series", name="reference")
     assigned = _assign(refs, pivots)
     boxes = _boxes(assigned)
     cell_ids, sizes = column(boxes, "cell"), column(boxes, "n")
@@ -258,7 +258,7 @@ def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
 def _neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: Metric, unlike: bool,
                 broadcast_bytes: int, n_pivots: int | None, size: tuple[int, int] | None = None) -> DataFrame:
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
-        raise bad_parameter("the number of neighbours must be a positive integer", config=k, param="k")
+        raise bad_parameter("the number of neighbours must be a positive integer", got=k, name="k")
     q, r = _columns(queries, "query_id"), _columns(reference, "ref_id")
     n_refs, cells = size or panel_size(reference)
     if panel_bytes(n_refs, cells) <= broadcast_bytes:

@@ -33,12 +33,12 @@ def panel_from_rows(df: DataFrame, key: str, step: Column, channel: str, value:
     map task.
     """
     if outside not in ("raise", "drop"):
-        raise bad_parameter("rows outside the grid are raised or dropped", param="outside", value=outside)
+        raise bad_parameter("rows outside the grid are raised or dropped", name="outside", value=outside)
     if channels is None:
         names = df.select(channel).where(F.col(channel).isNotNull()).distinct().limit(MAX_CHANNELS + 1).collect()
         channels = sorted(r[0] for r in names)
         if len(channels) > MAX_CHANNELS:
-            raise bad_data(f"more than {MAX_CHANNELS} channels", param="channel")
+            raise bad_data(f"more than {MAX_CHANNELS} channels", name="channel")
     if steps is None:
         steps = int(df.agg(F.max(step.cast("int"))).first()[0] or 0) + 1
     lookup = F.create_map(*[part for i, name in enumerate(channels) for part in (F.lit(name), F.lit(i))])
@@ -107,7 +107,7 @@ def from_wide(wide: DataFrame) -> DataFrame:
     """Steps back to series; one map-side-combinable shuffle on the series."""
     features = sorted((c for c in wide.columns if c.startswith("feature_")), key=lambda c: int(c[8:]))
     if not features:
-        raise bad_data("no feature columns found", param="wide", hint="expected feature_0, feature_1, ...")
+        raise bad_data("no feature columns found", name="wide", advice="expected feature_0, feature_1, ...")
     row = F.array(*[F.col(c).cast("double") for c in features])
     steps = F.array_sort(F.collect_list(F.struct(F.col("time_step").cast("int").alias("t"), row.alias("v"))))
     grouped = wide.groupBy(F.col("sample_id").cast("bigint").alias("series_id")).agg(steps.alias("steps"))
@@ -151,7 +151,7 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv", check: bool = T
         sizes = panel.agg(F.min("t_len").alias("low"), F.max("t_len").alias("high")).first()
         if sizes["low"] != sizes["high"]:
             raise bad_data(f"series of different lengths: {sizes['low']} to {sizes['high']} steps",
-                                param="path", source="read_panel()")
+                                name="path")
     if fmt == "csv":
         kind = labels.select("label", F.expr("try_cast(label AS BIGINT)").alias("whole"),
                              F.expr("try_cast(label AS DOUBLE)").alias("number")).agg(

@@ -110,3 +110,11 @@ def test_centroids_are_class_means(panel):
     data = {r.series_id: (r.label, np.array(r.x)) for r in panel.collect()}
     for k in range(3):
         assert np.allclose(model.centroids[k], np.mean([x for label, x in data.values() if label == k], axis=0))
+
+
+def test_centroids_of_mixed_shapes_are_refused(spark):
+    from counterpane.errors import CounterpaneError
+    from counterpane.operators.model import fit_centroids
+    panel = panel_of(spark, [np.ones((2, 1)), np.ones((3, 1))], label=[0, 0])
+    with pytest.raises(CounterpaneError, match="one shape"):
+        fit_centroids(panel)
