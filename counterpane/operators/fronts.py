@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from math import ceil
 
@@ -169,9 +170,10 @@ def ranks(values: np.ndarray, enough: int | None = None) -> np.ndarray:
     """
     if not len(values):
         return np.zeros(0, dtype=np.int64)
-    points, place = np.unique(values, axis=0, return_inverse=True)
-    open_ = range(1, values.shape[1])
-    rank = np.array(place_in_layers(points.tolist(), [], Layers(len(open_)), open_), dtype=np.int64)[place.ravel()]
+    rows, open_ = [tuple(v) for v in values.tolist()], range(1, values.shape[1])
+    points = sorted(set(rows))
+    placed = dict(zip(points, place_in_layers(points, [], Layers(len(open_)), open_)))
+    rank = np.array([placed[p] for p in rows], dtype=np.int64)
     if enough is not None:
         behind = int(np.searchsorted(np.cumsum(np.bincount(rank)), enough)) + 1
         rank = np.minimum(rank, behind)
@@ -230,23 +232,37 @@ def _bucket_count(rows: int) -> int:
     return max(1, ceil(rows / BLOCK))
 
 
-def _split(rows: DataFrame, groups: Sequence[str], limit: int) -> tuple[DataFrame | None, DataFrame | None, int]:
-    """Rows of groups up to the limit, rows of larger ones, and the number of rows of the largest group."""
+@dataclass
+class _Split:
+    """Rows of groups up to a limit and their number, rows of larger groups, the number of rows of the largest one."""
+
+    small: DataFrame | None
+    small_rows: int
+    large: DataFrame | None
+    most: int
+
+
+def _split(rows: DataFrame, groups: Sequence[str], limit: int) -> _Split:
     sizes = rows.groupBy(*groups).agg(F.count("*").alias("_rows"))
-    most = sizes.agg(F.max("_rows")).first()[0] or 0
+    found = sizes.agg(F.max("_rows").alias("most"),
+                      F.sum(F.when(F.col("_rows") <= limit, F.col("_rows"))).alias("small")).first()
+    most, small = found["most"] or 0, found["small"] or 0
     if most <= limit:
-        return rows, None, most
+        return _Split(rows, small, None, most)
     if not groups:
-        return None, rows, most
+        return _Split(None, 0, rows, most)
     sized = join_on(rows, sizes, groups)
-    return (sized.where(F.col("_rows") <= limit).drop("_rows"), sized.where(F.col("_rows") > limit).drop("_rows"), most)
+    return _Split(sized.where(F.col("_rows") <= limit).drop("_rows"), small,
+                  sized.where(F.col("_rows") > limit).drop("_rows"), most)
 
 
-def _in_buckets(rows: DataFrame, groups: Sequence[str], work: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
-    """Whole groups, many of them per task."""
-    n = _bucket_count(rows.count())
+def _in_buckets(part: _Split, groups: Sequence[str], work: Callable[[pa.Table], pa.Table], schema: T.StructType) -> list[DataFrame]:
+    """The small groups, whole and many of them per task; nothing if there are none."""
+    if part.small is None:
+        return []
+    rows, n = part.small, _bucket_count(part.small_rows)
     bucket = F.pmod(F.xxhash64(*groups), F.lit(n)) if groups else F.lit(0)
-    return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(work, schema)
+    return [rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(work, schema)]
 
 
 def _sift(rows: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str, strong: int, times: int) -> DataFrame:
@@ -338,21 +354,18 @@ def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str]
     local = cut(_local_fronts(df.select(*groups, row_id, *objectives), groups, objectives))
     kept = list(local.columns)
 
-    def whole(part: DataFrame) -> DataFrame:
-        def front(table: pa.Table) -> pa.Table:
-            table = table.select(kept)
-            values, code = _values(table, objectives), _group_codes(table, groups)
-            return table.filter(pa.array(fronts_in_groups(values, code)))
-
-        return _in_buckets(part, groups, front, local.schema)
-
-    small, large, _ = _split(local, groups, BLOCK)
-    fronts = [whole(small)] if small is not None else []
-    if large is not None:
-        sifted = cut(_sift(large, groups, objectives, row_id, STRONG, 1))
-        small, large, most = _split(sifted, groups, BLOCK)
-        fronts += [whole(small)] if small is not None else []
-        fronts += [_large_fronts(large, groups, objectives, row_id, most)] if large is not None else []
+    def front(table: pa.Table) -> pa.Table:
+        table = table.select(kept)
+        values, code = _values(table, objectives), _group_codes(table, groups)
+        return table.filter(pa.array(fronts_in_groups(values, code)))
+
+    part = _split(local, groups, BLOCK)
+    fronts = _in_buckets(part, groups, front, local.schema)
+    if part.large is not None:
+        part = _split(cut(_sift(part.large, groups, objectives, row_id, STRONG, 1)), groups, BLOCK)
+        fronts += _in_buckets(part, groups, front, local.schema)
+        if part.large is not None:
+            fronts.append(_large_fronts(part.large, groups, objectives, row_id, part.most))
     return reduce(DataFrame.unionByName, fronts)
 
 
@@ -446,12 +459,13 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
 
     out = []
     if enough is not None:
-        small, data, _ = _split(data, groups, max(BLOCK, 4 * enough))
-        out += [_in_buckets(small, groups, rank_bucket, schema)] if small is not None else []
-        data = cut(_sift(data, groups, objectives, row_id, 4 * enough, enough)) if data is not None else None
+        part = _split(data, groups, max(BLOCK, 4 * enough))
+        out += _in_buckets(part, groups, rank_bucket, schema)
+        data = None if part.large is None else cut(_sift(part.large, groups, objectives, row_id, 4 * enough, enough))
     if data is not None:
-        small, large, most = _split(data, groups, group_limit)
-        out += [_in_buckets(small, groups, rank_bucket, schema)] if small is not None else []
+        part = _split(data, groups, group_limit)
+        out += _in_buckets(part, groups, rank_bucket, schema)
+        large, most = part.large, part.most
         if large is not None:
             points = cut(large.select(*groups, *[F.col(f).cast("double").alias(f) for f in objectives]).distinct())
             found = _grid_ranks(points, groups, objectives, group_limit, most)
