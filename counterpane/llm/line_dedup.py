@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import frame, hot_keys, join_back, keep, numbered
@@ -40,37 +40,55 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _of(pair: Callable[[Column, int], Column], shift: int) -> Callable[[Column], Column]:
+    return lambda m: pair(m, shift)
+
+
+def part(items: Column, start: Column, size: Column) -> Column:
+    """Elements `start` to `start + size - 1`: unlike a slice, it costs its own length, not that of the whole array."""
+    taken = F.transform(F.sequence(start, start + size - 1), lambda i: F.get(items, i))
+    return F.when(size > 0, taken).otherwise(F.slice(items, 1, 0))
+
+
 def _pieces(line: Column) -> Column:
     """A long line cut where, within some `WINDOW` places, the hash of the eight characters around is least.
 
     Places behind white space come before all others; of equal places the first is taken.
     """
     def keys(chars: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.struct(
-            (~F.get(chars, i - 1).isin(" ", "\n", "\t")).alias("inside"),
-            F.xxhash64(*[F.get(chars, i + k) for k in range(-4, 4)]).alias("hash"), i.alias("at")))
+        # one number a place: inside a word or not, 31 bits of the hash, the place
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.when(
+            F.get(chars, i - 1).isin(" ", "\n", "\t"), F.lit(0)).otherwise(F.lit(1 << 62)) + i + F.shiftleft(
+            F.shiftrightunsigned(F.xxhash64(*[F.get(chars, i + k) for k in range(-4, 4)]), 33), 31))
 
     def least(keys: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(keys) - WINDOW),
-                                            lambda j: F.array_min(F.slice(keys, j + 1, WINDOW))["at"]))
+        # minima of 2, 4, 8, 16 and 24 places in a row, by pairs of shorter ones
+        def paired(m: Column, shift: int) -> Column:
+            return F.zip_with(F.slice(m, F.lit(1), F.size(m) - shift), F.slice(m, F.lit(shift + 1), F.size(m) - shift),
+                              lambda x, y: F.least(x, y))
+
+        low = keys
+        for shift in (1, 2, 4, 8, WINDOW - 16):
+            low = _let(low, _of(paired, shift))
+        return F.transform(F.array_distinct(low), lambda key: key.bitwiseAND((1 << 31) - 1).cast("int"))
 
     def cut(chars: Column, at: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), at)
-        return _let(starts, lambda s: F.transform(s, lambda a, k: F.array_join(
-            F.slice(chars, a + 1, F.coalesce(F.get(s, k + 1), F.size(chars)) - a), "")))
+        return _let(F.concat(F.array(F.lit(0)), at), lambda s: F.transform(s, lambda a, k: F.array_join(
+            part(chars, a, F.coalesce(F.get(s, k + 1), F.size(chars)) - a), "")))
 
-    return _let(F.split(line, ""), lambda chars: _let(keys(chars), lambda k: cut(chars, least(k))))
+    return _let(F.split(line, ""), lambda chars: _let(least(keys(chars)), lambda at: cut(chars, at)))
 
 
 def lines_of(text: Column) -> Column:
     """Lines with the white space that ends them: joined again they are the text."""
     return _let(F.split(text, _ENDS), lambda lines: F.when(
-        F.exists(lines, lambda x: F.length(x) > LIMIT), F.flatten(F.transform(lines, lambda x: F.when(
+        F.exists(lines, lambda x: F.octet_length(x) > LIMIT), F.flatten(F.transform(lines, lambda x: F.when(
             F.length(x) > LIMIT, _pieces(x)).otherwise(F.array(x))))).otherwise(lines))
 
 
 def bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \n\t\r"))
+    """A line without the blanks, and the white space before its newline, that end it."""
+    return F.when(F.endswith(line, F.lit("\n")), F.rtrim(line, F.lit(" \n\t\r"))).otherwise(F.rtrim(line))
 
 
 def chunked(rows: DataFrame) -> DataFrame:
@@ -78,21 +96,26 @@ def chunked(rows: DataFrame) -> DataFrame:
 
     Chunks of less than `MIN_CHUNK` bytes say nothing alone and are left out; a match beside them covers them.
     """
-    cut = rows.select("rid", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
-    # two arrays, not one of structs: a field of an array of structs would be taken out anew at every access
-    hashed = cut.select("rid", F.transform("lines", lambda x: F.xxhash64(bare(x))).alias("h"),
-                        F.transform("lines", F.octet_length).alias("l"))
-    rolled = hashed.select("rid", "h", "l", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))).alias("r"))
-    starts = rolled.select("rid", "h", "l", F.filter(
-        F.sequence(F.lit(0), F.size("r") - 1),
-        lambda i: (i == 0) | (F.get("l", i) >= LONE) | (F.get("l", i - 1) >= LONE)
-        | ((F.get("r", i - 1) > F.get("r", i))
-           & F.coalesce(F.get("r", i) <= F.get("r", i + 1), F.lit(True)))).alias("s"))
-    stop = lambda k: F.coalesce(F.get("s", k + 1), F.size("h"))
-    chunks = F.transform("s", lambda at, k: F.struct(
-        at.alias("start"), (stop(k) - at).alias("size"), F.xxhash64(F.slice("h", at + 1, stop(k) - at)).alias("hash"),
-        F.aggregate(F.slice("l", at + 1, stop(k) - at), F.lit(0), lambda a, b: a + b).alias("bytes")))
-    return starts.select("rid", F.filter(chunks, lambda c: c["bytes"] >= MIN_CHUNK).alias("chunks"))
+    cut = rows.select("rid", F.transform(lines_of(F.coalesce("text", F.lit(""))), bare).alias("x"))
+    # the rolling hash of a line and the next; its last bit says whether the line is a chunk alone (its end counts as a byte)
+    rolled = cut.select("rid", "x", F.zip_with("x", F.slice("x", F.lit(2), F.size("x")), lambda x, y: F.xxhash64(
+        x, y).bitwiseAND(-2) + F.when(F.octet_length(x) >= LONE - 1, F.lit(1)).otherwise(F.lit(0))).alias("r"))
+
+    def begins(r: Column, i: Column) -> Column:
+        prior = F.get("r", i - 1)
+        return (i == 0) | (r.bitwiseAND(1) == 1) | (prior.bitwiseAND(1) == 1) | (
+            (prior > r) & F.coalesce(r <= F.get("r", i + 1), F.lit(True)))
+
+    begun = rolled.select("rid", "x", F.transform("r", lambda r, i: F.when(begins(r, i), i)).alias("at"))
+    starts = begun.select("rid", "x", F.filter("at", lambda a: a.isNotNull()).alias("s"), F.size("x").alias("n"))
+
+    def chunk(at: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("s", k + 1), F.col("n"))
+        return _let(F.transform(F.sequence(at, stop - 1), lambda i: F.get("x", i)), lambda lines: F.when(
+            F.aggregate(lines, F.size(lines), lambda n, x: n + F.octet_length(x)) >= MIN_CHUNK,
+            F.struct(at.alias("start"), F.size(lines).alias("size"), F.xxhash64(lines).alias("hash"))))
+
+    return starts.select("rid", F.filter(F.transform("s", chunk), lambda c: c.isNotNull()).alias("chunks"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -110,9 +133,9 @@ def _occurrence(chunk: Column, k: Column) -> Column:
     high = F.least(stop + REACH, F.coalesce(later["start"], F.size("lines")))
     return F.struct(
         start.alias("start"), stop.alias("stop"), chunk["hash"].alias("hash"), chunk["own"].alias("own"),
-        F.array_join(F.slice("lines", start + 1, chunk["size"]), "\n").alias("body"),
-        F.reverse(F.slice("lines", low + 1, start - low)).alias("before"),
-        F.slice("lines", stop + 1, high - stop).alias("after"))
+        F.array_join(part(F.col("lines"), start, chunk["size"]), "\n").alias("body"),
+        F.reverse(part(F.col("lines"), low, start - low)).alias("before"),
+        part(F.col("lines"), stop, high - stop).alias("after"))
 
 
 def occurrences(source: DataFrame, places: DataFrame) -> DataFrame:
@@ -123,8 +146,8 @@ def occurrences(source: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataFrame:
-    """`rid, runs` (arrays of first line and line behind the last) of what goes from a table `rid, text`."""
-    flat = chunks.select("rid", F.inline("chunks")).drop("bytes")
+    """`rid, gone` (numbers of the lines that go) of the documents of a table `rid, text` that lose some."""
+    flat = chunks.select("rid", F.inline("chunks"))
     repeated = keep(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1"),
                     "line-repeats")
     total = repeated.agg(F.sum("n")).first()[0] or 0
@@ -141,29 +164,21 @@ def repeated_runs(source: DataFrame, chunks: DataFrame, min_chars: int) -> DataF
                                       F.col("after").alias("fafter"))
     others = each.where("not own").select("rid", "start", "stop", "hash", "body", "before", "after")
     same = join_back(others, firsts, ["hash"], hot).where(F.col("body") == F.col("fbody"))
-    spans = same.select(
-        "rid", (F.col("start") - _common(F.col("before"), F.col("fbefore"))).alias("a"),
-        (F.col("stop") + _common(F.col("after"), F.col("fafter"))).alias("b"),
-        (F.length("body")
-         + F.length(F.array_join(F.slice("before", F.lit(1), _common(F.col("before"), F.col("fbefore"))), " "))
-         + F.length(F.array_join(F.slice("after", F.lit(1), _common(F.col("after"), F.col("fafter"))), " "))
-         ).alias("chars"))
-    found = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "chars"))).alias("spans"))
-    # one pass over the sorted spans joins those that touch; a finished run is kept if it is long enough
-    empty = F.expr("named_struct('a', -1, 'b', -1, 'chars', 0)")
-    joined = F.aggregate(
-        F.concat("spans", F.array(F.expr("named_struct('a', 2147483647, 'b', 2147483647, 'chars', 0)"))),
-        F.struct(empty.alias("open"), F.expr("cast(array() as array<int>)").alias("lines")),
-        lambda state, s: F.when(
-            s["a"] <= state["open"]["b"],
-            F.struct(F.struct(state["open"]["a"].alias("a"), F.greatest(state["open"]["b"], s["b"]).alias("b"),
-                              (state["open"]["chars"] + s["chars"]).alias("chars")).alias("open"),
-                     state["lines"].alias("lines"))).otherwise(
-            F.struct(s.alias("open"), F.when(
-                state["open"]["chars"] >= min_chars,
-                F.concat(state["lines"], F.sequence(state["open"]["a"], state["open"]["b"] - 1))).otherwise(
-                state["lines"]).alias("lines"))))
-    return found.select("rid", joined["lines"].alias("gone")).where(F.size("gone") > 0)
+    wide = same.select("rid", "start", "stop", F.length("body").alias("size"), "before", "after",
+                       _common(F.col("before"), F.col("fbefore")).alias("up"),
+                       _common(F.col("after"), F.col("fafter")).alias("down"))
+    spans = wide.select(
+        "rid", (F.col("start") - F.col("up")).alias("a"), (F.col("stop") + F.col("down")).alias("b"),
+        (F.col("size") + F.length(F.array_join(F.slice("before", F.lit(1), F.col("up")), " "))
+         + F.length(F.array_join(F.slice("after", F.lit(1), F.col("down")), " "))).alias("chars"))
+    # spans that touch form a run: a span opens one where no earlier span reaches it
+    order = Window.partitionBy("rid").orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1)))
+    runs = opened.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(
+        "rid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("chars").alias("chars"))
+    return runs.where(F.col("chars") >= min_chars).groupBy("rid").agg(
+        F.flatten(F.collect_list(F.sequence(F.col("a"), F.col("b") - 1))).alias("gone"))
 
 
 def without_repeats(table: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
