@@ -32,6 +32,16 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == held, F.lit(True))
 
 
+def first_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of each key, in hash order of `doc_id`: first in each of SALTS parts of a key, then among those."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted = rows.withColumn("salt", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(SALTS)))
+    for keys in ([key, "salt"], [key]):
+        salted = salted.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(
+            F.col("place") <= most).drop("place")
+    return salted.drop("salt")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int,
                     max_chars: int) -> DataFrame:
     """`doc_id, text, y, weight` of at most `rows` labelled rows of each label outside the held-out fold.
@@ -45,8 +55,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
              .where(~held_out(F.col("doc_id"), folds, held) & F.col("y").isNotNull())
              .groupBy("doc_id").agg(F.max("y").alias("y")))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(1000).collect()}
-    place = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows).drop("place")
+    chosen = first_rows(known, "y", rows)
     chosen = chosen.withColumn("weight", F.coalesce(*[F.when(F.col("y") == y, F.lit(n / min(n, rows)))
                                                       for y, n in sizes.items()], F.lit(1.0)))
     return frame(docs).where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")

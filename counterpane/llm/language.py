@@ -19,10 +19,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, frame, map_texts
+from .common import first_rows, frame, held_out, map_texts
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 12
 ROWS, WINDOWS, MAX_LANGUAGES = 400, 8, 256
@@ -165,11 +165,9 @@ class Predictor:
 
 def learn_from(docs: DataFrame, folds: int = 4, held: int = 2, lang_col: str = "lang") -> Network:
     """A network from the bounded sample outside the held-out fold."""
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs[lang_col].cast("string").alias("lang"))
            .where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds, held)))
-    chosen = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= ROWS).drop("place")
-    chosen = chosen.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = first_rows(ids, "lang", ROWS).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     sample = frame(docs).join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "lang", "text")
 
     def make() -> Callable[[list[str]], Iterable[tuple]]:

@@ -500,3 +500,16 @@ def test_pipeline_stages(spark):
             assert len(gone) < 0.2 * len(before)
         docs = kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_first_rows_are_those_of_one_order_by_hash(spark):
+    from pyspark.sql import Window
+
+    from counterpane.llm.common import first_rows
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 0), (5, None), (9000, None)], "doc_id bigint, y int"))
+    for most in (1, 50, 5000):
+        place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        want = rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+        assert sorted(map(str, first_rows(rows, "y", most).collect())) == sorted(map(str, want.collect()))
+    assert first_rows(rows.limit(0), "y", 5).count() == 0
