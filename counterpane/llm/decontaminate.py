@@ -6,18 +6,27 @@ at most k edits shares at least `length + 1 - (k + 1) * Q` of its q-grams with i
 So hits are counted in overlapping diagonal bands, bands below the bound are dropped, and the rest is aligned within
 the band. A text is contaminated if some window aligns within its budget of `EDITS` edits per byte.
 
-The benchmark travels to the tasks in blocks of at most `BLOCK_BYTES` of text (one pass over the documents for each
-block), so what is broadcast has a bound whatever the benchmark's size.
+Items below `MIN_BYTES` bytes have no edits to spend: they accuse a text that holds them verbatim, from word border to
+word border. There the lemma would ask for every q-gram on one diagonal, which are the bytes themselves, so stretches
+between word borders are looked up by hash and compared.
 
-Defined results: null and empty texts are clean; items without `MIN_BYTES` bytes after normalising are too short to
-accuse a text and are passed over (null ones too); repeated items count once, under their smallest id; null ids stay
-null and repeated rows repeat; other columns are ignored; an empty table or benchmark gives no contamination.
+Hits are expanded to windows in parts of at most `ENTRIES`, cut by diagonals and by windows, and each part is aligned
+before the next: items that share a frequent stem cost time, never memory.
+
+The benchmark travels to the tasks as text, in blocks of about half of `BLOCK_BYTES` (one pass over the documents for
+each block), and a worker builds the index of a block once. The driver holds one block at a time; the result of a pass,
+the accused rows alone, is written before the next one begins.
+
+Defined results: null and empty texts are clean; items that are empty after normalising accuse nobody (null ones and
+those with a null id neither); repeated items count once, under their smallest id; null ids stay null and repeated rows
+repeat; other columns are ignored; an empty table or benchmark gives no contamination.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +38,10 @@ Q, WINDOW, STRIDE, EDITS, MIN_BYTES = 8, 80, 40, 0.1, 32
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that a task searches at once.
 SLICE = 1 << 20
+#: Pairs of a hit and a window that are looked at together.
+ENTRIES = 1 << 19
 _BITS = 22
+_BASE = 0x9E3779B97F4A7C15
 _MARKS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
@@ -45,25 +57,34 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of the items of a block: texts, item ids, the sorted q-grams and where they stand."""
+    """Windows of the items of a block: texts, item ids, the sorted q-grams and where they stand.
+
+    `code` numbers the pairs of a distinct q-gram and a window that holds it, in order; `exact` holds the items too short
+    for windows, `hashes` their hashes by length.
+    """
 
     texts: list[bytes]
     items: np.ndarray
     sizes: np.ndarray
     gram: np.ndarray
-    first: np.ndarray
+    code: np.ndarray
     owner: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    exact: dict[bytes, int]
+    hashes: dict[int, np.ndarray]
 
     @staticmethod
     def of(items: Iterable[tuple[int, str]]) -> Windows:
-        texts, ids, seen = [], [], set()
+        texts, ids, seen, exact = [], [], set(), {}
         for item, text in sorted(items):
             body = normalise(text)
-            if len(body) < MIN_BYTES or body in seen:
+            if not body or body in seen:
                 continue
             seen.add(body)
+            if len(body) < MIN_BYTES:
+                exact[body] = item
+                continue
             last = max(0, len(body) - WINDOW)
             for start in [*range(0, last, STRIDE), last]:
                 texts.append(body[start:start + WINDOW])
@@ -75,9 +96,25 @@ class Windows:
         order = np.argsort(gram, kind="stable")
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[_slot(gram)] = True
-        distinct, first = np.unique(gram[order], return_index=True)
+        distinct, number = np.unique(gram[order], return_inverse=True)
+        hashes = {n: np.unique(np.concatenate([stretches(np.frombuffer(t, np.uint8), np.zeros(1, np.int64), n)
+                                               for t in exact if len(t) == n])) for n in {len(t) for t in exact}}
         return Windows(texts, np.array(ids, np.int64), np.array([len(t) for t in texts], np.int64), distinct,
-                       np.r_[first, len(order)], owner[order], place[order], bitmap)
+                       number * len(each) + owner[order], owner[order], place[order], bitmap, exact, hashes)
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of bytes times powers, and the inverse powers, modulo 2^64."""
+    powers = np.cumprod(np.full(len(data), _BASE, np.uint64))
+    inverse = np.cumprod(np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64))
+    return np.r_[np.zeros(1, np.uint64), np.cumsum(data * powers, dtype=np.uint64)], inverse
+
+
+def stretches(data: np.ndarray, at: np.ndarray, size: int,
+              sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Hashes of the `size` bytes from each of the places `at`."""
+    total, inverse = sums or _sums(data)
+    return (total[at + size] - total[at]) * inverse[at]
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
@@ -97,36 +134,65 @@ def bound(sizes: np.ndarray) -> np.ndarray:
 _BAND = 4 * int(WINDOW * EDITS)
 
 
-def regions(data: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Window numbers and first diagonals of the bands that meet the bound in one long byte array."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
+def regions(data: np.ndarray, windows: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Window numbers and first diagonals of the bands that meet the bound in one long byte array, part by part."""
     if len(data) < Q or not len(windows.gram):
-        return none
+        return
     gram = grams(data)
     at = np.flatnonzero(windows.bitmap[_slot(gram)])
-    found = np.searchsorted(windows.gram, gram[at])
-    found = np.minimum(found, len(windows.gram) - 1)
+    found = np.minimum(np.searchsorted(windows.gram, gram[at]), len(windows.gram) - 1)
     same = windows.gram[found] == gram[at]
-    at, found = at[same], found[same]
-    if not len(at):
-        return none
-    counts = windows.first[found + 1] - windows.first[found]
-    entry = np.repeat(windows.first[found] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    owner = windows.owner[entry]
+    at, found = at[same], found[same] * len(windows.texts)
     half = _BAND // 2
     # diagonals are moved up so that none is negative
-    step = (np.repeat(at, counts) - windows.place[entry] + 2 * WINDOW) // half
     span = (len(data) + 3 * WINDOW) // half + 2
-    key = owner * span + step
-    key = np.concatenate([key, key - 1])
-    key, hits = np.unique(key, return_counts=True)
-    keep = hits >= bound(windows.sizes)[key // span]
-    return key[keep] // span, (key[keep] % span) * half - 2 * WINDOW
+    pending = [(0, len(windows.texts), 0, span)]
+    while pending:
+        low, high, first, last = pending.pop()
+        # a band holds two steps, so hits of the step after the last one belong here as well
+        a, b = np.searchsorted(at, [first * half - 2 * WINDOW, (last + 1) * half - WINDOW])
+        begin = np.searchsorted(windows.code, found[a:b] + low)
+        counts = np.searchsorted(windows.code, found[a:b] + high) - begin
+        total = int(counts.sum())
+        if not total:
+            continue
+        if total > ENTRIES and last - first > (64 if high - low > 1 else 1):
+            middle = (first + last) // 2
+            pending += [(low, high, first, middle), (low, high, middle, last)]
+            continue
+        if total > ENTRIES and high - low > 1:
+            middle = (low + high) // 2
+            pending += [(low, middle, first, last), (middle, high, first, last)]
+            continue
+        entry = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(total)
+        step = (np.repeat(at[a:b], counts) - windows.place[entry] + 2 * WINDOW) // half
+        key = windows.owner[entry] * span + step
+        key, hits = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        owner, step = key // span, key % span
+        good = (hits >= bound(windows.sizes)[owner]) & (step >= first) & (step < last)
+        if good.any():
+            yield owner[good], step[good] * half - 2 * WINDOW
+
+
+def verbatim(data: np.ndarray, windows: Windows) -> Iterator[tuple[int, int]]:
+    """Places and ids of the short items that stand in the text from word border to word border."""
+    if not windows.exact:
+        return
+    border = (data == 32) | (data == 0)
+    begins = np.flatnonzero(border[:-1] & ~border[1:]) + 1
+    sums = _sums(data)
+    for size, known in windows.hashes.items():
+        at = begins[begins + size < len(data)]
+        at = at[border[at + size]]
+        for place in at[np.isin(stretches(data, at, size, sums), known)].tolist():
+            item = windows.exact.get(data[place:place + size].tobytes())
+            if item is not None:
+                yield place, item
 
 
 def aligned(data: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, start: np.ndarray,
             windows: Windows) -> np.ndarray:
-    """Least edits of each window within its band; text outside [low, high) matches nothing."""
+    """Least edits of each window within its band, if its budget allows them; text outside [low, high) matches nothing."""
     out = np.full(len(owner), np.iinfo(np.int64).max)
     sizes = windows.sizes[owner]
     for size in np.unique(sizes):
@@ -144,6 +210,9 @@ def aligned(data: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarr
                 step = cost + (text[:, i:i + width] != pattern[:, i:i + 1])
                 step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
                 cost = np.minimum.accumulate(step - column, axis=1) + column
+                if i % 16 == 15:  # edits never become fewer
+                    open_ = cost.min(axis=1) <= k
+                    part, pattern, text, cost = part[open_], pattern[open_], text[open_], cost[open_]
             out[part] = cost.min(axis=1)
     return out
 
@@ -153,58 +222,90 @@ def contaminated(texts: list[str], windows: Windows) -> list[dict[int, float]]:
     bodies = [normalise(t) for t in texts]
     data = np.frombuffer(b"\0".join([b"", *bodies, b""]), np.uint8)
     low = np.cumsum([1, *(len(b) + 1 for b in bodies)])
-    owner, start = regions(data, windows)
     out: list[dict[int, float]] = [{} for _ in texts]
-    if not len(owner):
-        return out
-    # a band may touch two neighbouring texts: it is aligned in each
-    doc = np.searchsorted(low, np.clip(start, 0, None), "right") - 1
-    until = np.searchsorted(low, start + _BAND + windows.sizes[owner], "right") - 1
-    tries = np.minimum(until, len(texts) - 1) - np.clip(doc, 0, len(texts) - 1) + 1
-    entry = np.repeat(np.arange(len(owner)), tries)
-    doc = np.clip(doc, 0, len(texts) - 1)[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(tries) - tries, tries)
-    owner, start = owner[entry], start[entry]
-    edits = aligned(data, low[doc], low[doc + 1] - 1, owner, start, windows)
-    for i in np.flatnonzero(edits <= budget(windows.sizes[owner])):
-        item, share = int(windows.items[owner[i]]), 1 - float(edits[i]) / float(windows.sizes[owner[i]])
-        out[doc[i]][item] = max(share, out[doc[i]].get(item, 0.0))
+    for place, item in verbatim(data, windows):
+        out[int(np.searchsorted(low, place, "right")) - 1][item] = 1.0
+    for owner, start in regions(data, windows):
+        # a band may touch neighbouring texts: it is aligned in each
+        doc = np.clip(np.searchsorted(low, np.clip(start, 0, None), "right") - 1, 0, len(texts) - 1)
+        until = np.searchsorted(low, start + _BAND + windows.sizes[owner], "right") - 1
+        tries = np.minimum(until, len(texts) - 1) - doc + 1
+        entry = np.repeat(np.arange(len(owner)), tries)
+        doc = doc[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(tries) - tries, tries)
+        owner, start = owner[entry], start[entry]
+        edits = aligned(data, low[doc], low[doc + 1] - 1, owner, start, windows)
+        for i in np.flatnonzero(edits <= budget(windows.sizes[owner])):
+            item, share = int(windows.items[owner[i]]), 1 - float(edits[i]) / float(windows.sizes[owner[i]])
+            out[doc[i]][item] = max(share, out[doc[i]].get(item, 0.0))
     return out
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Windows]:
-    """The windows of the benchmark, block by block."""
-    items = frame(benchmark, item_col, item_text).where("text is not null and doc_id is not null")
+class Block:
+    """Items of one block as they travel; the index is built where it is used, once in a worker."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.items = items
+
+    @cached_property
+    def windows(self) -> Windows:
+        return Windows.of(self.items)
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, item_text: str) -> tuple[int, Iterator[Block]]:
+    """The number of blocks of the benchmark, and the blocks one by one."""
+    items = frame(benchmark, item_col, item_text).where("text is not null and doc_id is not null").groupBy("text").agg(
+        F.min("doc_id").alias("doc_id"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // (BLOCK_BYTES // 2)) + 1
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        yield Windows.of((r.doc_id, r.text) for r in own.collect())
+    count = int(size // (BLOCK_BYTES // 2)) + 1
+    if count > 1:
+        # items that are equal after normalising meet in one block; in order of blocks, each is read from its own files
+        signs = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
+        items = keep(items.withColumn("block", F.pmod(F.xxhash64(signs), F.lit(count))).repartitionByRange("block"),
+                     "benchmark-items")
+
+    def each() -> Iterator[Block]:
+        for block in range(count):
+            own = items.where(F.col("block") == block) if count > 1 else items
+            yield Block([(r.doc_id, r.text) for r in own.select("doc_id", "text").collect()])
+
+    return count, each()
+
+
+def search(source: DataFrame, block: Block) -> DataFrame:
+    """The columns of `source` without its last one, `text`, and `items, similarity` of each text: a narrow pass."""
+    sent = source.sparkSession.sparkContext.broadcast(block)
+
+    def make() -> Callable[[list[str]], Iterable[tuple]]:
+        def work(texts: list[str]) -> Iterable[tuple]:
+            for found in contaminated(texts, sent.value.windows):
+                yield sorted(found), max(found.values(), default=0.0)
+        return work
+
+    return map_texts(source, make, "items array<bigint>, similarity double", SLICE)
+
+
+def accused(source: DataFrame, blocks: Iterator[Block], row: str) -> DataFrame:
+    """`row, items, similarity` of the rows of a table `row, text` that some block accuses; each pass is written."""
+    parts = [keep(search(source, block).where(F.size("items") > 0), "accused") for block in blocks]
+    found = parts[0]
+    for other in parts[1:]:
+        found = found.unionByName(other)
+    return found.groupBy(row).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                                  F.max("similarity").alias("similarity"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """`doc_id, n_items, items, similarity, kept` of every row; `kept` is false for contaminated texts."""
-    blocks = list(blocks_of(benchmark, item_col, item_text))
+    count, blocks = blocks_of(benchmark, item_col, item_text)
     source = frame(docs, id_col, text_col)
-    if len(blocks) > 1:  # every pass must see the same rows, so they are numbered once
-        source = keep(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "decontaminate")
-    passes = []
-    for block in blocks:
-        windows = source.sparkSession.sparkContext.broadcast(block)
-
-        def make(windows=windows) -> Callable[[list[str]], Iterable[tuple]]:
-            def work(texts: list[str]) -> Iterable[tuple]:
-                for found in contaminated(texts, windows.value):
-                    yield sorted(found), max(found.values(), default=0.0)
-            return work
-
-        passes.append(map_texts(source, make, "items array<bigint>, similarity double", SLICE))
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.unionByName(other)
-    if len(blocks) > 1:
-        found = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.array_distinct(F.flatten(
-            F.collect_list("items")))).alias("items"), F.max("similarity").alias("similarity"))
+    if count == 1:
+        found = search(source, next(blocks))
+    else:  # every pass must see the same rows, so they are numbered once
+        rows = keep(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "decontaminate")
+        found = rows.select("rid", "doc_id").join(accused(rows.select("rid", "text"), blocks, "rid").hint("merge"), "rid", "left")
+        found = found.select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+                             F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     return found.select("doc_id", F.size("items").cast("bigint").alias("n_items"), "items", "similarity",
                         (F.size("items") == 0).alias("kept"))
 
@@ -212,11 +313,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text holds no passage of the benchmark."""
-    for block in blocks_of(benchmark, item_col, item_text):
-        windows = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(windows=windows) -> Callable[[list[str]], list[bool]]:
-            return lambda texts: [not found for found in contaminated(texts, windows.value)]
-
-        docs = filter_texts(docs, text_col, make, SLICE)
-    return docs
+    count, blocks = blocks_of(benchmark, item_col, item_text)
+    if count == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(blocks))
+        return filter_texts(docs, text_col, lambda: lambda texts: [
+            not found for found in contaminated(texts, sent.value.windows)], SLICE)
+    row = "row_" + "_".join(docs.columns)  # longer than any name of the table
+    rows = keep(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    bad = accused(rows.select(row, F.col(text_col).alias("text")), blocks, row)
+    return rows.join(bad.hint("merge"), row, "left_anti").select(docs.columns)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -341,6 +342,64 @@ def test_contamination_in_blocks(spark, monkeypatch):
     assert decontaminate.keep_clean(rows, items).count() == 20
 
 
+def test_short_items_are_found_verbatim(spark):
+    rng = random.Random(11)
+    signs = ["a", "b", "ab", "aé", "who", "wrote", "iliad", "of the", "x" * 29, "x" * 31]
+    items = [(i, " ".join(rng.choice(signs) for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    items += [(90, "Who wrote the Iliad?"), (91, "who WROTE the iliad"), (92, "?!"), (93, ""), (None, "null id"), (94, None)]
+    rows = [(i, " ".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))) for i in range(200)]
+    rows += [(900, "Tell me: who wrote the ILIAD, please"), (901, "xwho wrote the iliad"), (902, "who wrote the iliads"),
+             (903, "who wrote"), (904, None), (905, "?!"), (906, "who wrote the iliad")]
+    short = {}
+    for i, t in sorted((i, t) for i, t in items if i is not None and t is not None):
+        body = decontaminate.normalise(t)
+        if 0 < len(body) < decontaminate.MIN_BYTES:
+            short.setdefault(body, i)
+    found = decontaminate.find_contamination(docs_of(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {r.doc_id: set(r["items"]) & set(short.values()) for r in found.collect()}
+    for doc, text in rows:
+        body = b" " + decontaminate.normalise(text or "") + b" "
+        assert got[doc] == {i for t, i in short.items() if b" " + t + b" " in body}, text
+    assert 90 in got[900] and 90 in got[906] and not {90, 91} & (got[901] | got[902] | got[903])
+
+
+def test_parts_of_the_expansion_lose_nothing(monkeypatch):
+    rng = random.Random(12)
+    items = [(i, words(18, 500 + i)) for i in range(6)] + [(7, "ab " * 60), (8, "a" * 200), (9, "ab " * 30 + words(10, 4))]
+    windows = decontaminate.Windows.of(items)
+    texts = [f"{words(5, k)} {edited(items[rng.randrange(9)][1], rng.randint(0, 12), rng)} {words(9, 40 + k)}" for k in range(40)]
+    texts += ["", "a", "ab " * 300, "a" * 3000]
+    whole = decontaminate.contaminated(texts, windows)
+    assert sum(bool(f) for f in whole) > 10
+    for entries in (20, 5000):
+        monkeypatch.setattr(decontaminate, "ENTRIES", entries)
+        assert decontaminate.contaminated(texts, windows) == whole
+
+
+def test_items_that_share_a_stem_take_bounded_memory():
+    stem = words(9, 77)[:44]
+    windows = decontaminate.Windows.of((i, f"{stem} {words(9, 5000 + i)}") for i in range(20_000))
+    hit = windows.texts[123].decode()
+    tracemalloc.start()
+    found = decontaminate.contaminated([f"{words(300, 8)} {stem} {words(300, 9)}", f"{words(90, 10)} {hit}"], windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found[0] and int(windows.items[123]) in found[1]
+    assert peak < 500 << 20
+
+
+def test_blocks_of_repeated_items_count_once(spark, odd, monkeypatch):
+    items = [(i, words(30, i % 20).upper() if i > 19 else words(30, i) + "!") for i in range(40)] + [(50, "same text")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = docs_of(spark, [(i, words(30, i)) for i in range(20)]).unionByName(odd)
+    whole = sorted(map(str, decontaminate.find_contamination(rows, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    assert sorted(map(str, decontaminate.find_contamination(rows, bench).collect())) == whole
+    kept = decontaminate.keep_clean(rows, bench)
+    # document 7 begins with the words of item 1
+    assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "6", "None"]
+
+
 # --- personal data --------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
