@@ -7,6 +7,7 @@ cells while every operation covers all pairs. `TILE_BYTES` bounds the working me
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -141,7 +142,8 @@ def dtw_path(x: np.ndarray, y: np.ndarray, radius: int | None = None) -> tuple[f
 
 # --- lower bounds of a series against the box [low, high] around a block of series ---
 
-def _delannoy_log(t1: int, t2: int) -> float:
+@lru_cache(maxsize=1024)
+def delannoy_log(t1: int, t2: int) -> float:
     """Log of the number of warping paths through a `t1 x t2` table."""
     row = np.zeros(t2)
     for _ in range(1, t1):
@@ -152,6 +154,16 @@ def _delannoy_log(t1: int, t2: int) -> float:
     return float(row[-1])
 
 
+@lru_cache(maxsize=64)
+def path_shares(t1: int, t2: int) -> tuple[float, np.ndarray]:
+    """Log of the number of warping paths, and the share of them that visits each cell `(t1, t2)`."""
+    logs = np.zeros((t1, t2))  # paths from the first cell to each
+    for i in range(1, t1):
+        for j in range(1, t2):
+            logs[i, j] = np.logaddexp(np.logaddexp(logs[i - 1, j], logs[i, j - 1]), logs[i - 1, j - 1])
+    return float(logs[-1, -1]), np.exp(logs + logs[::-1, ::-1] - logs[-1, -1])
+
+
 def _gap(X: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """How far every value lies outside a box: `(n, T, C)`."""
     return np.maximum(np.maximum(low - X, X - high), 0.0)
@@ -177,7 +189,7 @@ def box_bound(metric: str, X: np.ndarray, low: np.ndarray, high: np.ndarray, par
         square = (_gap(X, wide_low, wide_high) ** 2).sum(axis=(1, 2))
         if metric == "dtw":
             return np.sqrt(square)
-        return square - params.get("gamma", 1.0) * _delannoy_log(X.shape[1], len(low))
+        return square - params.get("gamma", 1.0) * delannoy_log(X.shape[1], len(low))
     return np.full(len(X), -np.inf)
 
 

@@ -2,38 +2,41 @@
 
 Two plans give the same rows:
 
-* a reference panel below a checked size travels to every task; each query is answered where it is
-  (only warping metrics spread the queries over all cores first, as their work outweighs one move);
-* beyond it, references are grouped into cells around pivots, each cell is summarised by the box around
-  its series, and a query visits only cells whose box can hold a neighbour at least as near as the
-  k-th nearest pivot. Cells and their visitors are cut into blocks of bounded size, so copies of one
-  series or a crowded cell spread over many tasks. What is shuffled is the series and their visits,
-  never the pairs.
+* a reference panel below a checked size travels to every task, and the queries are spread over all cores;
+* beyond it, queries and references are dealt into blocks by hash, and each task compares a block of queries
+  with one of references. There are about as many pairs of blocks as the cluster works on at a time, so
+  what is shuffled grows with the series (about twice the square root of the number of tasks copies of
+  each), never with the pairs, until a block of references reaches its bound.
+
+Copies of one reference collapse to the k smallest ids before they are compared. Inside a task references that are
+near each other form tiles, and a query leaves out the tiles whose box lies beyond its k-th neighbour (`blocks`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, isqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import bad_data, bad_parameter
 from ..session import spread
 from .batches import column, cubes
-from .blocks import cross_block, slack, top_k_block
-from .distance import BROADCAST_BYTES, block_rows, panel_bytes, panel_size
+from .blocks import scatter, top_k_block
+from .distance import BROADCAST_BYTES, panel_bytes, panel_size
 from .metrics import LOCK_STEP, Metric, metric as find_metric
 
 HITS = "query_id bigint, ref_id bigint, ref_label int, ref_confidence double, dist double"
 HIT_FIELDS = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.int32()),
                         ("ref_confidence", pa.float64()), ("dist", pa.float64())])
-MAX_PIVOTS = 4096
-MAX_SHAPES = 1024
-SUMMARY_BYTES = 64 << 20  # boxes and pivots of all cells together
+BLOCK_BYTES = 64 << 20  # references of one block
+TASKS_PER_CORE = 4      # pairs of blocks, for an even load
+SPREAD_ROWS = 4096      # below, lock-step queries are answered where they are
+
+_scatter = scatter
 
 
 def _columns(df: DataFrame, name: str) -> DataFrame:
@@ -47,26 +50,22 @@ def _labels(table: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 def _hits(metric: Metric, k: int, unlike: bool, queries: pa.Table | pa.RecordBatch, refs: pa.Table,
-          limit: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+          n_pivots: int | None = None) -> Iterator[pa.RecordBatch]:
     """The k best references in `refs` (sorted by id) for every query of a batch."""
     q_ids, r_ids = column(queries, "query_id"), column(refs, "ref_id")
     q_lab, r_lab = _labels(queries), _labels(refs)
     conf = column(refs, "conf").astype(np.float64)
     for qw, X in cubes(queries):
         for rw, Y in cubes(refs):
-            step = max(1, (1 << 20) // len(Y))
-            for a in range(0, len(X), step):
-                rows = qw[a:a + step]
-                allowed = (q_lab[rows][:, None] != r_lab[rw][None, :] if unlike
-                           else np.ones((len(rows), len(rw)), dtype=bool))
-                qi, ri, dist = top_k_block(metric, k, X[a:a + step], Y, allowed,
-                                           None if limit is None else limit[rows])
-                found = rw[ri]
-                label = r_lab[found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[rows[qi]]), pa.array(r_ids[found]),
-                     pa.array(np.nan_to_num(label).astype(np.int32), mask=np.isnan(label)),
-                     pa.array(conf[found], mask=np.isnan(conf[found])), pa.array(dist)], schema=HIT_FIELDS)
+            ours, theirs = q_lab[qw], r_lab[rw]
+            differ = (lambda q, r: ours[q][:, None] != theirs[r][None, :]) if unlike else None
+            qi, ri, dist = top_k_block(metric, k, X, Y, differ, n_pivots)
+            found = rw[ri]
+            label = r_lab[found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[qw[qi]]), pa.array(r_ids[found]),
+                 pa.array(np.nan_to_num(label).astype(np.int32), mask=np.isnan(label)),
+                 pa.array(conf[found], mask=np.isnan(conf[found])), pa.array(dist)], schema=HIT_FIELDS)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -75,13 +74,19 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
-def _small(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike: bool) -> DataFrame:
-    table = refs.toArrow().sort_by("ref_id")
+def _without_copies(refs: DataFrame, k: int) -> DataFrame:
+    """Of equal copies only the k smallest ids can be among the nearest."""
+    copies = Window.partitionBy("x", "t_len", "n_ch", "label").orderBy("ref_id")
+    return refs.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+
+
+def _small(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike: bool, n_pivots: int | None) -> DataFrame:
+    table = _without_copies(refs, k).toArrow().sort_by("ref_id")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and table.num_rows:
-                found = pa.Table.from_batches(list(_hits(metric, k, unlike, batch, table)), HIT_FIELDS)
+                found = pa.Table.from_batches(list(_hits(metric, k, unlike, batch, table, n_pivots)), HIT_FIELDS)
                 order = np.lexsort([column(found, c) for c in ("ref_id", "dist", "query_id")])
                 query = column(found, "query_id")[order]
                 rank = np.arange(len(query)) - np.searchsorted(query, query)
@@ -89,170 +94,55 @@ def _small(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike:
                 yield from (found.take(pa.array(order[best])).append_column("rank", pa.array(rank[best].astype(np.int32) + 1))
                             .to_batches())
 
-    return ((queries if metric.name in LOCK_STEP else spread(queries, "query_id"))
-            .mapInArrow(nearest, f"{HITS}, rank int"))
-
-
-def _scatter(ids: np.ndarray) -> np.ndarray:
-    """Non-negative hashes of ids: blocks stay even whatever stride the ids have."""
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
-
-
-def _assign(refs: DataFrame, pivots: pa.Table) -> DataFrame:
-    """Nearest pivot of every reference of the same shape, by a lock-step distance."""
-    parts = list(cubes(pivots))
-    space = find_metric("euclidean")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = np.zeros(batch.num_rows, dtype=np.int64)
-            for where, X in cubes(batch):
-                for pw, P in parts:
-                    if P.shape[1:] == X.shape[1:]:
-                        cell[where] = pw[cross_block(space, X, P).argmin(axis=1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
-
-    return refs.mapInArrow(nearest, "ref_id bigint, t_len int, n_ch int, x array<double>, label int, conf double, "
-                                    "cell bigint")
-
+    still = metric.name in LOCK_STEP and table.num_rows < SPREAD_ROWS
+    return (queries if still else spread(queries, "query_id")).mapInArrow(nearest, f"{HITS}, rank int")
 
-def _boxes(assigned: DataFrame) -> pa.Table:
-    """Per cell: number of series, smallest and largest label, and the box around its series.
 
-    Each task folds its rows to one box per cell first; boxes merge value by value.
-    """
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes: dict[int, list] = {}
-        for batch in batches:
-            cell, label = column(batch, "cell"), _labels(batch)
-            for where, X in cubes(batch):
-                flat = X.reshape(len(X), -1)
-                for c in np.unique(cell[where]):
-                    own = np.flatnonzero(cell[where] == c)
-                    lab = label[where][own]
-                    new = [len(own), lab.min(), lab.max(), flat[own].min(axis=0), flat[own].max(axis=0)]
-                    old = boxes.get(c)
-                    boxes[c] = new if old is None else [
-                        old[0] + new[0], min(old[1], new[1]), max(old[2], new[2]),
-                        np.minimum(old[3], new[3]), np.maximum(old[4], new[4])]
-        if boxes:
-            n, low_label, high_label, low, high = zip(*boxes.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(boxes), pa.int64()), pa.array(n, pa.int64()), pa.array(low_label, pa.float64()),
-                 pa.array(high_label, pa.float64()), pa.array(low, pa.list_(pa.float64())),
-                 pa.array(high, pa.list_(pa.float64()))], names=["cell", "n", "label_low", "label_high", "low", "high"])
-
-    partial = assigned.mapInArrow(fold, "cell bigint, n bigint, label_low double, label_high double, "
-                                        "low array<double>, high array<double>")
-    return (partial.select("cell", "n", "label_low", "label_high", F.posexplode(F.arrays_zip("low", "high")))
-            .groupBy("cell", "pos").agg(F.sum("n").alias("n"), F.min("label_low").alias("label_low"),
-                                        F.max("label_high").alias("label_high"), F.min("col.low").alias("low"),
-                                        F.max("col.high").alias("high"))
-            .groupBy("cell").agg(F.max("n").alias("n"), F.min("label_low").alias("label_low"),
-                                 F.max("label_high").alias("label_high"),
-                                 F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("sides"))
-            .select("cell", "n", "label_low", "label_high", F.col("sides.low").alias("low"),
-                    F.col("sides.high").alias("high")).orderBy("cell").toArrow())
-
-
-def _cells(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike: bool, n_refs: int, cells: int,
+def _dealt(queries: DataFrame, refs: DataFrame, metric: Metric, k: int, unlike: bool, n_bytes: int,
            n_pivots: int | None) -> DataFrame:
-    spark = queries.sparkSession
-    # of equal copies only the k smallest ids can be among the nearest, so copies collapse before they move
-    copies = Window.partitionBy("x", "t_len", "n_ch", "label").orderBy("ref_id")
-    refs = refs.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    room = max(1, SUMMARY_BYTES // (24 * cells))
-    count = min(n_pivots or isqrt(n_refs), MAX_PIVOTS, room)
-    order = F.struct(F.xxhash64("ref_id"), "ref_id")
-    drawn = refs.orderBy(order).limit(max(1, count)).select("ref_id")
-    # every shape has a pivot, so that a cell never mixes shapes
-    shapes = refs.groupBy("t_len", "n_ch").agg(F.min(order).alias("o")).select(F.col("o.ref_id").alias("ref_id"))
-    shapes = shapes.limit(MAX_SHAPES + 1)
-    chosen = drawn.union(shapes).distinct()
-    pivots = refs.join(F.broadcast(chosen), "ref_id").toArrow().sort_by("ref_id")
-    if len({*zip(column(pivots, "t_len").tolist(), column(pivots, "n_ch").tolist())}) > MAX_SHAPES:
-        raise bad_data(f"more than {MAX_SHAPES} shapes of series", name="reference")
-    assigned = _assign(refs, pivots)
-    boxes = _boxes(assigned)
-    cell_ids, sizes = column(boxes, "cell"), column(boxes, "n")
-    label_low, label_high = column(boxes, "label_low"), column(boxes, "label_high")
-    lows, highs = (boxes.column(side).to_pylist() for side in ("low", "high"))
-    size = block_rows(cells)
-    ref_blocks = np.ceil(sizes / size).astype(np.int64)
-
-    def visits(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Query positions, their limits and which cells each has to visit."""
-        q_lab, p_lab = _labels(batch), _labels(pivots)
-        for where, X in cubes(batch):
-            limit = np.full(len(X), np.inf)
-            for pw, P in cubes(pivots):
-                if metric.name in LOCK_STEP and P.shape[1:] != X.shape[1:]:
-                    continue
-                allowed = (q_lab[where][:, None] != p_lab[pw][None, :] if unlike
-                           else np.ones((len(X), len(pw)), dtype=bool))
-                qi, _, dist = top_k_block(metric, k, X, P, allowed)
-                got = np.bincount(qi, minlength=len(X))
-                worst = np.full(len(X), -np.inf)
-                np.maximum.at(worst, qi, dist)
-                limit = np.minimum(limit, np.where(got == k, worst, np.inf))
-            wide = X.shape[1] * X.shape[2]
-            open_cells = np.ones((len(X), len(cell_ids)), dtype=bool)
-            for c in range(len(cell_ids)):
-                if len(lows[c]) == wide or metric.name not in LOCK_STEP:
-                    low, high = (np.reshape(side[c], (-1, X.shape[2])) for side in (lows, highs))
-                    open_cells[:, c] = metric.bound(X, low, high) <= slack(limit)
-            if unlike:
-                lab = q_lab[where][:, None]
-                open_cells &= ~((lab == label_low[None, :]) & (lab == label_high[None, :]))
-            yield where, limit, open_cells
-
-    def count_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(cell_ids), dtype=np.int64)
+    """The k best references of every pair of blocks: `HITS`, up to k rows for each block of references."""
+    pairs = TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    n_refs = max(ceil(n_bytes / BLOCK_BYTES), ceil(sqrt(pairs)))
+    n_queries = ceil(pairs / n_refs)
+    kinds = ["t_len", "n_ch", "x", "label", "conf"]
+
+    def side(df: DataFrame, key: str, tag: int, own: Column, others: Column) -> DataFrame:
+        return df.select(F.lit(tag).alias("side"), F.col(key).alias("id"), *kinds,
+                         own.alias("own"), F.explode(others).alias("other"))
+
+    def block_of(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(n), F.col(key)), F.lit(n)).cast("int")
+
+    known = side(_without_copies(refs, k), "ref_id", 0, block_of("ref_id", n_refs),
+                 F.sequence(F.lit(0), F.lit(n_queries - 1)))
+    asked = side(queries, "query_id", 1, block_of("query_id", n_queries), F.sequence(F.lit(0), F.lit(n_refs - 1)))
+    cell = F.when(F.col("side") == 0, F.col("own") * n_queries + F.col("other")).otherwise(
+        F.col("other") * n_queries + F.col("own"))
+    met = (known.unionByName(asked).withColumn("cell", cell).drop("own", "other")
+           .repartitionById(n_refs * n_queries, F.col("cell")).sortWithinPartitions("cell", "side"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, table = None, [], None
         for batch in batches:
-            for _, _, open_cells in visits(batch):
-                seen += open_cells.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(cell_ids), pa.array(seen)], names=["cell", "n"])
-
-    counted = (queries.mapInArrow(count_visits, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-               .orderBy("cell").toArrow())
-    visitors = dict(zip(column(counted, "cell").tolist(), column(counted, "n").tolist()))
-    query_blocks = np.array([ceil(visitors.get(int(c), 0) / size) for c in cell_ids], dtype=np.int64)
+            # a batch is cut where its block or side changes
+            key = column(batch, "cell").astype(np.int64) * 2 + column(batch, "side")
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if at != key[a] // 2:
+                    at, held, table = key[a] // 2, [], None
+                if key[a] % 2 == 0:
+                    held.append(part)
+                elif held:
+                    if table is None:
+                        table = pa.Table.from_batches(held).rename_columns(
+                            ["ref_id" if c == "id" else c for c in batch.schema.names]).sort_by("ref_id")
+                    asked = part.rename_columns(["query_id" if c == "id" else c for c in batch.schema.names])
+                    yield from _hits(metric, k, unlike, asked, table, n_pivots)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = column(batch, "query_id")
-            for where, limit, open_cells in visits(batch):
-                for c in np.flatnonzero(open_cells.any(axis=0)):
-                    rows = np.flatnonzero(open_cells[:, c])
-                    part = batch.take(pa.array(where[rows]))
-                    block = pa.array(_scatter(ids[where[rows]]) % max(1, query_blocks[c]))
-                    for b in range(ref_blocks[c]):
-                        yield pa.RecordBatch.from_arrays(
-                            [*part.columns, pa.array(limit[rows]), pa.array(np.full(len(rows), cell_ids[c])),
-                             pa.array(np.full(len(rows), b)), block],
-                            names=[*batch.schema.names, "limit", "cell", "ref_block", "query_block"])
-
-    sent = queries.mapInArrow(
-        emit, "query_id bigint, t_len int, n_ch int, x array<double>, label int, conf double, limit double, "
-              "cell bigint, ref_block bigint, query_block bigint")
-    plan = spark.createDataFrame(
-        [(int(c), int(r), int(q)) for c, r, q in zip(cell_ids, ref_blocks, query_blocks) if q > 0],
-        "cell bigint, ref_blocks bigint, query_blocks bigint")
-    held = (assigned.join(F.broadcast(plan), "cell")
-            .withColumn("ref_block", F.pmod(F.xxhash64("ref_id"), F.col("ref_blocks")))
-            .withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_blocks") - 1)))
-            .drop("ref_blocks", "query_blocks"))
-
-    def compare(q: pa.Table, r: pa.Table) -> pa.Table:
-        if not (q.num_rows and r.num_rows):
-            return pa.Table.from_batches([], HIT_FIELDS)
-        q = q.sort_by("query_id")
-        return pa.Table.from_batches(
-            list(_hits(metric, k, unlike, q, r.sort_by("ref_id"), column(q, "limit"))), HIT_FIELDS)
-
-    keys = ("cell", "ref_block", "query_block")
-    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(compare, HITS)
+    return met.mapInArrow(compare, HITS)
 
 
 def _neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: Metric, unlike: bool,
@@ -262,8 +152,8 @@ def _neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: Metric
     q, r = _columns(queries, "query_id"), _columns(reference, "ref_id")
     n_refs, cells = size or panel_size(reference)
     if panel_bytes(n_refs, cells) <= broadcast_bytes:
-        return _small(q, r, metric, k, unlike)
-    return _ranked(_cells(q, r, metric, k, unlike, n_refs, cells, n_pivots), k)
+        return _small(q, r, metric, k, unlike, n_pivots)
+    return _ranked(_dealt(q, r, metric, k, unlike, panel_bytes(n_refs, cells), n_pivots), k)
 
 
 def knn_join(queries: DataFrame, reference: DataFrame, k: int = 1, metric: str | Metric = "euclidean", *,
