@@ -79,3 +79,25 @@ def test_copies_of_a_reference_leave_the_smallest_ids(spark, rng):
     kept = N._without_copies(N._columns(panel, "ref_id"), 3).collect()
     assert sorted(r.ref_id for r in kept) == [0, 1, 2]
     assert {(r.query_id, r.ref_id) for r in N.knn_join(panel, panel, 3).collect()} == {(q, r) for q in range(50) for r in range(3)}
+
+
+def test_ranks_of_all_groups_equal_those_of_each(rng):
+    from counterpane.operators.fronts import ranks
+    from counterpane.operators.search import all_ranks
+    for dims, top in ((2, 4), (3, 9), (3, 1 << 20)):
+        values = rng.integers(0, top, size=(6, 70, dims)).astype(float)
+        for enough in (1, 20, 70):
+            want = np.stack([ranks(v, enough) for v in values])
+            assert np.array_equal(all_ranks(values, enough), want)
+
+
+def test_proximity_of_all_groups_is_one_call(monkeypatch, rng):
+    from counterpane.operators import search
+    from counterpane.operators.metrics import Metric
+    from counterpane.operators.model import LogitModel
+    calls, plain = [], Metric.__call__
+    monkeypatch.setattr(Metric, "__call__", lambda self, X, Y: (calls.append(len(X)), plain(self, X, Y))[1])
+    settings = search.SearchSettings(population_size=6, generations=2, proximity=metric("dtw"))
+    groups = [search._Group(i, 3, 1, *rng.normal(size=(2, 5, 2)), label=i % 2) for i in range(7)]
+    search._evolve(settings, LogitModel(), groups)
+    assert calls == [7 * 6, 7 * 12, 7 * 12]
