@@ -369,15 +369,21 @@ def pareto_front(df: DataFrame, groups: Sequence[str], objectives: Sequence[str]
     return reduce(DataFrame.unionByName, fronts)
 
 
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    """Positions in parts that are turned to lists one at a time."""
+    return np.array_split(rows, max(1, ceil(len(rows) / POOL)))
+
+
 def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[str], limit: int, most: int) -> DataFrame:
     """Front numbers of the different points of groups that fit no task.
 
     Two objectives cut a group into a grid of ranges; a cell depends on the cells below and to the left of it, so the cells
     of a diagonal are ranked together, and there are as many rounds as diagonals, whatever the number of fronts. A cell is
     given what was ranked before as layers: of its own column and row with one objective settled, of all cells below both
-    with two (there only the least values of the rest by rank).
+    with two (there only the least values of the rest by rank). Of two objectives all layers are such least values, so a cell
+    reads its own points and a few rows for each rank.
     """
-    spark, objectives = points.sparkSession, list(objectives)
+    objectives = list(objectives)
     wide = points.agg(*[F.approx_count_distinct(f).alias(f) for f in objectives]).first()
     axes = sorted(sorted(range(len(objectives)), key=lambda k: -wide[objectives[k]])[:2])
     a, b = axes if len(axes) > 1 else (axes[0], axes[0])
@@ -409,32 +415,43 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
         layers = {k: Layers(len(o)) for k, o in open_.items()}
         earlier = np.flatnonzero(kind != OWN)
         given = column(table, "rank")
-        for k, p, r in zip(kind[earlier].tolist(), values[earlier].tolist(), given[earlier].tolist()):
-            layers[k].add(int(r), [p[j] for j in open_[k]])
+        for part in _parts(earlier):
+            for k, p, r in zip(kind[part].tolist(), values[part].tolist(), given[part].tolist()):
+                layers[k].add(int(r), [p[j] for j in open_[k]])
         own = np.flatnonzero(kind == OWN)
         own = own[np.lexsort([values[own, j] for j in reversed(order)])]
-        rank = place_in_layers(values[own].tolist(), [(layers[k], open_[k]) for k in (COLUMN, ROW, BELOW)], layers[OWN], open_own)
+        told = [(layers[k], open_[k]) for k in (COLUMN, ROW, BELOW)]
+        rank = np.concatenate([np.array(place_in_layers(values[part].tolist(), told, layers[OWN], open_own), dtype=np.int32)
+                               for part in _parts(own)])
         return table.take(pa.array(own)).select(names).append_column("rank", pa.array(rank, pa.int32())).cast(
             pa.schema([table.schema.field(g) for g in groups] + [pa.field(f, pa.float64()) for f in objectives]
                       + [pa.field(n, pa.int32()) for n in ("_a", "_b", "rank")]))
 
+    least = [F.min(f).alias(f) for f in objectives]
     done: DataFrame | None = None
-    for step in steps:
+    known: DataFrame | None = None  # what later cells are told
+    for turn, step in enumerate(steps):
         now = placed.where(F.col("_a") + F.col("_b") == step)
         parts = [now.select(*names, F.lit(OWN).alias("_kind"), F.lit(None).cast("int").alias("rank"))]
-        if done is not None:
+        if known is not None:
             cells = now.select(*groups, F.col("_a").alias("_to_a"), F.col("_b").alias("_to_b")).distinct()
-            met = join_on(done, F.broadcast(cells), groups).where((F.col("_a") <= F.col("_to_a")) & (F.col("_b") <= F.col("_to_b")))
+            met = join_on(known, F.broadcast(cells), groups).where((F.col("_a") <= F.col("_to_a")) & (F.col("_b") <= F.col("_to_b")))
             kind = F.when(F.col("_a") == F.col("_to_a"), F.lit(COLUMN)).when(F.col("_b") == F.col("_to_b"), F.lit(ROW)).otherwise(F.lit(BELOW))
             met = met.withColumn("_kind", kind).drop("_a", "_b").withColumnsRenamed({"_to_a": "_a", "_to_b": "_b"})
             lines = met.where(F.col("_kind") != BELOW)
             below = met.where(F.col("_kind") == BELOW)
+            if len(objectives) <= 2:
+                lines = lines.groupBy(*cell, "_kind", "rank").agg(*least)
             if len(rest) < 2:
-                least = {f: F.min(f).alias(f) for f in objectives}
-                below = below.groupBy(*cell, "_kind", "rank").agg(*least.values())
+                below = below.groupBy(*cell, "_kind", "rank").agg(*least)
             parts += [lines.select(*names, "_kind", "rank"), below.select(*names, "_kind", "rank")]
         found = cut(reduce(DataFrame.unionByName, parts).groupBy(*cell).applyInArrow(rank_cell, schema))
         done = found if done is None else done.unionByName(found)
+        # with one objective left open, the least values of a cell by rank are all that others need
+        told = cut(found.groupBy(*cell, "rank").agg(*least)) if len(objectives) <= 2 else found
+        known = told if known is None else known.unionByName(told)
+        if len(objectives) <= 2 and turn % 16 == 15:
+            known = cut(known)
     return done.select(*groups, *objectives, "rank")
 
 

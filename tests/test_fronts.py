@@ -248,3 +248,16 @@ def test_running_sums_cross_parts(spark):
     for r in got:
         before = [i for i in range(r.i + 1) if (None if i % 3 == 0 else i % 3) == r.g]
         assert (r.total, r.place) == (sum(i * i for i in before), len(before))
+
+
+def test_cells_are_told_a_few_rows_for_each_rank(spark, monkeypatch, rng):
+    from counterpane.operators import fronts
+    sizes, plain = [], fronts.cut
+    monkeypatch.setattr(fronts, "cut", lambda df: (sizes.append((df.columns, (kept := plain(df)).count())), kept)[1])
+    values = rng.random(size=(3000, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "row_id bigint, a double, b double")
+    got = {r.row_id: r["rank"] for r in fronts.pareto_rank(df, [], ["a", "b"], "row_id", group_limit=1000).collect()}
+    assert got == dict(enumerate(fronts.ranks(values).tolist()))
+    told = [n for columns, n in sizes if "rank" in columns]
+    # every cell's own points once, and what it tells others: fewer rows than points
+    assert sum(told) < 3000 * 1.5 and len(told) == 10
