@@ -381,10 +381,12 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
     of a diagonal are ranked together, and there are as many rounds as diagonals, whatever the number of fronts. A cell is
     given what was ranked before as layers: of its own column and row with one objective settled, of all cells below both
     with two (there only the least values of the rest by rank). Of two objectives all layers are such least values, so a cell
-    reads its own points and a few rows for each rank.
+    reads its own points and a few rows for each rank (all ranked points of its lines if some objective is no number).
     """
     objectives = list(objectives)
-    wide = points.agg(*[F.approx_count_distinct(f).alias(f) for f in objectives]).first()
+    gap = reduce(lambda p, q: p | q, (F.col(f).isNull() | F.isnan(f) for f in objectives))
+    wide = points.agg(*[F.approx_count_distinct(f).alias(f) for f in objectives], F.max(gap).alias("_gap")).first()
+    told_least = len(objectives) <= 2 and not wide["_gap"]  # what is no number takes its place in a layer as it comes
     axes = sorted(sorted(range(len(objectives)), key=lambda k: -wide[objectives[k]])[:2])
     a, b = axes if len(axes) > 1 else (axes[0], axes[0])
     sides = max(2, ceil(most / limit))
@@ -440,7 +442,7 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
             met = met.withColumn("_kind", kind).drop("_a", "_b").withColumnsRenamed({"_to_a": "_a", "_to_b": "_b"})
             lines = met.where(F.col("_kind") != BELOW)
             below = met.where(F.col("_kind") == BELOW)
-            if len(objectives) <= 2:
+            if told_least:
                 lines = lines.groupBy(*cell, "_kind", "rank").agg(*least)
             if len(rest) < 2:
                 below = below.groupBy(*cell, "_kind", "rank").agg(*least)
@@ -448,9 +450,9 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
         found = cut(reduce(DataFrame.unionByName, parts).groupBy(*cell).applyInArrow(rank_cell, schema))
         done = found if done is None else done.unionByName(found)
         # with one objective left open, the least values of a cell by rank are all that others need
-        told = cut(found.groupBy(*cell, "rank").agg(*least)) if len(objectives) <= 2 else found
+        told = cut(found.groupBy(*cell, "rank").agg(*least)) if told_least else found
         known = told if known is None else known.unionByName(told)
-        if len(objectives) <= 2 and turn % 16 == 15:
+        if told_least and turn % 16 == 15:
             known = cut(known)
     return done.select(*groups, *objectives, "rank")
 
