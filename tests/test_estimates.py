@@ -101,3 +101,53 @@ def test_proximity_of_all_groups_is_one_call(monkeypatch, rng):
     groups = [search._Group(i, 3, 1, *rng.normal(size=(2, 5, 2)), label=i % 2) for i in range(7)]
     search._evolve(settings, LogitModel(), groups)
     assert calls == [7 * 6, 7 * 12, 7 * 12]
+
+
+def test_the_model_sees_one_of_equal_masks(rng):
+    """Few bits: most children are known, and the populations are those of a search that judges all of them."""
+    from counterpane.operators import search
+    from counterpane.operators.model import LogitModel
+    rows = []
+
+    class Watched(LogitModel):
+        def predict(self, X):
+            rows.append(X)
+            return super().predict(X)
+
+    settings = search.SearchSettings(population_size=20, generations=4, optimize_proximity=False)
+    groups = [search._Group(i, 2, 1, *rng.normal(size=(2, 5, 2)), label=i % 2) for i in range(3)]
+    search._evolve(settings, Watched(), groups)
+    assert len(rows[0]) <= 3 * 16 and sum(map(len, rows)) < 3 * (20 + 4 * 40) / 2
+    assert all(len(np.unique(X.reshape(len(X), -1), axis=0)) == len(X) for X in rows)
+    for g in groups:
+        proba = LogitModel().predict(g.edit(g.masks))[:, g.label]
+        assert np.array_equal(g.f, np.stack([proba, g.masks.mean(axis=1)], axis=1))
+        assert np.array_equal(g.g, settings.theta - proba)
+
+
+def test_draws_below_a_limit_are_the_draws(rng):
+    from counterpane.functions import draws
+    state = np.concatenate([[0, 1, draws.MODULUS - 1], rng.integers(0, draws.MODULUS, 3000)])
+    plain = [draws.finish(draws.absorb(int(x), 3)) for x in state]
+    every = draws.finish(draws.absorb(state[:, None], np.arange(7)))
+    assert np.array_equal(every[:, 3], plain)
+    for limit in (0.0, 1 / 7, 0.5, float(every[5, 2]), 1.0):
+        assert np.array_equal(draws.draws_below(state, 7, limit), every < limit)
+    assert draws.draws_below(state[:0], 7, 0.5).shape == (0, 7)
+
+
+def test_ranks_with_null_values_and_many_rows_of_one_group(rng, monkeypatch):
+    from counterpane.operators import search
+    values = rng.integers(0, 5, size=(4, 90, 3)).astype(float)
+    for holes in (False, True):
+        values[..., 1][rng.random((4, 90)) < 0.1 * holes] = np.nan
+        want = []
+        for v in values:  # the longest chain above each row
+            beaten = (v[None] <= v[:, None]).all(axis=2) & ~(v[None] == v[:, None]).all(axis=2)
+            rank = np.zeros(90, dtype=int)
+            for _ in range(90):
+                rank = np.where(beaten.any(axis=1), np.where(beaten, rank + 1, 0).max(axis=1), 0)
+            want.append(rank)
+        for pairs in (1 << 20, 900, 50):
+            monkeypatch.setattr(search, "PAIRS", pairs)
+            assert np.array_equal(search.all_ranks(values, 1 << 20), want)
