@@ -15,6 +15,7 @@ PAIRS_AT_ONCE = 1 << 16
 TILE_PAIRS, TILE_COLUMNS = 1 << 18, 4096  # estimates that are worked on at a time
 MANY = 1 / 16  # pairs that a glance may leave before the tile is estimated whole
 MOST_PIVOTS = 256
+FIRST = 8  # times k pairs are measured for a first limit, where only a glance tells which
 Allowed = np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray] | None
 
 
@@ -122,21 +123,29 @@ def top_k_block(metric: Metric, k: int, X: np.ndarray, Y: np.ndarray, allowed: A
             if not len(rows):
                 continue
             open_ = None if permitted is None else permitted(q[rows], tiles[t])
-            fresh = np.flatnonzero(refs[rows, -1] == len(Y))
             likely = np.ones((len(rows), len(tiles[t])), dtype=bool) if open_ is None else open_.copy()
-            whole = np.arange(len(rows))  # queries whose pairs are all estimated
-            if guess and guess.glances and not len(fresh):
-                likely &= ~(guess.glance(q[rows], t) > guess.glance_limit(q[rows], near[rows, -1])[:, None])
-                whole = np.flatnonzero(np.count_nonzero(likely, axis=1) > MANY * likely.shape[1])
-            if len(whole):
-                value = guess.tile(q[rows[whole]], t) if guess else cross_block(metric, X[q[rows[whole]]], Y[tiles[t]])
-                if len(fresh) and value.shape[1] > k:  # without k references yet: the likeliest give a first limit
-                    first = np.argpartition(np.where(likely[fresh], value[fresh], np.inf), k - 1, axis=1)[:, :k]
-                    row, at = np.repeat(fresh, k), first.ravel()
+            new = refs[rows, -1] == len(Y)
+
+            def begin(among: np.ndarray, value: np.ndarray, n: int) -> None:
+                """Give queries that came without k references a first limit: their n likeliest pairs are measured."""
+                fresh = np.flatnonzero(new[among])
+                if len(fresh) and value.shape[1] > n:
+                    first = np.argpartition(np.where(likely[among[fresh]], value[fresh], np.inf), n - 1, axis=1)[:, :n]
+                    row, at = np.repeat(among[fresh], n), first.ravel()
                     real = likely[row, at]
                     row, at = row[real], at[real]
                     take(rows[row], tiles[t][at])
                     likely[row, at] = False
+
+            whole = np.arange(len(rows))  # queries whose pairs are all estimated
+            if guess and guess.glances:
+                value = guess.glance(q[rows], t)
+                begin(whole, value, FIRST * k)
+                likely &= ~(value > guess.glance_limit(q[rows], near[rows, -1])[:, None])
+                whole = np.flatnonzero(np.count_nonzero(likely, axis=1) > MANY * likely.shape[1])
+            if len(whole):
+                value = guess.tile(q[rows[whole]], t) if guess else cross_block(metric, X[q[rows[whole]]], Y[tiles[t]])
+                begin(whole, value, k)
                 limit = near[rows[whole], -1]
                 likely[whole] &= ~(value > (guess.limit(limit) if guess else slack(limit))[:, None])
             row, at = np.divmod(np.flatnonzero(likely), likely.shape[1])

@@ -55,7 +55,7 @@ class Steps:
         x = self._moved(X)
         square = (x ** 2).sum(axis=2, keepdims=True) * self.share
         self.left = np.concatenate([-2.0 * x, square, np.ones_like(square)], axis=2).transpose(1, 0, 2).astype(self.kind)
-        self.right = []
+        self.right, self.room = [], np.empty(0, self.kind)
         for Y in tiles:
             y = self._moved(Y)
             square = (y ** 2).sum(axis=2, keepdims=True) * self.share
@@ -112,32 +112,45 @@ class Steps:
 
     def tile(self, rows: np.ndarray, t: int) -> np.ndarray:
         step = max(1, TABLE_CELLS * (self.right[t].shape[0]) // self.right[t].size)
-        return np.concatenate([self._tables(rows[a:a + step], t) for a in range(0, len(rows), step)])
+        out = np.empty((len(rows), self.right[t].shape[1] // self.shape[1]), np.float64 if self.kernel else self.kind)
+        for a in range(0, len(rows), step):
+            self._tables(rows[a:a + step], t, out[a:a + step])
+        return out
 
-    def _tables(self, rows: np.ndarray, t: int) -> np.ndarray:
-        right, (t1, t2), prev = self.right[t], self.shape, None
+    def _tables(self, rows: np.ndarray, t: int, out: np.ndarray) -> None:
+        right, (t1, t2), join = self.right[t], self.shape, np.add if self.kernel else np.minimum
+        if t1 == t2 == 1 and not self.kernel:
+            np.matmul(self.left[0, rows], right, out=out)
+            return
+        cells = len(rows) * right.shape[1]
+        if len(self.room) < 2 * cells + out.size:  # fresh memory costs more than the sums in it
+            self.room = np.empty(2 * cells + out.size, self.kind)
+        cost, prev = self.room[:2 * cells].reshape(2, len(rows), t2, -1)
+        met = self.room[2 * cells:2 * cells + out.size].reshape(out.shape)
         for i in range(t1):
-            cost = (self.left[i, rows] @ right).reshape(len(rows), t2, -1)
+            np.matmul(self.left[i, rows], right, out=cost.reshape(len(rows), -1))
             if self.kernel:
                 cost *= -self.sharp
                 np.exp(cost, out=cost)
                 cost /= 2.0 - cost
             for j in range(t2):
+                at = cost[:, j]
                 if self.allowed is not None and not self.allowed[i, j]:
-                    cost[:, j] = np.inf
+                    at[:] = np.inf
                     continue
                 before = ([prev[:, j]] if i else []) + ([prev[:, j - 1]] if i and j else []) + ([cost[:, j - 1]] if j else [])
                 if before:
                     best = before[0]
                     for other in before[1:]:
-                        best = best + other if self.kernel else np.minimum(best, other)
+                        best = join(best, other, out=met)
                     if self.kernel:
-                        cost[:, j] *= best
+                        at *= best
                     else:
-                        cost[:, j] += best
-            prev = cost
-        out = prev[:, t2 - 1]
-        return out / np.sqrt(self.self_x[rows][:, None] * self.self_y[t][None, :]) if self.kernel else out
+                        at += best
+            cost, prev = prev, cost
+        out[:] = prev[:, t2 - 1]
+        if self.kernel:
+            out /= np.sqrt(self.self_x[rows][:, None] * self.self_y[t][None, :])
 
     def limit(self, dist: np.ndarray) -> np.ndarray:
         if self.kernel:

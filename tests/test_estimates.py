@@ -64,6 +64,23 @@ def test_few_pairs_are_measured(monkeypatch, name):
     assert 0 < sum(seen) < 0.1 * len(X) * len(Y)
 
 
+@pytest.mark.parametrize("name,params", [("dtw", {}), ("soft_dtw", {"gamma": 0.5}), ("gak", {"sigma": 20.0})])
+def test_a_glance_gives_the_first_limit(monkeypatch, name, params):
+    from counterpane.operators.estimates import Steps
+    asked, tile = [], Steps.tile
+    monkeypatch.setattr(Steps, "tile", lambda self, rows, t: asked.append(len(rows)) or tile(self, rows, t))
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 5, 2)) * 3
+    X, Y = (np.repeat(centres, n, axis=0) + rng.normal(size=(40 * n, 5, 2)) * 0.05 for n in (3, 40))
+    m = metric(name, **params)
+    q, r, dist = top_k_block(m, 2, X, Y, None)
+    whole = cross_block(m, X, Y)
+    order = np.argsort(whole, axis=1, kind="stable")[:, :2]
+    assert (r.reshape(-1, 2) == order).all() and (q.reshape(-1, 2)[:, 0] == np.arange(len(X))).all()
+    assert np.allclose(dist.reshape(-1, 2), np.take_along_axis(whole, order, axis=1))
+    assert sum(asked) < len(X) / 4  # queries whose pairs were all estimated; before the change: every one
+
+
 def test_series_are_copied_as_often_as_there_are_blocks(spark, rng):
     panel = panel_of(spark, list(rng.normal(size=(300, 4, 2))))
     columns = N._columns(panel, "query_id"), N._columns(panel, "ref_id")
