@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, join_on
+from ..session import cut, join_on, scratch_path
 from .batches import column
 from .running import running_sums
 
@@ -24,6 +24,7 @@ BLOCK = 4096  # rows of one group compared in one task at a time
 POOL = 1 << 16  # rows a task holds while it looks for local fronts
 STRONG = 256  # rows of least sums that a large group is sifted with
 RANK_LIMIT = 1 << 18  # rows of one group that a task ranks
+STRIP_LIMIT = 1 << 21  # different points in a range of one of two objectives: the most that a cell can hold
 OWN, COLUMN, ROW, BELOW = range(4)  # where a point of a cell's input comes from
 
 
@@ -180,6 +181,39 @@ def ranks(values: np.ndarray, enough: int | None = None) -> np.ndarray:
     return rank
 
 
+def chain_ranks(values: np.ndarray, order: Sequence[int], base: np.ndarray) -> np.ndarray:
+    """Front numbers of different points of two objectives, none below its `base` (what rows ranked before make of it).
+
+    In lexicographic order by `order` the least second value of each rank decides. From its base upwards only the own points
+    can beat a point, and if one of a rank does, so does one of every rank between; so a bisection finds the first that does not.
+    """
+    rank = np.empty(len(values), dtype=np.int64)
+    if not len(values):
+        return rank
+    first, second = (values[:, k] for k in order)
+    rows = np.lexsort([second, first])
+    code = np.unique(second, return_inverse=True)[1].ravel()
+    least = [len(values)] * (int(base.max()) + 1)  # of every rank; greater than all codes where there is no point yet
+    for part in _parts(rows):
+        out = []
+        for value, low in zip(code[part].tolist(), base[part].tolist()):
+            at = bisect_right(least, value, low)
+            if at == len(least):
+                least.append(value)
+            else:
+                least[at] = value
+            out.append(at)
+        rank[part] = out
+    return rank
+
+
+def _above(known: np.ndarray, ranks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The least rank that rows with a `known` value, and otherwise less, leave to points with these values."""
+    order = np.argsort(known, kind="stable")
+    best = np.concatenate([[0], np.maximum.accumulate(ranks[order] + 1)])
+    return best[np.searchsorted(known[order], values, side="right")]
+
+
 def _group_codes(table: pa.Table | pa.RecordBatch, groups: Sequence[str]) -> np.ndarray:
     """A number per distinct group of a table."""
     code = np.zeros(table.num_rows, dtype=np.int64)
@@ -374,19 +408,21 @@ def _parts(rows: np.ndarray) -> list[np.ndarray]:
     return np.array_split(rows, max(1, ceil(len(rows) / POOL)))
 
 
-def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[str], limit: int, most: int) -> DataFrame:
+def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[str], limit: int, most: int,
+                gap: bool) -> DataFrame:
     """Front numbers of the different points of groups that fit no task.
 
     Two objectives cut a group into a grid of ranges; a cell depends on the cells below and to the left of it, so the cells
     of a diagonal are ranked together, and there are as many rounds as diagonals, whatever the number of fronts. A cell is
     given what was ranked before as layers: of its own column and row with one objective settled, of all cells below both
     with two (there only the least values of the rest by rank). Of two objectives all layers are such least values, so a cell
-    reads its own points and a few rows for each rank (all ranked points of its lines if some objective is no number).
+    reads its own points and a few rows for each rank (all ranked points of its lines if some objective is no number: `gap`).
+    The points are written by diagonal, so that a round reads its own only.
     """
     objectives = list(objectives)
-    gap = reduce(lambda p, q: p | q, (F.col(f).isNull() | F.isnan(f) for f in objectives))
-    wide = points.agg(*[F.approx_count_distinct(f).alias(f) for f in objectives], F.max(gap).alias("_gap")).first()
-    told_least = len(objectives) <= 2 and not wide["_gap"]  # what is no number takes its place in a layer as it comes
+    wide = points.agg(*[F.approx_count_distinct(f).alias(f) for f in objectives]).first()
+    told_least = len(objectives) <= 2 and not gap  # what is no number takes its place in a layer as it comes
+    in_plane = told_least and len(objectives) == 2
     axes = sorted(sorted(range(len(objectives)), key=lambda k: -wide[objectives[k]])[:2])
     a, b = axes if len(axes) > 1 else (axes[0], axes[0])
     sides = max(2, ceil(most / limit))
@@ -397,10 +433,14 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
     def range_of(cut_points: str, f: str) -> Column:
         return F.size(F.filter(cut_points, lambda c: c < F.col(f))).cast("int")
 
-    placed = cut(join_on(points, cuts, groups).withColumn("_a", range_of("_cut_a", objectives[a]))
-                 .withColumn("_b", range_of("_cut_b", objectives[b]) if a != b else F.lit(0))
-                 .select(*groups, *objectives, "_a", "_b"))
-    steps = sorted(r[0] for r in placed.select((F.col("_a") + F.col("_b")).alias("s")).distinct().collect())
+    path = scratch_path(points.sparkSession, "cells")
+    (join_on(points, cuts, groups).withColumn("_a", range_of("_cut_a", objectives[a]))
+     .withColumn("_b", range_of("_cut_b", objectives[b]) if a != b else F.lit(0))
+     .select(*groups, *objectives, "_a", "_b", (F.col("_a") + F.col("_b")).alias("_step"))
+     .repartition(*groups, "_a", "_b").write.partitionBy("_step").parquet(path))
+    placed = points.sparkSession.read.parquet(path)
+    every_cell = cut(placed.groupBy("_step", *groups, "_a", "_b").agg(F.count("*").alias("_rows")))
+    steps = sorted(r[0] for r in every_cell.select("_step").distinct().collect())
     rest = [k for k in range(len(objectives)) if k not in (a, b)]
     open_own = [k for k in range(len(objectives)) if k != a]
     open_column = [k for k in range(len(objectives)) if k != b] if a != b else []
@@ -411,6 +451,24 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
                            T.StructField("rank", T.IntegerType())])
     names = [*groups, *objectives, "_a", "_b"]
 
+    def answer(table: pa.Table, own: np.ndarray, rank: np.ndarray) -> pa.Table:
+        return table.take(pa.array(own)).select(names).append_column("rank", pa.array(rank.astype(np.int32))).cast(
+            pa.schema([table.schema.field(g) for g in groups] + [pa.field(f, pa.float64()) for f in objectives]
+                      + [pa.field(n, pa.int32()) for n in ("_a", "_b", "rank")]))
+
+    def rank_cell_of_plane(table: pa.Table) -> pa.Table:
+        kind, values = column(table, "_kind"), _values(table, objectives)
+        own, given = np.flatnonzero(kind == OWN), column(table, "rank")
+        base = np.zeros(len(own), dtype=np.int64)
+        for k, axis in ((COLUMN, a), (ROW, b)):
+            rows = np.flatnonzero(kind == k)
+            if len(rows):
+                base = np.maximum(base, _above(values[rows, axis], given[rows].astype(np.int64), values[own, axis]))
+        rows = np.flatnonzero(kind == BELOW)
+        if len(rows):
+            base = np.maximum(base, int(given[rows].max()) + 1)
+        return answer(table, own, chain_ranks(values[own], (a, b), base))
+
     def rank_cell(table: pa.Table) -> pa.Table:
         kind, values = column(table, "_kind"), _values(table, objectives)
         order = [a, *open_own]
@@ -425,18 +483,16 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
         told = [(layers[k], open_[k]) for k in (COLUMN, ROW, BELOW)]
         rank = np.concatenate([np.array(place_in_layers(values[part].tolist(), told, layers[OWN], open_own), dtype=np.int32)
                                for part in _parts(own)])
-        return table.take(pa.array(own)).select(names).append_column("rank", pa.array(rank, pa.int32())).cast(
-            pa.schema([table.schema.field(g) for g in groups] + [pa.field(f, pa.float64()) for f in objectives]
-                      + [pa.field(n, pa.int32()) for n in ("_a", "_b", "rank")]))
+        return answer(table, own, rank)
 
     least = [F.min(f).alias(f) for f in objectives]
     done: DataFrame | None = None
     known: DataFrame | None = None  # what later cells are told
     for turn, step in enumerate(steps):
-        now = placed.where(F.col("_a") + F.col("_b") == step)
+        now = placed.where(F.col("_step") == step)
         parts = [now.select(*names, F.lit(OWN).alias("_kind"), F.lit(None).cast("int").alias("rank"))]
         if known is not None:
-            cells = now.select(*groups, F.col("_a").alias("_to_a"), F.col("_b").alias("_to_b")).distinct()
+            cells = every_cell.where(F.col("_step") == step).select(*groups, F.col("_a").alias("_to_a"), F.col("_b").alias("_to_b"))
             met = join_on(known, F.broadcast(cells), groups).where((F.col("_a") <= F.col("_to_a")) & (F.col("_b") <= F.col("_to_b")))
             kind = F.when(F.col("_a") == F.col("_to_a"), F.lit(COLUMN)).when(F.col("_b") == F.col("_to_b"), F.lit(ROW)).otherwise(F.lit(BELOW))
             met = met.withColumn("_kind", kind).drop("_a", "_b").withColumnsRenamed({"_to_a": "_a", "_to_b": "_b"})
@@ -444,10 +500,12 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
             below = met.where(F.col("_kind") == BELOW)
             if told_least:
                 lines = lines.groupBy(*cell, "_kind", "rank").agg(*least)
-            if len(rest) < 2:
+            if in_plane:  # beaten by all of them, so the largest rank will do
+                below = below.groupBy(*cell, "_kind").agg(F.max("rank").alias("rank"), *least)
+            elif len(rest) < 2:
                 below = below.groupBy(*cell, "_kind", "rank").agg(*least)
             parts += [lines.select(*names, "_kind", "rank"), below.select(*names, "_kind", "rank")]
-        found = cut(reduce(DataFrame.unionByName, parts).groupBy(*cell).applyInArrow(rank_cell, schema))
+        found = cut(reduce(DataFrame.unionByName, parts).groupBy(*cell).applyInArrow(rank_cell_of_plane if in_plane else rank_cell, schema))
         done = found if done is None else done.unionByName(found)
         # with one objective left open, the least values of a cell by rank are all that others need
         told = cut(found.groupBy(*cell, "rank").agg(*least)) if told_least else found
@@ -457,12 +515,31 @@ def _grid_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[s
     return done.select(*groups, *objectives, "rank")
 
 
+def _plane_ranks(points: DataFrame, groups: Sequence[str], objectives: Sequence[str], limit: int, strip: int) -> DataFrame:
+    """Front numbers of the different points of two objectives: groups up to a limit whole, others on the grid."""
+    schema = T.StructType([*points.schema.fields, T.StructField("rank", T.IntegerType())])
+    kept = list(points.columns)
+
+    def rank_bucket(table: pa.Table) -> pa.Table:
+        values, rank = _values(table, objectives), np.zeros(table.num_rows, dtype=np.int32)
+        for rows in _slices(_group_codes(table, groups)):
+            rank[rows] = chain_ranks(values[rows], (0, 1), np.zeros(len(rows), dtype=np.int64))
+        return table.select(kept).append_column("rank", pa.array(rank))
+
+    part = _split(points, groups, limit)
+    out = _in_buckets(part, groups, rank_bucket, schema)
+    if part.large is not None:
+        out.append(_grid_ranks(part.large, groups, objectives, strip, part.most, False))
+    return reduce(DataFrame.unionByName, out)
+
+
 def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str], row_id: str,
-                group_limit: int = RANK_LIMIT, enough: int | None = None) -> DataFrame:
+                group_limit: int | None = None, enough: int | None = None) -> DataFrame:
     """Front number of every row in its group: `groups, row_id, objectives, rank`.
 
     Groups up to `group_limit` rows are ranked whole, many groups per task, in one pass. The different points of larger
-    groups are ranked on a grid of ranges and joined back to the rows. With `enough` only the first fronts that hold so many
+    groups are ranked on a grid of ranges and joined back to the rows; of two objectives without gaps the different points
+    decide whether a grid is needed, and its ranges hold up to STRIP_LIMIT of them. With `enough` only the first fronts that hold so many
     rows are asked for: rows that so many others of a large group dominate are left out before anything is ranked.
     """
     groups = list(groups)
@@ -482,12 +559,18 @@ def pareto_rank(df: DataFrame, groups: Sequence[str], objectives: Sequence[str],
         out += _in_buckets(part, groups, rank_bucket, schema)
         data = None if part.large is None else cut(_sift(part.large, groups, objectives, row_id, 4 * enough, enough))
     if data is not None:
-        part = _split(data, groups, group_limit)
+        limit = group_limit or RANK_LIMIT
+        part = _split(data, groups, limit)
         out += _in_buckets(part, groups, rank_bucket, schema)
         large, most = part.large, part.most
         if large is not None:
             points = cut(large.select(*groups, *[F.col(f).cast("double").alias(f) for f in objectives]).distinct())
-            found = _grid_ranks(points, groups, objectives, group_limit, most)
+            holes = reduce(lambda p, q: p | q, (F.col(f).isNull() | F.isnan(f) for f in objectives))
+            gap = bool(points.agg(F.max(holes)).first()[0])
+            if len(objectives) == 2 and not gap:
+                found = _plane_ranks(points, groups, objectives, limit, group_limit or STRIP_LIMIT)
+            else:
+                found = _grid_ranks(points, groups, objectives, limit, most, gap)
             exact = large.withColumns({f"_{f}": F.col(f).cast("double") for f in objectives})
             found = found.withColumnsRenamed({f: f"_{f}" for f in objectives})
             out.append(join_on(exact, found, [*groups, *[f"_{f}" for f in objectives]]).select(*kept, "rank"))

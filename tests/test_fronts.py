@@ -261,3 +261,41 @@ def test_cells_are_told_a_few_rows_for_each_rank(spark, monkeypatch, rng):
     told = [n for columns, n in sizes if "rank" in columns]
     # every cell's own points once, and what it tells others: fewer rows than points
     assert sum(told) < 3000 * 1.5 and len(told) == 10
+
+
+def test_repeated_points_of_a_large_group_need_no_grid(spark, monkeypatch, rng):
+    """6,000 rows of 60 different points: a task holds them all, so no diagonals are walked."""
+    from counterpane.operators import fronts
+    points = np.round(rng.random(size=(60, 2)), 2)
+    values = points[rng.integers(0, 60, 6000)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "row_id bigint, a double, b double")
+    monkeypatch.setattr(fronts, "_grid_ranks", lambda *args: pytest.fail("a grid"))
+    got = {r.row_id: r["rank"] for r in fronts.pareto_rank(df, [], ["a", "b"], "row_id", group_limit=100).collect()}
+    assert got == dict(enumerate(fronts.ranks(values).tolist()))
+
+
+def test_ranges_of_two_objectives_hold_more_than_a_whole_group(spark, monkeypatch, rng):
+    """By default the ranges of the plane are cut by STRIP_LIMIT: 900 points, 2 ranges, 3 diagonals."""
+    from counterpane.operators import fronts
+    ranked, plain = [], fronts.cut
+    monkeypatch.setattr(fronts, "cut", lambda df: (ranked.append("rank" in df.columns), plain(df))[1])
+    monkeypatch.setattr(fronts, "RANK_LIMIT", 100)
+    monkeypatch.setattr(fronts, "STRIP_LIMIT", 500)
+    values = rng.normal(size=(900, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "row_id bigint, a double, b double")
+    got = {r.row_id: r["rank"] for r in fronts.pareto_rank(df, [], ["a", "b"], "row_id").collect()}
+    assert got == dict(enumerate(fronts.ranks(values).tolist())) and sum(ranked) == 2 * 3
+
+
+def test_plane_with_ties_infinite_values_and_null_groups(spark, rng):
+    from counterpane.operators import fronts
+    values = np.stack([rng.integers(0, 40, 700).astype(float), np.round(rng.normal(size=700), 1)], axis=1)
+    values[rng.random(700) < 0.03, 0], values[rng.random(700) < 0.03, 1] = np.inf, -np.inf
+    values[:40, 1] = np.inf
+    of = [None if i % 3 else 1 for i in range(700)]
+    df = spark.createDataFrame([(g, i, *map(float, v)) for i, (g, v) in enumerate(zip(of, values))],
+                               "grp int, row_id bigint, a double, b double")
+    got = {r.row_id: r["rank"] for r in fronts.pareto_rank(df, ["grp"], ["a", "b"], "row_id", group_limit=90).collect()}
+    for group in (None, 1):
+        rows = [i for i in range(700) if of[i] == group]
+        assert [got[i] for i in rows] == fronts.ranks(values[rows]).tolist()
